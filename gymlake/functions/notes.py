@@ -30,7 +30,7 @@ def _has_text(notes: Column) -> Column:
 
 def _type_after_marker(first_line: Column) -> Column:
     # text between the first marker and the next one (or end of line), stripped
-    return strip(F.split(first_line, TYPE_MARKER, -1).getItem(1))
+    return strip(F.get(F.split(first_line, TYPE_MARKER, -1), 1))
 
 
 def parse_notes_strict(notes) -> Column:

@@ -33,7 +33,7 @@ def split_name(c) -> Column:
     """struct(first_name, last_name) from ``name.split(' ', 1)``."""
     parts = F.split(_c(c), " ", 2)
     return F.struct(parts.getItem(0).alias("first_name"),
-                    F.coalesce(parts.getItem(1), F.lit("")).alias("last_name"))
+                    F.coalesce(F.get(parts, 1), F.lit("")).alias("last_name"))
 
 
 def cap_first(c) -> Column:

@@ -60,7 +60,7 @@ def seconds_to_hour(c) -> Column:
 def to_minutes(c) -> Column:
     """Minutes since midnight of ``HH:MM`` text."""
     parts = F.split(_c(c), ":")
-    return parts.getItem(0).try_cast("int") * 60 + parts.getItem(1).try_cast("int")
+    return parts.getItem(0).try_cast("int") * 60 + F.get(parts, 1).try_cast("int")
 
 
 def start_ts(date_col, time_col) -> Column:

@@ -207,6 +207,45 @@ UNION ALL
 SELECT id + 1000000000 AS request_id, coach_id, member_id, session_date, session_time, duration
 FROM {sessions}
 WHERE id % 10 = 0
+""",
+    "member_profiles": """
+SELECT CAST(c_custkey AS INT) AS member_id, CAST(18 + c_custkey % 50 AS INT) AS age,
+       CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+       CAST(50 + c_custkey % 60 AS DOUBLE) AS weight, CAST(150 + c_custkey % 45 AS DOUBLE) AS height,
+       CASE c_custkey % 6 WHEN 0 THEN 'sedentary' WHEN 1 THEN 'lightly_active'
+            WHEN 2 THEN 'moderately_active' WHEN 3 THEN 'very_active'
+            WHEN 4 THEN 'extremely_active' ELSE 'unknown' END AS activity_level,
+       CASE c_custkey % 4 WHEN 0 THEN 'weight_loss' WHEN 1 THEN 'muscle_gain'
+            WHEN 2 THEN 'maintenance' ELSE 'Weight_Loss' END AS goal
+FROM {customer}
+""",
+    "detected_meals": """
+SELECT o_orderkey AS id, CAST(o_custkey AS INT) AS member_id,
+       CASE o_orderkey % 4 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' WHEN 2 THEN 'dinner'
+            ELSE 'snack' END AS meal_type,
+       CAST(o_orderdate AS DATE) AS log_date,
+       CASE WHEN o_orderkey % 25 = 0 THEN '[]'
+            WHEN o_orderkey % 35 = 0 THEN 'not json'
+            ELSE '[{"name": "food ' || CAST(o_orderkey % 50 AS STRING) || '", "quantity": 100, '
+                 || '"calories": ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING)
+                 || ', "protein": ' || CAST(o_orderkey % 40 AS STRING)
+                 || ', "carbs": ' || CAST(o_orderkey % 60 AS STRING)
+                 || ', "fat": ' || CAST(o_orderkey % 20 AS STRING)
+                 || ', "confidence": 0.' || CAST(5 + o_orderkey % 5 AS STRING) || '}, '
+                 || '{"name": "apple", "quantity": 150, "calories": 95, "protein": 0, "carbs": 25, '
+                 || '"fat": 0, "confidence": 0.9}]'
+       END AS detected_foods,
+       '[{"name": "' || CASE o_orderkey % 3 WHEN 0 THEN 'banana' WHEN 1 THEN 'pizza' ELSE 'cake' END
+         || '", "confidence": 0.' || CAST(1 + o_orderkey % 9 AS STRING)
+         || ', "class_id": ' || CAST(46 + o_orderkey % 10 AS STRING)
+         || ', "is_food": true, "box": {"x1": 0, "y1": 0, "x2": 10, "y2": 10}}, '
+         || '{"name": "person", "confidence": 0.95, "class_id": 0, "is_food": false, '
+         || '"box": {"x1": 1, "y1": 1, "x2": 5, "y2": 5}}, '
+         || '{"name": "dining table", "confidence": 0.' || CAST(2 + o_orderkey % 7 AS STRING)
+         || ', "class_id": 60, "is_food": false, "box": {"x1": 2, "y1": 2, "x2": 8, "y2": 8}}]'
+         AS detections
+FROM {orders}
+WHERE o_orderkey % 5 = 0
 """,
 }
 
