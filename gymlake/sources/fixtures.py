@@ -246,6 +246,30 @@ SELECT o_orderkey AS id, CAST(o_custkey AS INT) AS member_id,
          AS detections
 FROM {orders}
 WHERE o_orderkey % 5 = 0
+""",
+    "bulk_requests": """
+SELECT o_orderkey AS request_id, CAST(o_custkey % 150 AS INT) AS user_id, 'member' AS user_type,
+       DATE '2024-01-01' + CAST(o_orderkey % 25 AS INT) AS start_date,
+       DATE '2024-01-01' + CAST(o_orderkey % 25 + o_orderkey % 3 AS INT) AS end_date,
+       CAST(6 + o_orderkey % 10 AS INT) AS start_hour,
+       CAST(6 + o_orderkey % 10 + o_orderkey % 4 AS INT) AS end_hour,
+       o_orderkey % 2 = 1 AS is_available, o_orderkey AS seq
+FROM {orders}
+WHERE o_orderkey % 11 = 0
+""",
+    "member_imports": """
+SELECT c_custkey + 100000 AS import_id, c_nationkey AS gym_id,
+       CASE WHEN c_custkey % 36 = 0 THEN CAST(NULL AS STRING) ELSE c_name || ' Jr' END AS name,
+       CASE WHEN c_custkey % 20 = 0 THEN 'no-at-sign.test'
+            WHEN c_custkey % 12 = 0 THEN lower(replace(c_name, '#', '')) || '@member.test'
+            WHEN c_custkey % 28 = 0 THEN 'dup' || CAST(c_custkey % 3 AS STRING) || '@import.test'
+            ELSE 'new' || CAST(c_custkey AS STRING) || '@import.test' END AS email,
+       CASE WHEN c_custkey % 16 = 0 THEN 'Gold'
+            WHEN c_mktsegment = 'MACHINERY' THEN 'vip'
+            ELSE 'Basic' END AS membership_type,
+       CAST(c_custkey % 13 AS INT) AS coach_id
+FROM {customer}
+WHERE c_custkey % 4 = 0
 """,
 }
 
