@@ -270,6 +270,43 @@ SELECT c_custkey + 100000 AS import_id, c_nationkey AS gym_id,
        CAST(c_custkey % 13 AS INT) AS coach_id
 FROM {customer}
 WHERE c_custkey % 4 = 0
+""",
+    "food_docs": """
+SELECT p_partkey AS doc_id, p_name AS query_name, CAST(p_partkey AS STRING) AS barcode,
+       '{"fdcId": ' || CAST(p_partkey AS STRING) || ', "description": "' || p_name
+       || '", "brandOwner": "' || p_brand || '", "foodCategory": "' || p_type || '", "foodNutrients": ['
+       || '{"nutrient": {"id": ' || CASE WHEN p_partkey % 2 = 0 THEN '1003' ELSE '203' END
+       || ', "name": "Protein"}, "amount": ' || CAST(p_size AS STRING) || '.'
+       || CAST(p_partkey % 10 AS STRING) || '}, '
+       || '{"nutrient": {"id": 1004, "name": "Total lipid (fat)"}, "amount": '
+       || CAST(p_partkey % 30 AS STRING) || '.5}, '
+       || '{"nutrient": {"id": 205, "name": "Carbohydrate"}, "amount": '
+       || CAST(p_partkey % 70 AS STRING) || '.25}, '
+       || '{"nutrient": {"id": 291, "name": "Fiber"}, "amount": ' || CAST(p_partkey % 9 AS STRING) || '}, '
+       || '{"nutrient": {"id": 307, "name": "Sodium"}, "amount": ' || CAST(p_partkey % 400 AS STRING) || '}'
+       || CASE WHEN p_partkey % 4 = 0 THEN ''
+               ELSE ', {"nutrient": {"id": 208, "name": "Energy"}, "amount": '
+                    || CAST(CAST(floor(p_retailprice / 5) AS BIGINT) AS STRING) || '}' END
+       || CASE WHEN p_partkey % 6 = 0 THEN ', {"nutrient": {"id": 203, "name": "Protein"}, "amount": 1.5}'
+               ELSE '' END
+       || ']}' AS detail_json,
+       '{"foods": [{"fdcId": ' || CAST(p_partkey * 10 AS STRING) || ', "description": "' || p_name
+       || ' raw", "brandOwner": "' || p_brand || '", "foodNutrients": [{"nutrientId": 203, "value": '
+       || CAST(p_size AS STRING) || '}'
+       || CASE WHEN p_partkey % 3 = 0 THEN ', {"nutrientId": 208, "value": 0}'
+               ELSE ', {"nutrientId": 208, "value": ' || CAST(p_size * 9 AS STRING) || '}' END
+       || ']}, {"fdcId": ' || CAST(p_partkey * 10 + 1 AS STRING) || ', "description": "' || p_name
+       || ' cooked", "brandOwner": "' || p_brand || '", "foodNutrients": [{"nutrientId": 203, "value": '
+       || CAST(p_size + 1 AS STRING) || '}, {"nutrientId": 204, "value": 3}, '
+       || '{"nutrientId": 205, "value": 20}, {"nutrientId": 208, "value": '
+       || CAST(100 + p_partkey % 50 AS STRING) || '}]}]}' AS search_json,
+       '{"status": ' || CASE WHEN p_partkey % 10 = 0 THEN '0' ELSE '1' END
+       || ', "product": {"product_name": "' || p_name || '", "brands": "' || p_brand
+       || '", "image_url": "img/' || CAST(p_partkey AS STRING) || '.jpg", "nutriments": '
+       || '{"energy-kcal_100g": ' || CAST(CAST(floor(p_retailprice / 4) AS BIGINT) AS STRING)
+       || ', "proteins_100g": ' || CAST(p_size AS STRING)
+       || ', "carbohydrates_100g": ' || CAST(p_partkey % 80 AS STRING) || '}}}' AS product_json
+FROM {part}
 """,
 }
 
