@@ -307,6 +307,26 @@ SELECT p_partkey AS doc_id, p_name AS query_name, CAST(p_partkey AS STRING) AS b
        || ', "proteins_100g": ' || CAST(p_size AS STRING)
        || ', "carbohydrates_100g": ' || CAST(p_partkey % 80 AS STRING) || '}}}' AS product_json
 FROM {part}
+""",
+    "plan_selection_updates": """
+SELECT member_id,
+       CASE WHEN id % 35 = 0 THEN CAST(NULL AS BIGINT) WHEN id % 5 = 0 THEN id + 7 ELSE id END
+         AS selected_plan_id,
+       id AS seq
+FROM {nutrition_plans}
+WHERE id % 3 = 0
+""",
+    "feedback_requests": """
+SELECT o_orderkey AS feedback_id,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 10 ELSE (o_custkey + 1) % 10 END AS INT)
+         AS coach_id,
+       CAST(o_custkey AS INT) AS member_id,
+       CASE o_orderkey % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'meal' ELSE 'goal' END AS feedback_type,
+       CASE WHEN o_orderkey % 26 = 0 THEN '   ' ELSE 'Keep going, ' || o_orderpriority END AS message,
+       CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS INT) ELSE CAST(o_orderkey % 5 + 1 AS INT) END
+         AS rating
+FROM {orders}
+WHERE o_orderkey % 13 = 0
 """,
 }
 
