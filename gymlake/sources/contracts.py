@@ -35,21 +35,21 @@ def check_constraints(df: DataFrame, table: str) -> DataFrame:
         if t == table and col in df.columns:
             bad = ~F.lower(F.col(col)).isin([v.lower() for v in values]) & F.col(col).isNotNull()
             parts.append(df.agg(F.count(F.when(bad, 1)).alias("bad_rows"))
-                         .select(F.lit(table).alias("table_name"), F.lit("enum").alias("check"),
+                         .select(F.lit(table).alias("table_name"), F.lit("enum").alias("check_name"),
                                  F.lit(col).alias("column_name"), "bad_rows"))
     for (t, col), (lo, hi) in RANGES.items():
         if t == table and col in df.columns:
             bad = ~F.col(col).between(lo, hi)
             parts.append(df.agg(F.count(F.when(bad, 1)).alias("bad_rows"))
-                         .select(F.lit(table).alias("table_name"), F.lit("range").alias("check"),
+                         .select(F.lit(table).alias("table_name"), F.lit("range").alias("check_name"),
                                  F.lit(col).alias("column_name"), "bad_rows"))
     key = UNIQUE_KEYS.get(table)
     if key and all(k in df.columns for k in key):
         dup = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("bad_rows")))
-        parts.append(dup.select(F.lit(table).alias("table_name"), F.lit("unique").alias("check"),
+        parts.append(dup.select(F.lit(table).alias("table_name"), F.lit("unique").alias("check_name"),
                                 F.lit(",".join(key)).alias("column_name"), "bad_rows"))
     if not parts:
         return df.sparkSession.createDataFrame(
-            [], "table_name string, check string, column_name string, bad_rows bigint")
+            [], "table_name string, check_name string, column_name string, bad_rows bigint")
     return reduce(lambda a, b: a.unionByName(b), parts)

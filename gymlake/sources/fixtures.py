@@ -195,7 +195,7 @@ FROM {nutrition_plans}
 WHERE member_id % 4 = 0
 GROUP BY member_id
 """,
-    "booking_requests": """
+    "order_booking_requests": """
 SELECT o_orderkey AS request_id, CAST(o_custkey % 10 AS INT) AS coach_id,
        CAST(o_custkey AS INT) AS member_id,
        DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS session_date,
@@ -203,12 +203,14 @@ SELECT o_orderkey AS request_id, CAST(o_custkey % 10 AS INT) AS coach_id,
        60 AS duration
 FROM {orders}
 WHERE o_orderkey % 3 = 0
+""",
+    "booking_requests": """
+SELECT request_id, coach_id, member_id, session_date, session_time, duration FROM {order_booking_requests}
 UNION ALL
 SELECT id + 1000000000 AS request_id, coach_id, member_id, session_date, session_time, duration
 FROM {sessions}
 WHERE id % 10 = 0
-""",
-    "member_profiles": """
+""",    "member_profiles": """
 SELECT CAST(c_custkey AS INT) AS member_id, CAST(18 + c_custkey % 50 AS INT) AS age,
        CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
        CAST(50 + c_custkey % 60 AS DOUBLE) AS weight, CAST(150 + c_custkey % 45 AS DOUBLE) AS height,

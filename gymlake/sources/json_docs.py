@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gymlake.operators import foods
 
@@ -43,4 +44,5 @@ def with_default_preferences(users: DataFrame, prefs: DataFrame) -> DataFrame:
 def read_food_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Read food-database documents (JSON lines) with an explicit schema; a
     malformed line becomes a NULL record, never a failed job."""
-    return (spark.read.schema(_DOC_SCHEMAS[kind]).option("mode", "PERMISSIVE").json(path))
+    schema = T._parse_datatype_string(_DOC_SCHEMAS[kind])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

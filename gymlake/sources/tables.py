@@ -55,9 +55,11 @@ class Tables:
     reads ``sessions`` twice shares one logical subtree (and one exchange reuse).
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, streamed=(), max_files_per_trigger: int = 1):
         self.spark = spark
         self.root = root
+        self.streamed = set(streamed)
+        self.max_files = max_files_per_trigger
         self._cache: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -67,7 +69,14 @@ class Tables:
 
     def get(self, name: str) -> DataFrame:
         if name not in self._cache:
-            if name in fixtures.RAW_TABLES:
+            if name in self.streamed:
+                # a raw table read as a file stream: every derivation over it streams too
+                schema = load_table(self.spark, self.root, name).schema
+                self._cache[name] = (self.spark.readStream.schema(schema)
+                                     .option("maxFilesPerTrigger", self.max_files)
+                                     .option("pathGlobFilter", f"{name}.parquet")
+                                     .parquet(self.root))
+            elif name in fixtures.RAW_TABLES:
                 self._cache[name] = load_table(self.spark, self.root, name)
             elif name in fixtures.FIXTURE_SQL:
                 frames = {d: self.get(d) for d in fixtures.deps(name)}
