@@ -17,6 +17,6 @@ SAMPLE_MEALS = [
 
 
 def sample_nutrition(spark: SparkSession, member_id: int = 1) -> DataFrame:
-    rows = [(member_id,) + m for m in SAMPLE_MEALS]
+    rows = [(member_id, m[0], m[1], *[float(x) for x in m[2:]]) for m in SAMPLE_MEALS]
     return spark.createDataFrame(rows, "member_id int, meal_type string, food string, quantity double, "
                                        "calories double, protein double, carbs double, fat double")

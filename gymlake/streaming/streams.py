@@ -54,8 +54,9 @@ def _latest(spark: SparkSession, path: str, key, order: str) -> DataFrame:
 
 # ---------------------------------------------------------------- T1
 def stream_daily_nutrition(logs: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Streaming day totals per member (update mode); rows later than ``delay``
-    behind the maximum event time seen are dropped."""
+    """Streaming day totals per member (update mode).  Rows older than the
+    watermark (maximum event time seen minus ``delay``) are dropped; Spark applies
+    the watermark of the previous micro-batch to incoming rows."""
     et = F.col("created_at").cast("timestamp")
     return (logs.withColumn("event_time", et).withWatermark("event_time", delay)
             .groupBy(F.window("event_time", "1 day").alias("w"), "member_id")
@@ -108,9 +109,10 @@ def run_bookings(requests: DataFrame, members: DataFrame, coaches: DataFrame,
     out, ckpt = stream_paths(spark, "bookings")
     hist = sessions.select("coach_id", "member_id", "session_date", "session_time", "status")
 
-    def validate(batch: DataFrame, _bid: int) -> DataFrame:
+    def validate(batch: DataFrame, bid: int) -> DataFrame:
         try:
-            prev = (spark.read.parquet(out).filter("accepted")
+            # only earlier batches count, so a replayed batch sees the same history
+            prev = (spark.read.parquet(out).filter(F.col("accepted") & (F.col("_batch") < bid))
                     .select("coach_id", "member_id", "session_date", "session_time",
                             F.lit("Scheduled").alias("status")))
             busy = hist.unionByName(prev)
