@@ -329,6 +329,21 @@ SELECT o_orderkey AS feedback_id,
          AS rating
 FROM {orders}
 WHERE o_orderkey % 13 = 0
+""",
+    "food_entries": """
+SELECT l.l_orderkey * 10 + l.l_linenumber AS entry_key, CAST(o.o_custkey AS INT) AS member_id,
+       CASE l.l_linenumber % 5 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' WHEN 2 THEN 'dinner'
+            WHEN 3 THEN 'snack' ELSE 'brunch' END AS meal_type,
+       CASE l.l_linenumber WHEN 1 THEN 'grams' WHEN 2 THEN 'ml' WHEN 3 THEN 'pieces' WHEN 4 THEN 'cups'
+            WHEN 5 THEN 'tablespoons' WHEN 6 THEN 'serving' ELSE 'kg' END AS unit,
+       CAST(l.l_quantity AS DECIMAL(7,2)) AS quantity,
+       CAST(CASE WHEN l.l_partkey % 7 = 0 THEN 0 ELSE floor(l.l_extendedprice / 100) END AS DECIMAL(7,2))
+         AS total_calories,
+       CAST(floor(l.l_quantity * 2) AS DECIMAL(7,2)) AS total_protein,
+       CAST(l.l_partkey % 200 AS DECIMAL(7,2)) AS total_carbs,
+       CAST(l.l_suppkey % 60 AS DECIMAL(7,2)) AS total_fat,
+       CAST(l.l_shipdate AS DATE) AS log_date
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 """,
 }
 
