@@ -252,8 +252,8 @@ def _streaks(t):
 @register("latest_sessions", """
 SELECT member_id, id, session_date, session_time, status, rank_in_group FROM (
   SELECT member_id, id, session_date, session_time, status,
-         row_number() OVER (PARTITION BY member_id
-                            ORDER BY session_date DESC, session_time DESC, id DESC) AS rank_in_group
+         CAST(row_number() OVER (PARTITION BY member_id
+                            ORDER BY session_date DESC, session_time DESC, id DESC) AS INTEGER) AS rank_in_group
   FROM sessions) t
 WHERE rank_in_group <= 5
 """, ["sessions"], "W2 O1 O3")
@@ -331,8 +331,8 @@ WITH p AS (
          CASE WHEN s.notes ILIKE '%Exercises:%'
               THEN trim(split_part(string_split(s.notes, 'Exercises:')[-1], chr(10), 1))
               ELSE 'No exercises specified' END AS exercises_text,
-         row_number() OVER (PARTITION BY s.member_id ORDER BY s.session_date DESC,
-                            s.session_time DESC, s.id DESC) AS row_in_group,
+         CAST(row_number() OVER (PARTITION BY s.member_id ORDER BY s.session_date DESC,
+                            s.session_time DESC, s.id DESC) AS INTEGER) AS row_in_group,
          COUNT(*) OVER (PARTITION BY s.member_id) AS total
   FROM sessions s LEFT JOIN coaches c ON s.coach_id = c.id LEFT JOIN gyms g ON s.gym_id = g.id)
 SELECT *, 2 AS page, total > 40 AS has_more, CAST(ceil(total / 20.0) AS INTEGER) AS total_pages

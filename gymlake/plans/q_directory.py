@@ -130,8 +130,8 @@ def _log_foods(t):
 SELECT gym_id, id, member_name, coach_name, session_date, session_time, status_label, workout_type, rank_in_group
 FROM (SELECT s.gym_id, s.id, m.name AS member_name, c.name AS coach_name, s.session_date, s.session_time,
              upper(substr(s.status, 1, 1)) || substr(s.status, 2) AS status_label, {STRICT_TYPE} AS workout_type,
-             row_number() OVER (PARTITION BY s.gym_id ORDER BY s.session_date DESC, s.session_time DESC,
-                                s.id DESC) AS rank_in_group
+             CAST(row_number() OVER (PARTITION BY s.gym_id ORDER BY s.session_date DESC, s.session_time DESC,
+                                s.id DESC) AS INTEGER) AS rank_in_group
       FROM sessions s JOIN members m ON m.id = s.member_id JOIN coaches c ON c.id = s.coach_id) x
 WHERE rank_in_group <= 5
 """, ["sessions", "members", "coaches"], "X37 W2 F1 F8 J3")

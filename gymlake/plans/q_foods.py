@@ -18,7 +18,8 @@ def _estimate_idx(expr: str) -> str:
 
 def _estimate_value(idx: str, j: int) -> str:
     values = ", ".join(f"{float(e[j])}" for e in fd.ESTIMATES)
-    return f"CASE WHEN {idx} IS NULL THEN {float(fd.ESTIMATE_DEFAULT[j - 1])} ELSE [{values}][{idx}] END"
+    return (f"CAST(CASE WHEN {idx} IS NULL THEN {float(fd.ESTIMATE_DEFAULT[j - 1])} "
+            f"ELSE [{values}][{idx}] END AS DOUBLE)")
 
 
 @register("estimate_nutrition", f"""
@@ -40,7 +41,7 @@ def _fallback_sql(expr: str, j: int) -> str:
     for words, *vals in fd.FALLBACK_CLASSES:
         cond = " OR ".join(f"contains({low}, {q(w)})" for w in words)
         whens.append(f"WHEN {cond} THEN {float(vals[j])}")
-    return f"CASE {' '.join(whens)} ELSE {float(fd.FALLBACK_DEFAULT[j])} END"
+    return f"CAST(CASE {' '.join(whens)} ELSE {float(fd.FALLBACK_DEFAULT[j])} END AS DOUBLE)"
 
 
 @register("fallback_nutrition", f"""
@@ -150,7 +151,7 @@ WITH d AS (SELECT id, CASE WHEN json_valid(detections) THEN from_json(detections
 f AS (SELECT id, list_filter(COALESCE(dets, []), lambda x: x.confidence >= {fd.MIN_CONFIDENCE}
               AND (x.class_id IN ({_FOOD_IDS}) OR COALESCE(regexp_matches(lower(x.name), '{_KW}'), false)))
               AS foods FROM d)
-SELECT id, len(foods) AS total_food_items,
+SELECT id, CAST(len(foods) AS INTEGER) AS total_food_items,
        array_to_string(list_transform(foods, lambda x: x.name), '|') AS food_names
 FROM f
 """, ["detected_meals"], "P19 S4")
@@ -167,8 +168,8 @@ m AS (SELECT vec_id, l, list_max(l) AS mx FROM x),
 e AS (SELECT vec_id, list_transform(l, lambda v: exp(v - mx)) AS ex FROM m),
 s AS (SELECT vec_id, ex, list_sum(ex) AS tot FROM e),
 u AS (SELECT vec_id, unnest(list_transform(ex, lambda v, i: {'p': v / tot, 'i': i - 1})) AS r FROM s),
-r AS (SELECT vec_id, r.i AS label_id, r.p AS p,
-             row_number() OVER (PARTITION BY vec_id ORDER BY r.p DESC, r.i) AS rank FROM u)
+r AS (SELECT vec_id, CAST(r.i AS INTEGER) AS label_id, r.p AS p,
+             CAST(row_number() OVER (PARTITION BY vec_id ORDER BY r.p DESC, r.i) AS INTEGER) AS rank FROM u)
 SELECT vec_id, rank, label_id, 'class_' || CAST(label_id AS VARCHAR) AS label, round(p, 6) AS confidence
 FROM r WHERE rank <= 3
 """, ["embeddings"], "F25")

@@ -54,7 +54,7 @@ def _conversations(t):
 
 @register("conversation_summary", f"""
 SELECT {_KEY} AS conversation_key, COUNT(*) AS messages, min(seq) AS first_seq, max(seq) AS last_seq,
-       max(length(message)) AS longest_message
+       CAST(max(length(message)) AS INTEGER) AS longest_message
 FROM messages GROUP BY 1
 """, ["messages"], "X21 J15")
 def _conversation_summary(t):

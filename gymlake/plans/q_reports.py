@@ -139,8 +139,9 @@ def _member_progress(t):
 SELECT coach_id, member_id, id, session_date, session_time, status, workout_type, exercises, rank_in_group
 FROM (SELECT s.coach_id, s.member_id, s.id, s.session_date, s.session_time, s.status,
              {STRICT_TYPE} AS workout_type, {STRICT_EX} AS exercises,
-             row_number() OVER (PARTITION BY s.coach_id, s.member_id
-                                ORDER BY s.session_date DESC, s.session_time DESC, s.id DESC) AS rank_in_group
+             CAST(row_number() OVER (PARTITION BY s.coach_id, s.member_id
+                                ORDER BY s.session_date DESC, s.session_time DESC, s.id DESC) AS INTEGER)
+               AS rank_in_group
       FROM sessions s
       WHERE EXISTS (SELECT 1 FROM member_coach mc WHERE mc.coach_id = s.coach_id
                     AND mc.member_id = s.member_id)) x

@@ -84,8 +84,8 @@ scored AS (
   LEFT JOIN prefs mp ON mp.user_id = f.member_id AND mp.user_type = 'member'
   WHERE f.st > {NOW_TS}),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY coach_id, member_id
-                               ORDER BY preference_score DESC, st) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY coach_id, member_id
+                               ORDER BY preference_score DESC, st) AS INTEGER) AS rank
   FROM scored)
 SELECT coach_id, member_id, strftime(st, '%Y-%m-%d') AS date, day_of_week AS day, hour,
        preference_score, rank
@@ -190,7 +190,7 @@ per AS (
   WHERE slot_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'
   GROUP BY 1, 2, 3)
 SELECT d.user_id, d.user_type, strftime(d.date, '%Y-%m-%d') AS date, dayname(d.date) AS day_of_week,
-       dayofmonth(d.date) AS day_number,
+       CAST(dayofmonth(d.date) AS INTEGER) AS day_number,
        COALESCE(p.available_hours, '') AS available_hours, COALESCE(p.blocked_hours, '') AS blocked_hours
 FROM days d LEFT JOIN per p ON p.user_id = d.user_id AND p.user_type = d.user_type AND p.date = d.date
 """, ["all_users", "availability_slots"], "X5 J18 A24 F11")
@@ -297,8 +297,8 @@ def _validate_bookings(t):
 @register("session_payments", f"""
 WITH {_VALIDATE}
 SELECT v.request_id, v.member_id, m.gym_id,
-       CASE m.membership_type WHEN 'Basic' THEN 25.0 WHEN 'Premium' THEN 20.0 WHEN 'VIP' THEN 15.0
-            ELSE 25.0 END AS amount,
+       CAST(CASE m.membership_type WHEN 'Basic' THEN 25.0 WHEN 'Premium' THEN 20.0 WHEN 'VIP' THEN 15.0
+            ELSE 25.0 END AS DOUBLE) AS amount,
        'Session' AS payment_type, 'Pending' AS status,
        'Payment for session on ' || strftime(v.session_date, '%Y-%m-%d') || ' at ' || v.session_time AS notes
 FROM v JOIN members m ON m.id = v.member_id
@@ -311,8 +311,8 @@ def _session_payments(t):
 
 @register("renewal_payments", """
 SELECT id AS member_id, gym_id, membership_type,
-       CASE membership_type WHEN 'Basic' THEN 50.0 WHEN 'Premium' THEN 100.0 WHEN 'VIP' THEN 200.0 END
-         AS amount,
+       CAST(CASE membership_type WHEN 'Basic' THEN 50.0 WHEN 'Premium' THEN 100.0 WHEN 'VIP' THEN 200.0 END
+            AS DOUBLE) AS amount,
        'Membership' AS payment_type,
        CASE WHEN membership_type IN ('Basic', 'Premium', 'VIP') THEN 'Pending' ELSE 'Rejected' END AS status,
        'Monthly membership renewal - ' || membership_type AS notes

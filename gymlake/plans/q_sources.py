@@ -27,7 +27,7 @@ UNION ALL
 SELECT 'availability_slots', 'range', 'hour', COUNT(CASE WHEN NOT hour BETWEEN 0 AND 23 THEN 1 END)
 FROM slot_updates
 UNION ALL
-SELECT 'availability_slots', 'unique', 'user_id,user_type,slot_date,hour', COALESCE(SUM(n - 1), 0)
+SELECT 'availability_slots', 'unique', 'user_id,user_type,slot_date,hour', CAST(COALESCE(SUM(n - 1), 0) AS BIGINT)
 FROM (SELECT COUNT(*) AS n FROM slot_updates GROUP BY user_id, user_type, slot_date, hour
       HAVING COUNT(*) > 1) d
 """, ["slot_updates"], "S3")
@@ -37,7 +37,7 @@ def _check_slot_writes(t):
 
 @register("check_member_coach", """
 SELECT 'member_coach' AS table_name, 'unique' AS check_name, 'member_id,coach_id' AS column_name,
-       COALESCE(SUM(n - 1), 0) AS bad_rows
+       CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS bad_rows
 FROM (SELECT COUNT(*) AS n FROM member_coach GROUP BY member_id, coach_id HAVING COUNT(*) > 1) d
 """, ["member_coach"], "S3")
 def _check_member_coach(t):
