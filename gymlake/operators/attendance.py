@@ -238,27 +238,33 @@ def coach_performance(coaches: DataFrame, sessions: DataFrame, as_of, days: int
 
 
 # ---------------------------------------------------------------- A10-A12 (coach progress)
-def _coach_scope(sessions: DataFrame, member_coach: DataFrame, time_range: str, as_of) -> DataFrame:
-    """Sessions of every member assigned to a coach (the reference's bridge join)."""
+def _coach_scope(per_member: DataFrame, member_coach: DataFrame, keys, sums) -> DataFrame:
+    """Roll member-level aggregates up to every coach the member is assigned to (the
+    reference's bridge join).  Sessions are aggregated per member *before* the
+    bridge, so the join sees one row per (member, key) instead of every session,
+    and a member holding a third of all sessions contributes a handful of rows."""
+    bridge = member_coach.select("member_id", "coach_id")
+    return (per_member.join(bridge, "member_id")
+            .groupBy("coach_id", *keys).agg(*[F.sum(c).alias(c) for c in sums]))
+
+
+def _scoped(sessions: DataFrame, time_range: str, as_of) -> DataFrame:
     lo = range_start(time_range, as_of)
-    s = sessions if lo is None else sessions.filter(F.col("session_date") >= lo)
-    return s.join(member_coach.select("member_id", "coach_id").withColumnRenamed(
-        "coach_id", "scope_coach_id"), "member_id")
+    return sessions if lo is None else sessions.filter(F.col("session_date") >= lo)
 
 
 def workout_distribution(sessions: DataFrame, member_coach: DataFrame, time_range: str = "all",
                          as_of=None) -> DataFrame:
     """Sessions per parsed workout type per coach (notes with a type marker only)."""
-    s = _coach_scope(sessions.filter(F.col("notes").ilike("%Workout Type:%")), member_coach,
-                     time_range, as_of)
-    return (s.groupBy(F.col("scope_coach_id").alias("coach_id"),
-                      parse_notes_sql("notes").getField("workout_type").alias("workout_type"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    s = _scoped(sessions, time_range, as_of).filter(F.col("notes").ilike("%Workout Type:%"))
+    per = (s.groupBy("member_id", parse_notes_sql("notes").getField("workout_type").alias("workout_type"))
+           .agg(F.count(F.lit(1)).alias("count")))
+    return _coach_scope(per, member_coach, ["workout_type"], ["count"])
 
 
 def common_workout(distribution: DataFrame) -> DataFrame:
     """A10: the most frequent type per coach, derived from A11 (one scan, not two);
-    ties broken by type name."""
+    ties broken by type name.  The window holds one row per (coach, type)."""
     w = Window.partitionBy("coach_id").orderBy(F.desc("count"), "workout_type")
     return (distribution.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") == 1).drop("_rn"))
@@ -267,22 +273,23 @@ def common_workout(distribution: DataFrame) -> DataFrame:
 def session_history(sessions: DataFrame, member_coach: DataFrame, time_range: str = "all",
                     as_of=None) -> DataFrame:
     """Sessions per day per coach."""
-    s = _coach_scope(sessions, member_coach, time_range, as_of)
-    return (s.groupBy(F.col("scope_coach_id").alias("coach_id"), "session_date")
-            .agg(F.count(F.lit(1)).alias("count"))
+    per = (_scoped(sessions, time_range, as_of).groupBy("member_id", "session_date")
+           .agg(F.count(F.lit(1)).alias("count")))
+    return (_coach_scope(per, member_coach, ["session_date"], ["count"])
             .withColumn("date", F.date_format("session_date", "yyyy-MM-dd")))
 
 
 def coach_progress_stats(sessions: DataFrame, member_coach: DataFrame, time_range: str,
                          as_of) -> DataFrame:
     """A1 + A8 for X25: counters and attendance rate (0 dp, half-even) per coach."""
-    s = _coach_scope(sessions, member_coach, time_range, as_of)
-    return (s.groupBy(F.col("scope_coach_id").alias("coach_id")).agg(
+    per = _scoped(sessions, time_range, as_of).groupBy("member_id").agg(
         F.count(F.lit(1)).alias("total_sessions"),
         F.sum(_flag(_status_is("Completed"))).alias("completed_sessions"),
         F.sum(_flag(_status_is("Cancelled"))).alias("cancelled_sessions"))
-        .withColumn("attendance_rate",
-                    rate_or_zero("completed_sessions", "total_sessions", 0).cast("int")))
+    return (_coach_scope(per, member_coach, [],
+                         ["total_sessions", "completed_sessions", "cancelled_sessions"])
+            .withColumn("attendance_rate",
+                        rate_or_zero("completed_sessions", "total_sessions", 0).cast("int")))
 
 
 # ---------------------------------------------------------------- W1
