@@ -38,7 +38,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "5"))
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), app_name="gymlake-bench")
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=shuffle, app_name="gymlake-bench")
     catalog.queries()  # load registry
     times = {}
     for label, name in HEADLINE.items():

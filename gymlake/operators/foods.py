@@ -203,20 +203,28 @@ def filter_food_detections(df: DataFrame, json_col: str = "detections",
 
 
 # ---------------------------------------------------------------- F25
-def softmax_topk(logits, k: int = 3, labels=None) -> Column:
-    """softmax over a logits array; the top ``k`` (probability desc, then index)
-    as struct(label_id, label, confidence)."""
-    x = F.transform(_c(logits), lambda v: v.cast("double"))
-    m = F.array_max(x)
-    ex = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
-    probs = F.transform(ex, lambda e, i: F.struct((e / s).alias("p"), (-i).alias("neg_i")))
-    top = F.slice(F.sort_array(probs, asc=False), 1, k)
+def softmax_topk(df: DataFrame, logits: str, k: int = 3, labels=None,
+                 out: str = "top") -> DataFrame:
+    """softmax over a logits array; adds ``out`` = the top ``k`` (probability
+    desc, then index) as array<struct(label_id, label, confidence)>.
+
+    Higher-order functions are interpreted, and an outer expression captured by a
+    lambda is re-evaluated for every element, so a one-pass softmax is cubic in the
+    array length.  Here the row max is its own projected column, ranking uses the
+    unnormalised ``exp(v - max)`` (dividing by the positive row sum keeps the order
+    and the ties), and only the ``k`` survivors are divided by the sum."""
+    x = F.transform(F.col(logits), lambda v: v.cast("double"))
+    d = df.withColumn("_x", x).withColumn("_m", F.array_max("_x"))
+    d = d.withColumn("_e", F.transform("_x", lambda v: F.exp(v - F.col("_m"))))
+    d = d.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v))
+    ranked = F.transform("_e", lambda e, i: F.struct(e.alias("e"), (-i).alias("neg_i")))
+    top = F.slice(F.sort_array(ranked, asc=False), 1, k)
     lab = (lambda i: F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1)) if labels else \
         (lambda i: F.concat(F.lit("class_"), i.cast("string")))
-    return F.transform(top, lambda t: F.struct((-t["neg_i"]).alias("label_id"),
-                                               lab(-t["neg_i"]).alias("label"),
-                                               t["p"].alias("confidence")))
+    res = F.transform(top, lambda t: F.struct((-t["neg_i"]).alias("label_id"),
+                                              lab(-t["neg_i"]).alias("label"),
+                                              (t["e"] / F.col("_s")).alias("confidence")))
+    return d.withColumn(out, res).drop("_x", "_m", "_e", "_s")
 
 
 def resolve_nutrition(labels: DataFrame, foods: DataFrame, name_col: str = "name") -> DataFrame:

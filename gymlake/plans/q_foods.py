@@ -174,8 +174,8 @@ SELECT vec_id, rank, label_id, 'class_' || CAST(label_id AS VARCHAR) AS label, r
 FROM r WHERE rank <= 3
 """, ["embeddings"], "F25")
 def _softmax_topk(t):
-    top = fd.softmax_topk("embedding", 3)
-    return (t.embeddings.select("vec_id", F.posexplode(top).alias("pos", "t"))
+    top = fd.softmax_topk(t.embeddings.select("vec_id", "embedding"), "embedding", 3)
+    return (top.select("vec_id", F.posexplode("top").alias("pos", "t"))
             .select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("t.label_id").alias("label_id"),
                     F.col("t.label").alias("label"), F.round("t.confidence", 6).alias("confidence")))
 

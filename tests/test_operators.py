@@ -103,3 +103,22 @@ def test_latest_n_unique_tiebreak(spark):
     s = sessions(spark, [(i, 1, 1, 1, d("2024-01-01"), "10:00", 60, "Completed", None) for i in range(8)])
     r = at.latest_n(s, "member_id", [F.desc("session_date"), F.desc("session_time"), F.desc("id")], 5)
     assert sorted(x["id"] for x in r.collect()) == [3, 4, 5, 6, 7]
+
+
+def test_softmax_topk_matches_numpy(spark):
+    import numpy as np
+
+    from gymlake.operators import foods as fd
+    rows = [(1, [1.0, 3.0, 2.0, 3.0]),          # tie on the max: lower index first
+            (2, [0.0, -800.0, -900.0, -1000.0]),  # exp underflows to 0: index order
+            (3, [5.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["top"] for r in fd.softmax_topk(df, "embedding", 3).collect()}
+    for vid, logits in rows:
+        x = np.asarray(logits, dtype=np.float32).astype(np.float64)
+        p = np.exp(x - x.max())
+        p = p / p.sum()
+        order = sorted(range(len(p)), key=lambda i: (-p[i], i))[:3]
+        assert [t["label_id"] for t in got[vid]] == order
+        assert [t["label"] for t in got[vid]] == [f"class_{i}" for i in order]
+        assert np.allclose([t["confidence"] for t in got[vid]], p[order])
