@@ -105,34 +105,39 @@ def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessio
     common weekly slots -> next occurrence strictly after ``now`` (F13) -> drop
     slots overlapping a non-cancelled coach or member session from today on
     (J10) -> preference score (U4) -> top ``top_n`` by score then time (W4).
+
+    A slot's start depends only on (weekday, hour), and whether it is blocked only
+    on (person, start), so each side drops its busy slots per person (at most 168
+    rows each) before the pair join; the anti-joins never see pair rows.
     """
     now_ts = lit_ts(now)
-    weekly = expand_weekly(free_days).select("user_id", "user_type", "dow", "day_of_week", "hour")
-    member_slots = (weekly.filter(F.col("user_type") == "member")
-                    .select(F.col("user_id").alias("member_id"), "dow", "day_of_week", "hour"))
-    coach_slots = (weekly.filter(F.col("user_type") == "coach")
-                   .select(F.col("user_id").alias("coach_id"), "dow", "hour"))
-    # member side first: per (coach, dow, hour) the coach side has one row, so a
-    # coach with very many members still joins on many distinct keys
-    common = (pairs.select("coach_id", "member_id").distinct()
-              .join(member_slots, "member_id")
-              .join(coach_slots, ["coach_id", "dow", "hour"]))
-    cand = (common.withColumn("start", next_occurrence(F.col("dow"), F.col("hour"), now_ts))
-            .withColumn("end", F.timestamp_add("MINUTE", F.lit(duration), F.col("start"))))
     today = F.to_date(now_ts)
     horizon = F.date_add(today, 8 + duration // 1440)
     busy = session_intervals(sessions.filter(
         (F.lower("status") != "cancelled") & (F.col("session_date") >= today)
         & (F.col("session_date") <= horizon)))
-    free = overlaps_busy(cand, busy, "coach_id", duration)
-    free = overlaps_busy(free, busy, "member_id", duration)
+    weekly = (expand_weekly(free_days).select("user_id", "user_type", "dow", "day_of_week", "hour")
+              .withColumn("start", next_occurrence(F.col("dow"), F.col("hour"), now_ts))
+              .filter(F.col("start") > now_ts))
+    member_slots = overlaps_busy(
+        weekly.filter(F.col("user_type") == "member")
+        .select(F.col("user_id").alias("member_id"), "dow", "day_of_week", "hour", "start"),
+        busy, "member_id", duration)
+    coach_slots = overlaps_busy(
+        weekly.filter(F.col("user_type") == "coach")
+        .select(F.col("user_id").alias("coach_id"), "dow", "hour", "start"),
+        busy, "coach_id", duration).drop("start")
+    # member side first: per (coach, dow, hour) the coach side has one row, so a
+    # coach with very many members still joins on many distinct keys
+    free = (pairs.select("coach_id", "member_id").distinct()
+            .join(member_slots, "member_id")
+            .join(coach_slots, ["coach_id", "dow", "hour"]))
     cp = _prefs_for(prefs, "coach", "coach_id", "coach_pref")
     mp = _prefs_for(prefs, "member", "member_id", "member_pref")
     scored = (free.join(cp, "coach_id", "left").join(mp, "member_id", "left")
               .withColumn("preference_score",
                           score(F.array_contains("coach_pref", F.col("hour")),
-                                F.array_contains("member_pref", F.col("hour"))))
-              .filter(F.col("start") > now_ts))
+                                F.array_contains("member_pref", F.col("hour")))))
     from gymlake.operators.attendance import latest_n
     best = latest_n(scored, ["coach_id", "member_id"],
                     [F.desc("preference_score"), F.asc("start")], top_n)
