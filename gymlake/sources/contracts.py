@@ -13,18 +13,19 @@ from gymlake.sources.schemas import ENUMS, RANGES, SCHEMAS, UNIQUE_KEYS
 def describe_table(df: DataFrame, table: str) -> DataFrame:
     """One row per expected column: present?, actual type, expected type, and
     the table's row count (a single aggregate over the scan)."""
-    spark = df.sparkSession
     expected = SCHEMAS.get(table)
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = [f.name for f in expected.fields] if expected else list(actual)
     rows = [(table, n, n in actual, actual.get(n),
              expected[n].dataType.simpleString() if expected and n in expected.fieldNames() else None)
             for n in names]
-    meta = spark.createDataFrame(rows, "table_name string, column_name string, present boolean, "
-                                       "actual_type string, expected_type string")
-    count = df.agg(F.count(F.lit(1)).alias("row_count"))
-    # one-row aggregate attached to every metadata row
-    return meta.join(F.broadcast(count), how="cross")
+    fields = ("table_name", "column_name", "present", "actual_type", "expected_type")
+    meta = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f) for v, f, t in
+                                zip(r, fields, ("string", "string", "boolean", "string", "string"))])
+                     for r in rows])
+    # the metadata rows are generated from the one-row aggregate itself: no join
+    return (df.agg(F.count(F.lit(1)).alias("row_count"))
+            .select(F.inline(meta), "row_count"))
 
 
 def check_constraints(df: DataFrame, table: str) -> DataFrame:
