@@ -40,9 +40,41 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not shuffle_partitions:
+        size_shuffle_partitions(spark)
     return spark
 
 
+# Shuffles start at this many tasks per executor core; AQE then coalesces small
+# reducers (advisory 64 MB) and splits skewed ones, so over-provisioning is cheap
+# while too few reducers spill or run out of memory.
+TASKS_PER_CORE = 4
+
+
+def cluster_cores(spark: SparkSession) -> int:
+    """Executor cores the job may use: the dynamic-allocation ceiling if there is
+    one (executors may not have registered yet), else the default parallelism."""
+    conf = spark.sparkContext.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        execs = int(conf.get("spark.dynamicAllocation.maxExecutors", "0") or 0)
+        cores = int(conf.get("spark.executor.cores", "1"))
+        if execs > 0:
+            return execs * cores
+    return spark.sparkContext.defaultParallelism
+
+
+def size_shuffle_partitions(spark: SparkSession) -> int:
+    """Unless the submit configuration names ``spark.sql.shuffle.partitions``, size
+    it from the cluster (Spark's default of 200 would give 500 GB reducers on a
+    100 TB join).  Scan splits stay at ``spark.sql.files.maxPartitionBytes``."""
+    conf = spark.sparkContext.getConf()
+    if conf.contains("spark.sql.shuffle.partitions"):
+        return int(conf.get("spark.sql.shuffle.partitions"))
+    n = max(200, TASKS_PER_CORE * cluster_cores(spark))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
