@@ -78,7 +78,9 @@ def size_shuffle_partitions(spark: SparkSession) -> int:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) do we create a scratch folder of our own.
+    Only when it is unset on a local master (tests) do we create a scratch folder
+    of our own; on a cluster a machine-local folder would not survive the loss of
+    the executor that wrote it, so an unset setting is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -89,6 +91,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a shared folder (HDFS, S3, ...) "
+                         "that every executor and the driver can reach")
     local = tempfile.mkdtemp(prefix="gymlake-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
