@@ -4,6 +4,7 @@ import datetime as dt
 import decimal
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,15 @@ def test_stream_drops_late_rows(spark):
     # Spark drops rows older than the watermark in force *before* the previous batch
     # (late-event watermark lags one batch), so the third batch's 2024-01-02 row is dropped
     assert out == {"2024-01-10": 100.0, "2024-01-20": 56.0}
+
+
+def test_replayed_micro_batch_is_written_once(spark):
+    from gymlake.session import checkpoint_dir
+    out = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex[:8]}"
+    b0 = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    b1 = spark.createDataFrame([(3, "c")], "k int, v string")
+    st.write_batch(b0, out, 0)
+    st.write_batch(b1, out, 1)
+    st.write_batch(b0, out, 0)          # batch 0 replayed after a failure
+    rows = sorted((r["k"], r["_batch"]) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 0), (2, 0), (3, 1)]
