@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from gymlake.sources import fixtures
 
 
+# Parquet schemas inferred once per session and path; later scans pass the schema
+# explicitly, so planning a query does not re-read footers for every table.
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
 def load_table(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:
     """Scan one Parquet table.  Column pruning and filters reach the scan via Catalyst."""
-    reader = spark.read
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if schema is None:
+        schema = _SCHEMAS.get(key)
     if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
+        return spark.read.schema(schema).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[key] = df.schema
+    return df
 
 
 def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
