@@ -20,6 +20,7 @@ PLAN_FIELDS = ("plan_name", "daily_calories", "daily_protein", "daily_carbs", "d
 PLAN_SCHEMA = ("struct<meal_plan:map<string, map<string, struct<name:string, ingredients:array<string>, "
                "nutrition:struct<calories:double, protein:double, carbs:double, fat:double>>>>, "
                "shopping_list:array<string>>")
+# Feedback rejection messages.
 FEEDBACK_REASONS = {"empty": "Message is required", "not_assigned": "Member is not assigned to you"}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gymlake.functions.text import strip, valid_message
 from gymlake.functions.text import MAX_MESSAGE_CHARS
 
+# Message rejection reasons.
 MESSAGE_REASONS = {"empty": "empty_message", "long": "message_too_long", "contact": "invalid_contact"}
 
 
