@@ -22,15 +22,6 @@ REASONS = {
 }
 
 
-def same_gym_pairs(requests: DataFrame, members: DataFrame, coaches: DataFrame) -> DataFrame:
-    """Requests whose member and coach exist and belong to the same gym."""
-    m = members.select(F.col("id").alias("member_id"), F.col("gym_id").alias("_mg"),
-                       "membership_type")
-    c = coaches.select(F.col("id").alias("coach_id"), F.col("gym_id").alias("_cg"))
-    return (requests.join(m, "member_id").join(c, "coach_id")
-            .filter(F.col("_mg") == F.col("_cg")).withColumnRenamed("_mg", "gym_id").drop("_cg"))
-
-
 def slot_conflicts(sessions: DataFrame, who: str = "coach_id") -> DataFrame:
     """(person, date, time) cells held by more than one non-cancelled session."""
     active = sessions.filter(F.lower("status") != "cancelled")
@@ -67,12 +58,14 @@ def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFram
                   .withColumn("_coach_busy", F.lit(True)))
     member_busy = (active.select("member_id", "session_date", "session_time").distinct()
                    .withColumn("_member_busy", F.lit(True)))
-    tenancy = (same_gym_pairs(requests.select("request_id", "member_id", "coach_id"), members, coaches)
-               .select("request_id", F.lit(True).alias("_same_gym")))
+    # J13 as two lookups on the request row (no second pass over the batch)
+    member_gym = members.select(F.col("id").alias("member_id"), F.col("gym_id").alias("_mg"))
+    coach_gym = coaches.select(F.col("id").alias("coach_id"), F.col("gym_id").alias("_cg"))
     assigned = (member_coach.select("member_id", "coach_id").distinct()
                 .withColumn("_assigned", F.lit(True)))
     r = (requests.withColumn("_missing", missing)
-         .join(tenancy, "request_id", "left")
+         .join(member_gym, "member_id", "left").join(coach_gym, "coach_id", "left")
+         .withColumn("_same_gym", F.when(F.col("_mg") == F.col("_cg"), F.lit(True)))
          .join(assigned, ["member_id", "coach_id"], "left")
          .join(coach_busy, ["coach_id", "session_date", "session_time"], "left")
          .join(member_busy, ["member_id", "session_date", "session_time"], "left"))
