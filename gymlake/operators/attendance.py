@@ -37,10 +37,13 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
-def price_table(spark, prices: dict) -> DataFrame:
-    """Tier price lookup; its size is the number of tiers (fixed), so it is broadcast."""
-    rows = [(k, float(v)) for k, v in prices.items()]
-    return F.broadcast(spark.createDataFrame(rows, "membership_type string, price double"))
+def tier_price(tier, prices: dict) -> Column:
+    """Tier price lookup compiled into a ``CASE`` (no join); unknown tiers give NULL."""
+    tier = F.col(tier) if isinstance(tier, str) else tier
+    out = None
+    for k, v in prices.items():
+        out = (F.when if out is None else out.when)(tier == F.lit(k), F.lit(float(v)))
+    return out.cast("double")
 
 
 # ---------------------------------------------------------------- A1 / A8
@@ -134,8 +137,7 @@ def gym_dashboard(gyms: DataFrame, members: DataFrame, coaches: DataFrame,
                   sessions: DataFrame, as_of, prices: dict | None = None) -> DataFrame:
     """The four scalar subqueries of the gym dashboard, for every gym in one pass."""
     prices = prices or REVENUE_PRICES
-    spark = gyms.sparkSession
-    mem = (members.join(price_table(spark, prices), "membership_type", "left")
+    mem = (members.withColumn("price", tier_price("membership_type", prices))
            .groupBy("gym_id").agg(F.count(F.lit(1)).alias("total_members"),
                                   F.sum("price").alias("monthly_revenue")))
     coa = (coaches.filter(F.col("status") == "Active").groupBy("gym_id")
@@ -154,7 +156,7 @@ def gym_dashboard(gyms: DataFrame, members: DataFrame, coaches: DataFrame,
 def monthly_revenue(members: DataFrame, prices: dict | None = None) -> DataFrame:
     """Revenue by gym and tier with per-gym totals (``rollup``); tier NULL = gym total."""
     prices = prices or REVENUE_PRICES
-    priced = members.join(price_table(members.sparkSession, prices), "membership_type", "left")
+    priced = members.withColumn("price", tier_price("membership_type", prices))
     return (priced.rollup("gym_id", "membership_type")
             .agg(F.count(F.lit(1)).alias("members"),
                  F.round(F.coalesce(F.sum("price"), F.lit(0.0)), 2).alias("revenue"))
@@ -172,7 +174,7 @@ def membership_stats(members: DataFrame, as_of) -> DataFrame:
 def revenue_stats(members: DataFrame, prices: dict | None = None) -> DataFrame:
     """X28 part 3: revenue and tier head counts per gym."""
     prices = prices or REVENUE_PRICES
-    priced = members.join(price_table(members.sparkSession, prices), "membership_type", "left")
+    priced = members.withColumn("price", tier_price("membership_type", prices))
     return priced.groupBy("gym_id").agg(
         F.round(F.sum("price"), 2).alias("monthly_revenue"),
         F.count(F.when(F.col("membership_type") == "Basic", 1)).alias("basic_members"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gymlake.functions.rates import capacity
-from gymlake.operators.attendance import BILLING_PRICES, price_table
+from gymlake.operators.attendance import BILLING_PRICES, tier_price
 
 # Per-session price by membership tier.
 SESSION_PRICES = {"Basic": 25.0, "Premium": 20.0, "VIP": 15.0}
@@ -21,9 +21,9 @@ def session_payments(bookings: DataFrame, members: DataFrame, prices: dict | Non
     """One pending ``Session`` payment per accepted booking, priced by tier (D16:
     the payment carries its session/request id)."""
     prices = prices or SESSION_PRICES
-    pt = price_table(members.sparkSession, prices)
     m = members.select(F.col("id").alias("member_id"), "gym_id", "membership_type")
-    return (bookings.join(m, "member_id").join(pt, "membership_type", "left")
+    return (bookings.join(m, "member_id")
+            .withColumn("price", tier_price("membership_type", prices))
             .select("request_id", "member_id", "gym_id",
                     F.coalesce("price", F.lit(DEFAULT_SESSION_PRICE)).alias("amount"),
                     F.lit("Session").alias("payment_type"), F.lit("Pending").alias("status"),
@@ -35,9 +35,8 @@ def session_payments(bookings: DataFrame, members: DataFrame, prices: dict | Non
 def renewal_payments(members: DataFrame, prices: dict | None = None) -> DataFrame:
     """Monthly renewal per member at the billing price; unknown tiers rejected."""
     prices = prices or BILLING_PRICES
-    pt = price_table(members.sparkSession, prices)
     j = members.select(F.col("id").alias("member_id"), "gym_id", "membership_type") \
-        .join(pt, "membership_type", "left")
+        .withColumn("price", tier_price("membership_type", prices))
     return j.select("member_id", "gym_id", "membership_type",
                     F.col("price").alias("amount"),
                     F.lit("Membership").alias("payment_type"),

@@ -30,20 +30,26 @@ def describe_table(df: DataFrame, table: str) -> DataFrame:
 
 def check_constraints(df: DataFrame, table: str) -> DataFrame:
     """S3: violations of enum domains (case-insensitive), ranges and unique keys,
-    as (table, check, column, bad_rows)."""
-    parts = []
+    as (table, check, column, bad_rows).
+
+    All enum and range checks are counted in one aggregate pass over the table and
+    unpivoted into rows; only the unique-key check needs its own grouping."""
+    checks = []  # (check name, column, bad-row condition)
     for (t, col), values in ENUMS.items():
         if t == table and col in df.columns:
-            bad = ~F.lower(F.col(col)).isin([v.lower() for v in values]) & F.col(col).isNotNull()
-            parts.append(df.agg(F.count(F.when(bad, 1)).alias("bad_rows"))
-                         .select(F.lit(table).alias("table_name"), F.lit("enum").alias("check_name"),
-                                 F.lit(col).alias("column_name"), "bad_rows"))
+            checks.append(("enum", col, ~F.lower(F.col(col)).isin([v.lower() for v in values])
+                           & F.col(col).isNotNull()))
     for (t, col), (lo, hi) in RANGES.items():
         if t == table and col in df.columns:
-            bad = ~F.col(col).between(lo, hi)
-            parts.append(df.agg(F.count(F.when(bad, 1)).alias("bad_rows"))
-                         .select(F.lit(table).alias("table_name"), F.lit("range").alias("check_name"),
-                                 F.lit(col).alias("column_name"), "bad_rows"))
+            checks.append(("range", col, ~F.col(col).between(lo, hi)))
+    parts = []
+    if checks:
+        counts = df.agg(*[F.count(F.when(bad, 1)).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)])
+        rows = F.array(*[F.struct(F.lit(name).alias("check_name"), F.lit(col).alias("column_name"),
+                                  F.col(f"c{i}").alias("bad_rows"))
+                         for i, (name, col, _) in enumerate(checks)])
+        parts.append(counts.select(F.inline(rows))
+                     .select(F.lit(table).alias("table_name"), "check_name", "column_name", "bad_rows"))
     key = UNIQUE_KEYS.get(table)
     if key and all(k in df.columns for k in key):
         dup = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
