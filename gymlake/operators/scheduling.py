@@ -87,6 +87,23 @@ def hour_index(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / HOUR_US)
 
 
+def blocked_week_cells(intervals: DataFrame, key: str, duration: int, now) -> DataFrame:
+    """J10 for weekly slots: the (weekday, hour) cells whose next occurrence after
+    ``now`` is blocked for ``key``.
+
+    Every next occurrence (F13) lies in ``(now, now + 7 days]``, and that window
+    holds exactly one hour-aligned instant per (weekday, hour); so a blocked start
+    inside it names its cell, and one outside it blocks no candidate.  The mapping
+    runs on the (small) busy side, and candidates are removed by an equi anti-join
+    on (person, weekday, hour) without computing a timestamp per candidate.
+    """
+    now = _c(now)
+    t = F.timestamp_micros(F.col("start_hour_index") * F.lit(HOUR_US)).cast("timestamp_ntz")
+    return (blocked_starts(intervals, key, duration)
+            .filter((t > now) & (t <= F.timestamp_add("DAY", F.lit(7), now)))
+            .select(F.col(key), F.weekday(t).alias("dow"), F.hour(t).alias("hour")))
+
+
 def overlaps_busy(slots: DataFrame, busy: DataFrame, key: str, duration: int,
                   start_col: str = "start") -> DataFrame:
     """Hour-aligned slots of length ``duration`` minutes that overlap no busy
@@ -107,8 +124,10 @@ def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessio
     (J10) -> preference score (U4) -> top ``top_n`` by score then time (W4).
 
     A slot's start depends only on (weekday, hour), and whether it is blocked only
-    on (person, start), so each side drops its busy slots per person (at most 168
-    rows each) before the pair join; the anti-joins never see pair rows.
+    on (person, start), so each side drops its blocked cells per person (at most
+    168 rows each, J10 via ``blocked_week_cells``) before the pair join; the
+    anti-joins never see pair rows, and start timestamps are computed only for
+    the pairs' common free cells.
     """
     now_ts = lit_ts(now)
     today = F.to_date(now_ts)
@@ -116,22 +135,22 @@ def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessio
     busy = session_intervals(sessions.filter(
         (F.lower("status") != "cancelled") & (F.col("session_date") >= today)
         & (F.col("session_date") <= horizon)))
-    weekly = (expand_weekly(free_days).select("user_id", "user_type", "dow", "day_of_week", "hour")
-              .withColumn("start", next_occurrence(F.col("dow"), F.col("hour"), now_ts))
-              .filter(F.col("start") > now_ts))
-    member_slots = overlaps_busy(
-        weekly.filter(F.col("user_type") == "member")
-        .select(F.col("user_id").alias("member_id"), "dow", "day_of_week", "hour", "start"),
-        busy, "member_id", duration)
-    coach_slots = overlaps_busy(
-        weekly.filter(F.col("user_type") == "coach")
-        .select(F.col("user_id").alias("coach_id"), "dow", "hour", "start"),
-        busy, "coach_id", duration).drop("start")
+    weekly = expand_weekly(free_days).select("user_id", "user_type", "dow", "day_of_week", "hour")
+    cell = ["dow", "hour"]
+    member_slots = (weekly.filter(F.col("user_type") == "member")
+                    .select(F.col("user_id").alias("member_id"), "dow", "day_of_week", "hour")
+                    .join(blocked_week_cells(busy, "member_id", duration, now_ts),
+                          ["member_id", *cell], "left_anti"))
+    coach_slots = (weekly.filter(F.col("user_type") == "coach")
+                   .select(F.col("user_id").alias("coach_id"), "dow", "hour")
+                   .join(blocked_week_cells(busy, "coach_id", duration, now_ts),
+                         ["coach_id", *cell], "left_anti"))
     # member side first: per (coach, dow, hour) the coach side has one row, so a
     # coach with very many members still joins on many distinct keys
     free = (pairs.select("coach_id", "member_id").distinct()
             .join(member_slots, "member_id")
-            .join(coach_slots, ["coach_id", "dow", "hour"]))
+            .join(coach_slots, ["coach_id", *cell])
+            .withColumn("start", next_occurrence(F.col("dow"), F.col("hour"), now_ts)))
     cp = _prefs_for(prefs, "coach", "coach_id", "coach_pref")
     mp = _prefs_for(prefs, "member", "member_id", "member_pref")
     scored = (free.join(cp, "coach_id", "left").join(mp, "member_id", "left")

@@ -121,3 +121,22 @@ def test_coach_overview_with_hot_coach_matches_brute_force(spark):
         mine = [r for r in rows if r[2] == c]
         done = sum(1 for r in mine if r[7].lower() == "completed")
         assert got[c] == (len(members), len(mine), done)
+
+
+@pytest.mark.parametrize("now", ["2024-01-25 10:30:00", "2024-01-25 10:00:00", "2024-01-23 23:59:59"])
+def test_week_cells_equal_timestamp_overlap(spark, now):
+    """The (weekday, hour) anti-join of slot matching equals the timestamp test."""
+    from gymlake.functions.timeutil import lit_ts, next_occurrence
+    rng = random.Random(3)
+    rows = _sessions_with_hot_coach(rng, n=600)
+    busy = spark.createDataFrame(rows, "id long, coach_id int, s_start timestamp_ntz, s_end timestamp_ntz")
+    coaches = sorted({r[1] for r in rows})
+    cells = spark.createDataFrame([(c, d, h) for c in coaches for d in range(7) for h in range(24)],
+                                  "coach_id int, dow int, hour int")
+    by_cell = cells.join(sc.blocked_week_cells(busy, "coach_id", 60, lit_ts(now)),
+                         ["coach_id", "dow", "hour"], "left_anti")
+    with_start = cells.withColumn("start", next_occurrence(F.col("dow"), F.col("hour"), lit_ts(now)))
+    by_time = sc.overlaps_busy(with_start, busy, "coach_id", 60).drop("start")
+    got = {tuple(r) for r in by_cell.collect()}
+    assert got == {tuple(r) for r in by_time.collect()}
+    assert 0 < len(got) < len(coaches) * 168
