@@ -17,6 +17,14 @@ from gymlake.functions.timeutil import (WEEKDAYS, hours_to_block, lit_date, lit_
                                         start_ts, to_hour, weekday_from_name)
 
 HOUR_US = 3_600_000_000  # microseconds per hour
+# Wall-clock origin of the hour grid.  Offsets are taken between TIMESTAMP_NTZ
+# values, so the grid does not depend on the session time zone.
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _micros(ts) -> Column:
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
 # Hours shown in the group availability heat-map (8:00 .. 21:00).
 GROUP_HOURS = (8, 22)
 PREFERRED_SLOTS_SCHEMA = "array<string>"
@@ -73,8 +81,8 @@ def blocked_starts(intervals: DataFrame, key: str, duration: int) -> DataFrame:
     a plain equi anti-join: no pair of intervals is ever enumerated, however many
     sessions one coach or member holds.
     """
-    s_us = F.unix_micros(F.col("s_start").cast("timestamp"))
-    e_us = F.unix_micros(F.col("s_end").cast("timestamp"))
+    s_us = _micros(F.col("s_start").cast("timestamp_ntz"))
+    e_us = _micros(F.col("s_end").cast("timestamp_ntz"))
     d_us = F.lit(duration * 60_000_000)
     k_lo = F.floor((s_us - d_us) / HOUR_US) + 1
     k_hi = F.ceil(e_us / HOUR_US) - 1
@@ -84,7 +92,7 @@ def blocked_starts(intervals: DataFrame, key: str, duration: int) -> DataFrame:
 
 
 def hour_index(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / HOUR_US)
+    return F.floor(_micros(ts.cast("timestamp_ntz")) / HOUR_US)
 
 
 def blocked_week_cells(intervals: DataFrame, key: str, duration: int, now) -> DataFrame:
@@ -98,7 +106,7 @@ def blocked_week_cells(intervals: DataFrame, key: str, duration: int, now) -> Da
     on (person, weekday, hour) without computing a timestamp per candidate.
     """
     now = _c(now)
-    t = F.timestamp_micros(F.col("start_hour_index") * F.lit(HOUR_US)).cast("timestamp_ntz")
+    t = F.timestamp_add("HOUR", F.col("start_hour_index"), _epoch())
     return (blocked_starts(intervals, key, duration)
             .filter((t > now) & (t <= F.timestamp_add("DAY", F.lit(7), now)))
             .select(F.col(key), F.weekday(t).alias("dow"), F.hour(t).alias("hour")))

@@ -44,10 +44,15 @@ def _load_all():
         q_streaming, q_sources, q_directory)
 
 
+def _run(e: Entry, spark: SparkSession, sf_dir: str) -> DataFrame:
+    # dates, hours and day windows are wall-clock UTC values (as in get_spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return e.build(Tables(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
-    return {name: (lambda spark, sf_dir, e=e: e.build(Tables(spark, sf_dir)))
-            for name, e in REGISTRY.items()}
+    return {name: (lambda spark, sf_dir, e=e: _run(e, spark, sf_dir)) for name, e in REGISTRY.items()}
 
 
 def full_sql(entry: Entry) -> str:

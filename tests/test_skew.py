@@ -140,3 +140,14 @@ def test_week_cells_equal_timestamp_overlap(spark, now):
     got = {tuple(r) for r in by_cell.collect()}
     assert got == {tuple(r) for r in by_time.collect()}
     assert 0 < len(got) < len(coaches) * 168
+
+
+def test_hour_grid_does_not_depend_on_session_time_zone(spark):
+    """Wall-clock overlap must hold under a half-hour-offset session zone too."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        test_overlap_filter_matches_brute_force_with_hot_coach(spark)
+        test_week_cells_equal_timestamp_overlap(spark, "2024-01-25 10:30:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
