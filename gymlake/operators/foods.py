@@ -118,19 +118,26 @@ def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> Data
     """Food detail document -> one row of integer nutrients (half-even
     rounding; a later entry for the same field wins, across both id schemes);
     calories fall back to 4/4/9 from macros when missing or 0."""
-    doc = F.from_json(F.col(json_col), DETAIL_SCHEMA)
-    items = F.coalesce(doc["foodNutrients"], F.array())
+    # The parsed document, its nutrient array and each field's last hit are projected
+    # as their own columns: referenced several times, they are computed once per row
+    # (inline, every output field would re-parse the JSON and re-filter the array).
+    d = df.withColumn("_doc", F.from_json(F.col(json_col), DETAIL_SCHEMA))
+    d = d.withColumn("_items", F.coalesce(F.col("_doc.foodNutrients"), F.array()))
+    def last_hit(ids):
+        return F.try_element_at(F.filter("_items", lambda n: n["nutrient"]["id"].isin(*ids)), F.lit(-1))
+
+    d = d.select("*", *[last_hit(ids).alias(f"_hit_{f}") for f, ids in NUTRIENT_IDS.items()])
 
     def val(field):
-        v = _last_value(items, lambda n: n["nutrient"]["id"], lambda n: F.coalesce(n["amount"], F.lit(0.0)),
-                        NUTRIENT_IDS[field])
+        hit = F.col(f"_hit_{field}")
+        v = F.when(hit.isNotNull(), F.coalesce(hit["amount"], F.lit(0.0)))
         return F.coalesce(F.bround(v, 0).cast("long"), F.lit(0).cast("long"))
 
-    base = df.select("*", doc["fdcId"].alias("fdc_id"),
-                     F.coalesce(doc["description"], F.lit("")).alias("food_name"),
-                     F.coalesce(doc["brandOwner"], F.lit("")).alias("brand"),
-                     F.coalesce(doc["foodCategory"], F.lit("")).alias("category"),
-                     *[val(f).alias(f) for f in NUTRIENT_IDS])
+    base = d.select(*df.columns, F.col("_doc.fdcId").alias("fdc_id"),
+                    F.coalesce(F.col("_doc.description"), F.lit("")).alias("food_name"),
+                    F.coalesce(F.col("_doc.brandOwner"), F.lit("")).alias("brand"),
+                    F.coalesce(F.col("_doc.foodCategory"), F.lit("")).alias("category"),
+                    *[val(f).alias(f) for f in NUTRIENT_IDS])
     derived = F.bround(F.col("protein") * 4 + F.col("carbs") * 4 + F.col("fat") * 9, 0).cast("long")
     return base.withColumn("calories", F.when(F.col("calories") == 0, derived)
                            .otherwise(F.col("calories"))).drop(json_col)
