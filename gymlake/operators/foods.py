@@ -147,18 +147,20 @@ def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> Data
 def best_food_match(df: DataFrame, json_col: str = "search_json") -> DataFrame:
     """From a search result, the first food with calories and protein, else
     the first food (``source`` marks partial data); no foods -> NULL match."""
-    doc = F.from_json(F.col(json_col), SEARCH_SCHEMA)
-    foods = F.coalesce(doc["foods"], F.array())
+    # the food list and its complete subset are projected once per row
+    d = df.withColumn("_foods", F.coalesce(F.from_json(F.col(json_col), SEARCH_SCHEMA)["foods"], F.array()))
+    foods = F.col("_foods")
 
     def nutr(food, field):
         return _last_value(food["foodNutrients"], lambda n: n["nutrientId"],
                            lambda n: n["value"], (SEARCH_NUTRIENT_IDS[field],))
 
-    complete = F.filter(foods, lambda f: (F.coalesce(nutr(f, "calories"), F.lit(0.0)) != 0)
-                        & nutr(f, "protein").isNotNull())
-    chosen = F.coalesce(F.element_at(complete, 1), F.try_element_at(foods, F.lit(1)))
+    d = d.withColumn("_cmp", F.filter(foods, lambda f: (F.coalesce(nutr(f, "calories"), F.lit(0.0)) != 0)
+                                       & nutr(f, "protein").isNotNull()))
+    complete = F.col("_cmp")
+    chosen = F.coalesce(F.try_element_at(complete, F.lit(1)), F.try_element_at(foods, F.lit(1)))
     is_complete = F.size(complete) > 0
-    out = df.select("*", chosen.alias("_f"), is_complete.alias("_complete"))
+    out = d.select(*df.columns, chosen.alias("_f"), is_complete.alias("_complete"))
     return out.select(
         *[c for c in df.columns if c != json_col],
         F.col("_f.fdcId").alias("fdc_id"), F.col("_f.description").alias("food_name"),
@@ -174,11 +176,12 @@ def flatten_products(df: DataFrame, json_col: str = "product_json",
                      barcode_col: str = "barcode") -> DataFrame:
     """Product document (barcode shape or search shape) -> one row per product
     with per-100 g nutriments (missing -> 0); a barcode miss (status != 1) -> no row."""
-    doc = F.from_json(F.col(json_col), PRODUCT_SCHEMA)
+    keep = [c for c in df.columns if c != json_col]
+    d = df.withColumn("_doc", F.from_json(F.col(json_col), PRODUCT_SCHEMA))  # parsed once per row
+    doc = F.col("_doc")
     single = F.when(doc["status"] == 1, F.array(doc["product"].withField("code", F.col(barcode_col))))
     prods = F.coalesce(single, doc["products"], F.array())
-    keep = [c for c in df.columns if c != json_col]
-    ex = df.select(*keep, F.explode(prods).alias("p"))
+    ex = d.select(*keep, F.explode(prods).alias("p"))
     n = F.col("p.nutriments")
 
     def nm(k):
@@ -205,8 +208,9 @@ def filter_food_detections(df: DataFrame, json_col: str = "detections",
     is_food = lambda d: d["class_id"].isin(*FOOD_CLASS_IDS) | F.coalesce(kw(d), F.lit(False))
     foods = F.filter(dets, lambda d: (d["confidence"] >= min_conf) & is_food(d))
     keep = [c for c in df.columns if c != json_col]
-    return df.select(*keep, foods.alias("food_detections"),
-                     F.size(foods).alias("total_food_items"))
+    # the filtered list is its own column, so the count reuses it
+    return (df.select(*keep, foods.alias("food_detections"))
+            .withColumn("total_food_items", F.size("food_detections")))
 
 
 # ---------------------------------------------------------------- F25
