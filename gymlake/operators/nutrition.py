@@ -208,10 +208,10 @@ def detected_food_rows(detected: DataFrame) -> DataFrame:
     """X17 part 1: one log row per detected food; malformed or empty JSON -> default row."""
     d = DEFAULT_DETECTED_FOOD
     default = F.array(F.struct(*[F.lit(v).alias(k) for k, v in d.items()]))
-    parsed = F.from_json(F.col("detected_foods"), DETECTED_SCHEMA)
+    parsed = F.col("_parsed")  # parsed once per row, then tested and exploded
     foods = F.when(F.coalesce(F.size(parsed), F.lit(0)) <= 0, default).otherwise(parsed)
-    return (detected.select("id", "member_id", "meal_type", "log_date",
-                            F.posexplode(foods).alias("pos", "food"))
+    return (detected.withColumn("_parsed", F.from_json(F.col("detected_foods"), DETECTED_SCHEMA))
+            .select("id", "member_id", "meal_type", "log_date", F.posexplode(foods).alias("pos", "food"))
             .select("id", "pos", "member_id", "meal_type", "log_date",
                     F.col("food.name").alias("custom_food_name"),
                     F.col("food.quantity").alias("quantity"),
