@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gymlake.functions.nutrition_fx import (DEFAULT_GOALS, calories_from_macros, health_score,
                                             nutrition_feedback)
 from gymlake.functions.text import split_name
-from gymlake.functions.timeutil import WEEKDAYS, lit_date, week_start
+from gymlake.functions.timeutil import lit_date, week_start
 from gymlake.operators.filters import range_start
 
 MACROS = ("calories", "protein", "carbs", "fat")

@@ -17,7 +17,6 @@ from gymlake.plans import reports as rp
 from gymlake.plans.catalog import register
 from gymlake.session import checkpoint_dir
 from gymlake.sources.fixtures import SESSION_AS_OF
-from gymlake.sources.tables import load_table
 from gymlake.sources.sinks import write_report
 
 AS_OF = SESSION_AS_OF

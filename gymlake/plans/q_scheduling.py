@@ -10,7 +10,7 @@ from gymlake.operators import scheduling as sc
 from gymlake.operators import upserts as up
 from gymlake.plans.catalog import register
 from gymlake.plans.sqltext import q
-from gymlake.sources.fixtures import SESSION_AS_OF, SESSION_NOW
+from gymlake.sources.fixtures import SESSION_NOW
 
 NOW = SESSION_NOW
 NOW_TS = f"TIMESTAMP '{NOW}'"
