@@ -294,6 +294,23 @@ def coach_progress_stats(sessions: DataFrame, member_coach: DataFrame, time_rang
                         rate_or_zero("completed_sessions", "total_sessions", 0).cast("int")))
 
 
+def coach_progress_counts(sessions: DataFrame, member_coach: DataFrame, time_range: str,
+                          as_of) -> DataFrame:
+    """A1 + A8 and A12 for X25 in one pipeline: per-(member, day) partial counts
+    cross the bridge once, are summed per (coach, day), and one per-coach aggregate
+    yields the counters, the attendance rate and the number of active days."""
+    cols = ["total_sessions", "completed_sessions", "cancelled_sessions"]
+    per_day = _scoped(sessions, time_range, as_of).groupBy("member_id", "session_date").agg(
+        F.count(F.lit(1)).alias(cols[0]),
+        F.sum(_flag(_status_is("Completed"))).alias(cols[1]),
+        F.sum(_flag(_status_is("Cancelled"))).alias(cols[2]))
+    return (_coach_scope(per_day, member_coach, ["session_date"], cols)
+            .groupBy("coach_id").agg(*[F.sum(c).alias(c) for c in cols],
+                                     F.count(F.lit(1)).alias("active_days"))
+            .withColumn("attendance_rate",
+                        rate_or_zero("completed_sessions", "total_sessions", 0).cast("int")))
+
+
 # ---------------------------------------------------------------- W1
 def streaks(sessions: DataFrame, as_of) -> DataFrame:
     """Current and longest run of consecutive days with a completed session.

@@ -70,15 +70,13 @@ def member_dashboard(t: Tables, as_of) -> DataFrame:
 def coach_progress(t: Tables, time_range: str, as_of) -> DataFrame:
     """Per coach: counters and attendance (A1/A8), most common workout (A10),
     number of types (A11) and active days (A12) over the coach's members' sessions."""
-    stats = at.coach_progress_stats(t.sessions, t.member_coach, time_range, as_of)
+    stats = at.coach_progress_counts(t.sessions, t.member_coach, time_range, as_of)
     dist = at.workout_distribution(t.sessions, t.member_coach, time_range, as_of)
     common = at.common_workout(dist).select("coach_id", F.col("workout_type").alias("common_workout"))
     types = dist.groupBy("coach_id").agg(F.count(F.lit(1)).alias("workout_types"))
-    days = (at.session_history(t.sessions, t.member_coach, time_range, as_of)
-            .groupBy("coach_id").agg(F.count(F.lit(1)).alias("active_days")))
     c = t.coaches.select(F.col("id").alias("coach_id"), "name")
     out = (c.join(stats, "coach_id", "left").join(common, "coach_id", "left")
-           .join(types, "coach_id", "left").join(days, "coach_id", "left"))
+           .join(types, "coach_id", "left"))
     zero = ["total_sessions", "completed_sessions", "cancelled_sessions", "attendance_rate",
             "workout_types", "active_days"]
     return out.select("coach_id", "name", *[F.coalesce(x, F.lit(0)).alias(x) for x in zero],
