@@ -35,12 +35,19 @@ def gym_reports(t: Tables, as_of) -> dict[str, DataFrame]:
 
 def gym_report_summary(t: Tables, as_of) -> DataFrame:
     """X28 as one row per gym: membership, 30-day sessions, revenue and rates."""
-    mem = (at.membership_stats(t.members, as_of).groupBy("gym_id")
-           .agg(F.sum("count").alias("total_members"), F.sum("new_members").alias("new_members")))
+    # membership mix (A13) and revenue (A7) in one aggregate over the members
+    lo = F.date_sub(lit_date(as_of), 30)
+    tier = F.col("membership_type")
+    mem = (t.members.withColumn("price", at.tier_price("membership_type", at.REVENUE_PRICES))
+           .groupBy("gym_id")
+           .agg(F.count(F.lit(1)).alias("total_members"),
+                F.count(F.when(F.col("join_date") >= lo, 1)).alias("new_members"),
+                F.round(F.sum("price"), 2).alias("monthly_revenue"),
+                *[F.count(F.when(tier == k, 1)).alias(f"{k.lower()}_members")
+                  for k in ("Basic", "Premium", "VIP")]))
     ses = at.gym_session_report(t.sessions, as_of)
-    rev = at.revenue_stats(t.members)
     g = t.gyms.select(F.col("id").alias("gym_id"), F.col("name").alias("gym_name"))
-    out = g.join(mem, "gym_id", "left").join(ses, "gym_id", "left").join(rev, "gym_id", "left")
+    out = g.join(mem, "gym_id", "left").join(ses, "gym_id", "left")
     zero = ["total_members", "new_members", "total_sessions", "completed_sessions",
             "cancelled_sessions", "active_members", "active_coaches", "basic_members",
             "premium_members", "vip_members"]
