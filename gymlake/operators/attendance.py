@@ -311,6 +311,43 @@ def coach_progress_counts(sessions: DataFrame, member_coach: DataFrame, time_ran
                         rate_or_zero("completed_sessions", "total_sessions", 0).cast("int")))
 
 
+def member_counters_and_streaks(sessions: DataFrame, as_of) -> DataFrame:
+    """A1 + A8 + W1 for X27 in one pipeline over one scan.
+
+    Sessions are counted per (member, day); a running count of completed days per
+    member (window bounded by the calendar) gives each completed day its
+    gaps-and-islands group ``day - running count``; one aggregate per (member,
+    group) and one per member then yield the counters and both streaks.  A day
+    without a completed session never joins a run, exactly as in ``streaks``."""
+    d = lit_date(as_of)
+    week = F.col("session_date") >= F.date_sub(d, 7)
+    per_day = sessions.groupBy("member_id", "session_date").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(_flag(_status_is("Completed"))).alias("done"),
+        F.sum(_flag(_status_is("Cancelled"))).alias("cancelled"))
+    streak_day = (F.col("done") > 0) & (F.col("session_date") <= d)
+    w = (Window.partitionBy("member_id").orderBy("session_date")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = (per_day.withColumn("_sd", streak_day)
+            .withColumn("_grp", F.date_sub("session_date", F.sum(_flag(F.col("_sd"))).over(w).cast("int")))
+            .groupBy("member_id", "_grp").agg(
+                F.sum("n").alias("n"), F.sum("done").alias("done"), F.sum("cancelled").alias("cancelled"),
+                F.sum(F.when(F.col("session_date") >= d, F.col("n")).otherwise(0)).alias("upcoming"),
+                F.sum(F.when(week, F.col("n")).otherwise(0)).alias("wk"),
+                F.sum(F.when(week, F.col("done")).otherwise(0)).alias("wk_done"),
+                F.count(F.when(F.col("_sd"), 1)).alias("run_len"),
+                F.max(F.when(F.col("_sd"), F.col("session_date"))).alias("run_end")))
+    return (runs.groupBy("member_id").agg(
+                F.sum("n").alias("total_sessions"), F.sum("done").alias("completed_sessions"),
+                F.sum("cancelled").alias("cancelled_sessions"), F.sum("upcoming").alias("upcoming_sessions"),
+                F.sum("wk").alias("week_sessions"), F.sum("wk_done").alias("week_completed_sessions"),
+                F.coalesce(F.max(F.when(F.col("run_len") > 0, F.col("run_len"))), F.lit(0)).alias("longest_streak"),
+                F.coalesce(F.max(F.when(F.col("run_end") >= F.date_sub(d, 1), F.col("run_len"))),
+                           F.lit(0)).alias("current_streak"))
+            .withColumn("week_progress",
+                        rate_or_zero("week_completed_sessions", "week_sessions", 0).cast("int")))
+
+
 # ---------------------------------------------------------------- W1
 def streaks(sessions: DataFrame, as_of) -> DataFrame:
     """Current and longest run of consecutive days with a completed session.

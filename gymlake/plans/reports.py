@@ -59,13 +59,12 @@ def gym_report_summary(t: Tables, as_of) -> DataFrame:
 # ---------------------------------------------------------------- X27
 def member_dashboard(t: Tables, as_of) -> DataFrame:
     """Counters (A1), week progress (A8), streaks (W1) and coach (J4) per member."""
-    stats = at.session_stats(t.sessions, "member_id", as_of)
-    st = at.streaks(t.sessions, as_of).select("member_id", "current_streak", "longest_streak")
+    stats = at.member_counters_and_streaks(t.sessions, as_of)
     coach = (t.member_coach.groupBy("member_id").agg(F.min("coach_id").alias("coach_id"))
              .join(t.coaches.select(F.col("id").alias("coach_id"), F.col("name").alias("coach_name")),
                    "coach_id", "left"))
     m = t.members.select(F.col("id").alias("member_id"), "name", "membership_type")
-    out = m.join(stats, "member_id", "left").join(st, "member_id", "left").join(coach, "member_id", "left")
+    out = m.join(stats, "member_id", "left").join(coach, "member_id", "left")
     counters = ["total_sessions", "completed_sessions", "cancelled_sessions", "upcoming_sessions",
                 "week_sessions", "week_completed_sessions", "week_progress", "current_streak",
                 "longest_streak"]

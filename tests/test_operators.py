@@ -122,3 +122,22 @@ def test_softmax_topk_matches_numpy(spark):
         assert [t["label_id"] for t in got[vid]] == order
         assert [t["label"] for t in got[vid]] == [f"class_{i}" for i in order]
         assert np.allclose([t["confidence"] for t in got[vid]], p[order])
+
+
+def test_member_counters_and_streaks_equal_separate_operators(spark):
+    import random
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(30), 1, 1, d("2024-01-01") + dt.timedelta(days=rng.randrange(60)), "10:00", 60,
+             rng.choice(["Completed", "completed", "Cancelled", "Scheduled", "No-show"]), None)
+            for i in range(1500)]
+    s = sessions(spark, rows)
+    as_of = "2024-02-10"                  # days after as_of exist and must not extend runs
+    one = {r["member_id"]: r.asDict() for r in at.member_counters_and_streaks(s, as_of).collect()}
+    stats = {r["member_id"]: r.asDict() for r in at.session_stats(s, "member_id", as_of).collect()}
+    st = {r["member_id"]: r.asDict() for r in at.streaks(s, as_of).collect()}
+    assert set(one) == set(stats)
+    for m, r in one.items():
+        for k, v in stats[m].items():
+            assert r[k] == v, (m, k)
+        assert r["longest_streak"] == st.get(m, {}).get("longest_streak", 0)
+        assert r["current_streak"] == st.get(m, {}).get("current_streak", 0)
