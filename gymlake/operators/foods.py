@@ -220,22 +220,25 @@ def softmax_topk(df: DataFrame, logits: str, k: int = 3, labels=None,
     desc, then index) as array<struct(label_id, label, confidence)>.
 
     Higher-order functions are interpreted, and an outer expression captured by a
-    lambda is re-evaluated for every element, so a one-pass softmax is cubic in the
-    array length.  Here the row max is its own projected column, ranking uses the
-    unnormalised ``exp(v - max)`` (dividing by the positive row sum keeps the order
-    and the ties), and only the ``k`` survivors are divided by the sum."""
-    x = F.transform(F.col(logits), lambda v: v.cast("double"))
-    d = df.withColumn("_x", x).withColumn("_m", F.array_max("_x"))
-    d = d.withColumn("_e", F.transform("_x", lambda v: F.exp(v - F.col("_m"))))
-    d = d.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v))
+    lambda body is re-evaluated for every element (Catalyst may also inline a
+    projected helper column back into the body), so a one-pass softmax is cubic
+    in the array length.  Per-row values therefore reach lambdas only as
+    arguments -- ``zip_with`` over ``array_repeat`` -- which are evaluated once per
+    row.  Ranking uses the unnormalised ``exp(v - max)`` (dividing by the positive
+    row sum keeps the order and the ties); only the ``k`` survivors are divided."""
+    d = df.withColumn("_x", F.transform(F.col(logits), lambda v: v.cast("double")))
+    rep = lambda value, like: F.array_repeat(value, F.size(like))
+    d = d.withColumn("_e", F.zip_with("_x", rep(F.array_max("_x"), "_x"), lambda v, m: F.exp(v - m)))
+    s = F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v)
     ranked = F.transform("_e", lambda e, i: F.struct(e.alias("e"), (-i).alias("neg_i")))
-    top = F.slice(F.sort_array(ranked, asc=False), 1, k)
+    d = d.withColumn("_top", F.slice(F.sort_array(ranked, asc=False), 1, k))
     lab = (lambda i: F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1)) if labels else \
         (lambda i: F.concat(F.lit("class_"), i.cast("string")))
-    res = F.transform(top, lambda t: F.struct((-t["neg_i"]).alias("label_id"),
-                                              lab(-t["neg_i"]).alias("label"),
-                                              (t["e"] / F.col("_s")).alias("confidence")))
-    return d.withColumn(out, res).drop("_x", "_m", "_e", "_s")
+    res = F.zip_with("_top", rep(s, "_top"),
+                     lambda t, tot: F.struct((-t["neg_i"]).alias("label_id"),
+                                             lab(-t["neg_i"]).alias("label"),
+                                             (t["e"] / tot).alias("confidence")))
+    return d.withColumn(out, res).drop("_x", "_e", "_top")
 
 
 def resolve_nutrition(labels: DataFrame, foods: DataFrame, name_col: str = "name") -> DataFrame:

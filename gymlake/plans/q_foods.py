@@ -175,7 +175,10 @@ FROM r WHERE rank <= 3
 """, ["embeddings"], "F25")
 def _softmax_topk(t):
     top = fd.softmax_topk(t.embeddings.select("vec_id", "embedding"), "embedding", 3)
-    return (top.select("vec_id", F.posexplode("top").alias("pos", "t"))
+    # posexplode_outer + explicit filter: a plain posexplode makes Catalyst add a
+    # size(top) > 0 pre-filter that evaluates the whole softmax a second time
+    return (top.select("vec_id", F.posexplode_outer("top").alias("pos", "t"))
+            .filter(F.col("pos").isNotNull())
             .select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("t.label_id").alias("label_id"),
                     F.col("t.label").alias("label"), F.round("t.confidence", 6).alias("confidence")))
 
