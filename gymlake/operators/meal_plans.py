@@ -7,7 +7,7 @@ aggregate -- rather than a window over each member's plans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gymlake.functions.text import plan_status
@@ -67,11 +67,20 @@ def plan_progress(members: DataFrame, plans: DataFrame, selections: DataFrame, l
                     *[prog(m).alias(f"{m}_progress") for m in ("calories", "protein", "carbs", "fat")])
 
 
+def _explode_nonempty(col, *names) -> Column:
+    """``explode`` semantics (empty or NULL collections give no row) without the
+    ``size(...) > 0`` pre-filter Catalyst infers for a plain explode, which would
+    parse the JSON a second time: outer explode, then drop the NULL position."""
+    return F.posexplode_outer(col).alias("_pos", *names)
+
+
 def explode_plan(plans: DataFrame) -> DataFrame:
     """Plan JSON -> one row per (plan, day, meal, ingredient) with the meal's macros."""
     p = plans.select(F.col("id").alias("plan_id"), "member_id", parse_plan("plan_data").alias("doc"))
-    days = p.select("plan_id", "member_id", F.explode(F.col("doc.meal_plan")).alias("day", "meals"))
-    meals = days.select("plan_id", "member_id", "day", F.explode("meals").alias("meal", "m"))
+    days = (p.select("plan_id", "member_id", _explode_nonempty(F.col("doc.meal_plan"), "day", "meals"))
+            .filter(F.col("_pos").isNotNull()).drop("_pos"))
+    meals = (days.select("plan_id", "member_id", "day", _explode_nonempty("meals", "meal", "m"))
+             .filter(F.col("_pos").isNotNull()).drop("_pos"))
     return meals.select("plan_id", "member_id", "day", "meal", F.col("m.name").alias("meal_name"),
                         F.col("m.nutrition.calories").alias("calories"),
                         F.col("m.nutrition.protein").alias("protein"),
@@ -81,7 +90,8 @@ def explode_plan(plans: DataFrame) -> DataFrame:
 def shopping_list(plans: DataFrame) -> DataFrame:
     """Distinct shopping-list items per plan."""
     p = plans.select(F.col("id").alias("plan_id"), parse_plan("plan_data").alias("doc"))
-    return p.select("plan_id", F.explode("doc.shopping_list").alias("item")).distinct()
+    return (p.select("plan_id", _explode_nonempty("doc.shopping_list", "item"))
+            .filter(F.col("_pos").isNotNull()).select("plan_id", "item").distinct())
 
 
 def plan_list(plans: DataFrame) -> DataFrame:
