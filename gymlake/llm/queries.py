@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gymlake.llm import quality, toxicity
 from gymlake.llm.common import load
 from gymlake.llm.exact_dedup import exact_dedup
 from gymlake.llm.packing import pack
@@ -27,6 +28,14 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"))
 
 
+def op5_quality_nbsvm(spark, sf_dir):
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op8_toxicity_cnn(spark, sf_dir):
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_token_store(spark, sf_dir):
     return token_store(load(spark, sf_dir, "documents"))
 
@@ -34,6 +43,8 @@ def op10_token_store(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
+    "op5_quality_nbsvm": (op5_quality_nbsvm, None),
+    "op8_toxicity_cnn": (op8_toxicity_cnn, None),
     "op10_token_store": (op10_token_store, None),
 }
 
