@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gymlake.llm import quality, toxicity
+from gymlake.llm.ann import nearest
 from gymlake.llm.common import load
 from gymlake.llm.exact_dedup import exact_dedup
 from gymlake.llm.packing import pack
@@ -24,6 +27,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op3_one_bit_neighbours(spark, sf_dir):
+    return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def op10_token_store(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op3_one_bit_neighbours": (op3_one_bit_neighbours, None),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_nbsvm": (op5_quality_nbsvm, None),
     "op8_toxicity_cnn": (op8_toxicity_cnn, None),
