@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gymlake.llm import quality, toxicity
+from gymlake.llm import license_scan, quality, toxicity
 from gymlake.llm.ann import nearest
 from gymlake.llm.common import load
 from gymlake.llm.exact_dedup import exact_dedup
+from gymlake.llm.mixing import mix
 from gymlake.llm.packing import pack
 from gymlake.llm.token_store import token_store
 
@@ -27,6 +28,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.license_scan(load(spark, sf_dir, "documents")).drop("tag")
+
+
 def op3_one_bit_neighbours(spark, sf_dir):
     return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -39,6 +44,14 @@ def op5_quality_nbsvm(spark, sf_dir):
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+# Shares of the sources in a period; the others have 1.
+SHARES = {"src0": 6, "src1": 3, "src2": 2}
+
+
+def op6_pfair_mixing(spark, sf_dir):
+    return mix(load(spark, sf_dir, "documents").select("doc_id", "source"), SHARES)
+
+
 def op8_toxicity_cnn(spark, sf_dir):
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -49,9 +62,11 @@ def op10_token_store(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op2_license_scan": (op2_license_scan, license_scan.oracle_sql()),
     "op3_one_bit_neighbours": (op3_one_bit_neighbours, None),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_nbsvm": (op5_quality_nbsvm, None),
+    "op6_pfair_mixing": (op6_pfair_mixing, None),
     "op8_toxicity_cnn": (op8_toxicity_cnn, None),
     "op10_token_store": (op10_token_store, None),
 }
