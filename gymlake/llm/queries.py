@@ -9,6 +9,7 @@ from gymlake.llm.ann import nearest
 from gymlake.llm.common import load
 from gymlake.llm.exact_dedup import exact_dedup
 from gymlake.llm.mixing import mix
+from gymlake.llm.near_dup import near_duplicates
 from gymlake.llm.packing import pack
 from gymlake.llm.token_store import token_store
 
@@ -56,6 +57,10 @@ def op8_toxicity_cnn(spark, sf_dir):
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return near_duplicates(load(spark, sf_dir, "documents")).drop("tag")
+
+
 def op10_token_store(spark, sf_dir):
     return token_store(load(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_quality_nbsvm": (op5_quality_nbsvm, None),
     "op6_pfair_mixing": (op6_pfair_mixing, None),
     "op8_toxicity_cnn": (op8_toxicity_cnn, None),
+    "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, None),
     "op10_token_store": (op10_token_store, None),
 }
 
