@@ -19,9 +19,9 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gymlake.llm.common import stored
@@ -190,8 +190,8 @@ def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[lis
 
 # ---- Spark ------------------------------------------------------------------------------
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, batch long"
+_PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "batch"]
 
 
 def _cutter(vocabulary: str, sequence: int):
@@ -199,14 +199,14 @@ def _cutter(vocabulary: str, sequence: int):
         enc = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, dealt = (batch.column(k).to_pylist() for k in range(3))
             for i, j in text_batches(texts):
                 rows: list[tuple] = []
-                for doc, body in zip(ids[i:j], enc.encode(texts[i:j])):
+                for doc, b, body in zip(ids[i:j], dealt[i:j], enc.encode(texts[i:j])):
                     body += end
                     for p, at in enumerate(range(0, len(body), 4 * sequence)):
                         part = body[at:at + 4 * sequence]
-                        rows.append((doc, p, p * sequence, len(part) // 4, zlib.crc32(part)))
+                        rows.append((doc, p, p * sequence, len(part) // 4, zlib.crc32(part), b))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
@@ -215,49 +215,69 @@ def _cutter(vocabulary: str, sequence: int):
 
 
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
-    """Pieces of at most ``sequence`` ids: doc_id, piece, start, length, ids_crc32."""
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Pieces of at most ``sequence`` ids: doc_id, piece, start, length, ids_crc32, and the
+    document's batch where ``docs`` has one."""
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("batch").cast("long"))
             .mapInArrow(_cutter(vocabulary or default_vocabulary(), sequence), _PIECES))
 
 
-def pack_batch(pieces: pd.DataFrame, sequence: int = SEQUENCE, branches: int = BRANCHES) -> pd.DataFrame:
-    """Adds ``bin`` and ``offset`` to the pieces of one batch."""
-    pieces = pieces.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    bins = bin_completion(pieces["length"].to_numpy(), sequence, branches)
+def pack_batch(pieces: pa.Table, sequence: int = SEQUENCE, branches: int = BRANCHES) -> pa.Table:
+    """The pieces of one batch with ``bin`` and ``offset``."""
+    order = pc.sort_indices(pieces, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+    pieces = pieces.take(order)
+    lengths = pieces.column("length").to_pylist()
     # pieces of the same length are interchangeable: deal them out in order
     places: dict[int, list[tuple[int, int]]] = {}
-    for b, members in enumerate(bins):
+    for b, members in enumerate(bin_completion(lengths, sequence, branches)):
         at = 0
         for x in members:
             places.setdefault(x, []).append((b, at))
             at += x
     turn = {x: iter(p) for x, p in places.items()}
-    dealt = [next(turn[x]) for x in pieces["length"].tolist()]
-    return pieces.assign(bin=np.array([d[0] for d in dealt], np.int64),
-                         offset=np.array([d[1] for d in dealt], np.int64))
+    dealt = [next(turn[x]) for x in lengths]
+    return (pieces.append_column("bin", pa.array([d[0] for d in dealt], pa.int64()))
+            .append_column("offset", pa.array([d[1] for d in dealt], pa.int64())))
+
+
+def file_order(docs: DataFrame, batch_docs: int) -> DataFrame:
+    """``docs`` (a scan of written files) with a batch for every ``batch_docs`` documents in
+    the order of the files."""
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # one row per file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = (placed.groupBy("file").agg(F.count("*").alias("n"))
+             .select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    return (placed.join(F.broadcast(files), "file")
+            .select("doc_id", "text", F.floor((F.col("before") + F.col("row")) / batch_docs).alias("batch")))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE,
-         batch_pieces: int = BATCH_PIECES, branches: int = BRANCHES) -> DataFrame:
+         batch_pieces: int = BATCH_PIECES, branches: int = BRANCHES, in_file_order: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece.
 
-    Batches are dealt by a hash, so no group grows with a source or a length; their number
-    follows the number of pieces, which is counted on the written table of pieces.
+    A document has at most one piece that is not full, so batches are counted in documents.
+    They are dealt by a hash, so that no batch grows with a source or a length; with
+    ``in_file_order`` they are runs of the order in which the files of ``docs`` hold them,
+    and sequence numbers follow that order from batch to batch.
     """
-    pieces = stored(token_pieces(docs, vocabulary, sequence), "pieces")
-    n = pieces.where(F.col("length") < sequence).count()
-    batches = max(1, -(-n // batch_pieces))
-    keyed = pieces.withColumn("batch", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(batches)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pack_batch(pdf, sequence, branches)
-        out["sequence_id"] = out["batch"] + batches * out["bin"]
-        return out[[*_PIECE_NAMES, "sequence_id", "offset"]]
-
-    packed = (keyed.where(F.col("length") < sequence).groupBy("batch")
-              .applyInPandas(run, f"{_PIECES}, sequence_id long, offset long"))
-    full = (keyed.where(F.col("length") == sequence)
+    if in_file_order:
+        dealt = file_order(docs, batch_pieces)
+    else:
+        batches = max(1, -(-docs.count() // batch_pieces))
+        dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(batches)).alias("batch"))
+    pieces = stored(token_pieces(dealt, vocabulary, sequence), "pieces")
+    names = [n for n in _PIECE_NAMES if n != "batch"]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = pack_batch(table, sequence, branches)
+        # a batch has fewer bins than 2**32
+        number = pc.add(pc.multiply(out.column("batch"), 1 << 32), out.column("bin"))
+        return out.select(names).append_column("sequence_id", number).append_column("offset", out.column("offset"))
+
+    packed = (pieces.where(F.col("length") < sequence).groupBy("batch")
+              .applyInArrow(run, f"{_PIECES.rpartition(',')[0]}, sequence_id long, offset long"))
+    full = (pieces.where(F.col("length") == sequence)
             # negative numbers: sequences of their own
-            .select(*_PIECE_NAMES, (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
+            .select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
                     F.lit(0).cast("long").alias("offset")))
     return packed.unionByName(full)

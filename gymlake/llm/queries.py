@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from gymlake.llm import license_scan, quality, toxicity
@@ -11,6 +12,7 @@ from gymlake.llm.exact_dedup import exact_dedup
 from gymlake.llm.mixing import mix
 from gymlake.llm.near_dup import near_duplicates
 from gymlake.llm.packing import pack
+from gymlake.llm.suffix_dedup import suffix_dedup
 from gymlake.llm.token_store import token_store
 
 
@@ -45,12 +47,12 @@ def op5_quality_nbsvm(spark, sf_dir):
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-# Shares of the sources in a period; the others have 1.
-SHARES = {"src0": 6, "src1": 3, "src2": 2}
+def op6_pfair_mixing(spark, sf_dir):
+    return mix(load(spark, sf_dir, "documents").select("doc_id", "source"), corpus_pipeline.SHARES)
 
 
-def op6_pfair_mixing(spark, sf_dir):
-    return mix(load(spark, sf_dir, "documents").select("doc_id", "source"), SHARES)
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(load(spark, sf_dir, "documents"))
 
 
 def op8_toxicity_cnn(spark, sf_dir):
@@ -72,9 +74,11 @@ QUERIES = {
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_nbsvm": (op5_quality_nbsvm, None),
     "op6_pfair_mixing": (op6_pfair_mixing, None),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_toxicity_cnn": (op8_toxicity_cnn, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, None),
     "op10_token_store": (op10_token_store, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 

@@ -38,15 +38,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string array; nulls are empty texts."""
+    """(bytes, offsets) of an Arrow string or binary array; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
+    if column.null_count:
+        column = column.fill_null(b"" if binary else "")
     n = len(column)
     offs = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
-    if column.null_count:
-        column = column.fill_null("")
-        offs = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
     buf = column.buffers()[2]
     data = np.frombuffer(buf, np.uint8)[offs[0]:offs[-1]] if buf is not None and offs[-1] > offs[0] else np.zeros(0, np.uint8)
     return data, offs - offs[0]
