@@ -50,7 +50,7 @@ class BinaryFuseFilter:
 
     @staticmethod
     def _places(keys: np.ndarray, seed: int, segment: int, segments: int):
-        h = _mix(keys + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        h = _mix(keys + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
         low = h & np.uint64(0xFFFFFFFF)
         at = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)  # first segment
         mask = np.uint64(segment - 1)

@@ -89,18 +89,17 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
     """
     spark = docs.sparkSession
     added = ["source_rank", "block", "release", "deadline", "slot", "position"]
-    docs = docs.drop(*added)
-    # queues: a narrow copy of the keys; rows of one source are spread over hash buckets
+    kept = [c for c in docs.columns if c not in added]
+    # queues: rows of one source are spread over hash buckets
     n = docs.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
-    name = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
-    draw = F.xxhash64(F.lit(17), F.col("doc_id"))
-    keyed = docs.select("*", name.alias("_mix_source"), draw.alias("_mix_draw"))
+    keyed = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("_mix_source"),
+                        F.xxhash64(F.lit(17), F.col("doc_id")).alias("_mix_draw"))
     keyed = keyed.withColumn("_mix_bucket", F.shiftrightunsigned("_mix_draw", 33) % buckets)
     sizes = stored(keyed.groupBy("_mix_source", "_mix_bucket").agg(F.count("*").alias("n")), "mix-sizes")
     before = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_before"))
-    in_bucket = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_draw", "doc_id")
+    in_bucket = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_draw", "row.doc_id")
     ranked = (keyed.withColumn("_mix_row", F.row_number().over(in_bucket))
               .join(sized(offsets, sizes.count()), ["_mix_source", "_mix_bucket"])
               .withColumn("source_rank", F.col("_mix_before") + F.col("_mix_row") - 1)
@@ -111,7 +110,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
     shares = {s: max(1, int((weights or {}).get(None if s == NO_SOURCE else s, 1))) for s in totals}
     plan = phases({s: -(-n // block_docs) for s, n in totals.items()}, shares)
     if not plan:
-        return docs.select("*", *[F.lit(None).cast("long").alias(c) for c in added]).limit(0)
+        return docs.select(*kept, *[F.lit(None).cast("long").alias(c) for c in added]).limit(0)
     periods, slots = [], []
     for p, phase in enumerate(plan):
         total = sum(phase["shares"].values())
@@ -121,13 +120,13 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
         for at, (s, j, release, deadline) in enumerate(pfair_period(phase["shares"])):
             slots.append((p, s, j, at, release, deadline))
     # as many rows as (sources) phases, and shares in them: no more with more documents
-    in_phase = spark.createDataFrame(periods, "phase int, _ps string, _first long, _end long, _share long, _slot0 long, _total long")
+    in_phase = spark.createDataFrame(periods, "_phase int, _ps string, _first long, _end long, _share long, _slot0 long, _total long")
     in_slot = spark.createDataFrame(slots, "_sp int, _ss string, _j long, _at long, _release long, _deadline long")
     placed = (ranked.join(sized(in_phase, len(periods)),
                           (F.col("_mix_source") == F.col("_ps")) & F.col("block").between(F.col("_first"), F.col("_end") - 1))
               .withColumn("_turn", F.floor((F.col("block") - F.col("_first")) / F.col("_share")))
               .join(sized(in_slot, len(slots)),
-                    (F.col("phase") == F.col("_sp")) & (F.col("_mix_source") == F.col("_ss"))
+                    (F.col("_phase") == F.col("_sp")) & (F.col("_mix_source") == F.col("_ss"))
                     & ((F.col("block") - F.col("_first")) % F.col("_share") == F.col("_j"))))
     base = F.col("_slot0") + F.col("_turn") * F.col("_total")
     # a slot holds block_docs documents, fewer only in the last block of a source: places are
@@ -135,7 +134,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
     return (placed.withColumn("slot", base + F.col("_at")).withColumn("release", base + F.col("_release"))
             .withColumn("deadline", base + F.col("_deadline"))
             .withColumn("position", F.col("slot") * block_docs + F.col("source_rank") % block_docs)
-            .select(*docs.columns, *[F.col(c).cast("long").alias(c) for c in added]))
+            .select("row.*", *[F.col(c).cast("long").alias(c) for c in added]))
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
