@@ -1,8 +1,10 @@
 """Booking validation against tenancy, assignment and conflicts.
 
-Every check is a semi/anti join or a grouped aggregate on the conflict key;
-in-batch duplicates are resolved with ``min(request_id)`` per key (a partial
-aggregate, skew-safe) joined back, not with a window over the whole key.
+Every check is a semi/anti join or a grouped aggregate on the conflict key.
+Requests of one batch are accepted as if they came one after the other: a
+request only blocks later ones if it is itself accepted.  That order is
+resolved in passes over the open requests, each a partial aggregate
+(``min(request_id)`` per cell, skew-safe) joined back.
 """
 
 from __future__ import annotations
@@ -10,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gymlake.session import cut_lineage
+
+COACH_CELL = ["coach_id", "session_date", "session_time"]
+MEMBER_CELL = ["member_id", "session_date", "session_time"]
 REQUIRED = ("member_id", "coach_id", "session_date", "session_time", "duration")
 # Rejection reasons, in the order the checks run.
 REASONS = {
@@ -38,6 +44,29 @@ def reject_duplicates(new: DataFrame, existing: DataFrame, key, order_col: str)
     return (fresh.join(first, key).filter(F.col(order_col) == F.col("_first")).drop("_first"))
 
 
+def accept_in_order(candidates: DataFrame) -> DataFrame:
+    """Ids of the requests that sequential booking by ``request_id`` accepts.
+
+    A pass accepts every open request that is first in its coach cell and in its
+    member cell, and closes the others in those cells.  The earliest open request
+    is always first in both, so passes go on until none is open; their number is
+    the length of the longest chain of conflicts, not of the batch.
+    """
+    open_ = cut_lineage(candidates.select("request_id", *COACH_CELL, "member_id"))
+    accepted = None
+    while not open_.isEmpty():
+        firsts = (open_.join(open_.groupBy(*COACH_CELL).agg(F.min("request_id").alias("_c")), COACH_CELL)
+                  .join(open_.groupBy(*MEMBER_CELL).agg(F.min("request_id").alias("_m")), MEMBER_CELL))
+        now = cut_lineage(firsts.filter((F.col("request_id") == F.col("_c")) & (F.col("request_id") == F.col("_m")))
+                          .select("request_id", *COACH_CELL, "member_id"))
+        ids = now.select("request_id")
+        accepted = ids if accepted is None else accepted.unionByName(ids)
+        # what an accepted request shares a cell with is closed, itself included
+        open_ = cut_lineage(open_.join(now.select(*COACH_CELL), COACH_CELL, "left_anti")
+                            .join(now.select(*MEMBER_CELL), MEMBER_CELL, "left_anti"))
+    return accepted if accepted is not None else candidates.select("request_id").limit(0)
+
+
 def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFrame,
                       member_coach: DataFrame, sessions: DataFrame,
                       check_assignment: bool = True) -> DataFrame:
@@ -45,19 +74,16 @@ def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFram
 
     Checks, in order: required fields; member and coach in one gym (J13);
     assignment (J9); exact (coach, date, time) and (member, date, time) clash
-    with a non-cancelled session (J11); clash with an earlier request of the
-    same batch (earliest request id wins; only requests passing the earlier
-    checks compete).
+    with a non-cancelled session (J11); clash with an earlier accepted request of
+    the same batch (requests are booked one after the other, by request id).
     """
     missing = None
     for c in REQUIRED:
         cond = F.col(c).isNull()
         missing = cond if missing is None else (missing | cond)
     active = sessions.filter(F.lower("status") != "cancelled")
-    coach_busy = (active.select("coach_id", "session_date", "session_time").distinct()
-                  .withColumn("_coach_busy", F.lit(True)))
-    member_busy = (active.select("member_id", "session_date", "session_time").distinct()
-                   .withColumn("_member_busy", F.lit(True)))
+    coach_busy = active.select(*COACH_CELL).distinct().withColumn("_coach_busy", F.lit(True))
+    member_busy = active.select(*MEMBER_CELL).distinct().withColumn("_member_busy", F.lit(True))
     # J13 as two lookups on the request row (no second pass over the batch)
     member_gym = members.select(F.col("id").alias("member_id"), F.col("gym_id").alias("_mg"))
     coach_gym = coaches.select(F.col("id").alias("coach_id"), F.col("gym_id").alias("_cg"))
@@ -67,24 +93,19 @@ def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFram
          .join(member_gym, "member_id", "left").join(coach_gym, "coach_id", "left")
          .withColumn("_same_gym", F.when(F.col("_mg") == F.col("_cg"), F.lit(True)))
          .join(assigned, ["member_id", "coach_id"], "left")
-         .join(coach_busy, ["coach_id", "session_date", "session_time"], "left")
-         .join(member_busy, ["member_id", "session_date", "session_time"], "left"))
+         .join(coach_busy, COACH_CELL, "left")
+         .join(member_busy, MEMBER_CELL, "left"))
     pre = (F.when(F.col("_missing"), F.lit(REASONS["missing"]))
            .when(F.col("_same_gym").isNull(), F.lit(REASONS["tenancy"])))
     if check_assignment:
         pre = pre.when(F.col("_assigned").isNull(), F.lit(REASONS["assignment"]))
     pre = (pre.when(F.col("_coach_busy").isNotNull(), F.lit(REASONS["coach_conflict"]))
            .when(F.col("_member_busy").isNotNull(), F.lit(REASONS["member_conflict"])))
-    r = r.withColumn("_pre", pre)
-    ok = r.filter(F.col("_pre").isNull())
-    first_c = ok.groupBy("coach_id", "session_date", "session_time").agg(
-        F.min("request_id").alias("_first_c"))
-    first_m = ok.groupBy("member_id", "session_date", "session_time").agg(
-        F.min("request_id").alias("_first_m"))
-    r = (r.join(first_c, ["coach_id", "session_date", "session_time"], "left")
-         .join(first_m, ["member_id", "session_date", "session_time"], "left"))
-    batch = F.col("_pre").isNull() & ((F.col("_first_c") < F.col("request_id"))
-                                      | (F.col("_first_m") < F.col("request_id")))
-    reason = F.when(F.col("_pre").isNotNull(), F.col("_pre")).when(batch, F.lit(REASONS["batch_conflict"]))
-    return r.select("request_id", "coach_id", "member_id", "session_date", "session_time", "duration",
-                    reason.isNull().alias("accepted"), reason.alias("reason"))
+    # one pass over the requests; what follows reads only these columns of it
+    checked = cut_lineage(r.select("request_id", "coach_id", "member_id", "session_date", "session_time",
+                                   "duration", pre.alias("_pre")))
+    won = accept_in_order(checked.filter(F.col("_pre").isNull())).withColumn("_won", F.lit(True))
+    reason = F.coalesce("_pre", F.when(F.col("_won").isNull(), F.lit(REASONS["batch_conflict"])))
+    return (checked.join(won, "request_id", "left")
+            .select("request_id", "coach_id", "member_id", "session_date", "session_time", "duration",
+                    reason.isNull().alias("accepted"), reason.alias("reason")))

@@ -56,10 +56,11 @@ DETAIL_SCHEMA = ("struct<fdcId:bigint, description:string, brandOwner:string, fo
                  "foodNutrients:array<struct<nutrient:struct<id:int, name:string>, amount:double>>>")
 SEARCH_SCHEMA = ("struct<foods:array<struct<fdcId:bigint, description:string, brandOwner:string, "
                  "foodCategory:string, foodNutrients:array<struct<nutrientId:int, value:double>>>>>")
-PRODUCT_SCHEMA = ("struct<status:int, product:struct<product_name:string, brands:string, "
-                  "image_url:string, code:string, nutriments:map<string, double>>, "
-                  "products:array<struct<product_name:string, brands:string, image_url:string, "
-                  "code:string, nutriments:map<string, double>>>>")
+# only the needed nutriments: documents also hold text values among them
+_NUTRIMENTS = ("struct<`energy-kcal_100g`:string, proteins_100g:string, carbohydrates_100g:string, "
+               "fat_100g:string>")
+_PRODUCT = f"struct<product_name:string, brands:string, image_url:string, code:string, nutriments:{_NUTRIMENTS}>"
+PRODUCT_SCHEMA = f"struct<status:int, product:{_PRODUCT}, products:array<{_PRODUCT}>>"
 DETECTIONS_SCHEMA = ("array<struct<name:string, confidence:double, class_id:int, is_food:boolean, "
                      "box:struct<x1:double, y1:double, x2:double, y2:double>>>")
 
@@ -182,10 +183,9 @@ def flatten_products(df: DataFrame, json_col: str = "product_json",
     single = F.when(doc["status"] == 1, F.array(doc["product"].withField("code", F.col(barcode_col))))
     prods = F.coalesce(single, doc["products"], F.array())
     ex = d.select(*keep, F.explode(prods).alias("p"))
-    n = F.col("p.nutriments")
 
-    def nm(k):
-        return F.coalesce(F.try_element_at(n, F.lit(k)), F.lit(0.0))
+    def nm(k):  # a number, or text that holds one; else 0
+        return F.coalesce(F.col("p.nutriments")[k].try_cast("double"), F.lit(0.0))
 
     return ex.select(*keep, F.coalesce("p.product_name", F.lit("Unknown")).alias("name"),
                      F.coalesce("p.brands", F.lit("")).alias("brand"),

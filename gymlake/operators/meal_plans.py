@@ -42,11 +42,11 @@ def effective_plan(members: DataFrame, plans: DataFrame, selections: DataFrame)
                    .alias("lat")))
     j = (members.select(F.col("id").alias("member_id"))
          .join(selected, "member_id", "left").join(latest, "member_id", "left"))
-    pick = lambda f, d: F.coalesce(F.col(f"sel.{f}"), F.col(f"lat.{f}"), F.lit(d))
+    # the plan is chosen whole; only its missing fields take defaults
+    j = j.withColumn("plan", F.coalesce("sel", "lat"))
     return j.select(
-        "member_id",
-        F.coalesce(F.col("sel.plan_id"), F.col("lat.plan_id")).alias("plan_id"),
-        *[pick(f, DEFAULT_PLAN[f]).alias(f) for f in PLAN_FIELDS],
+        "member_id", "plan.plan_id",
+        *[F.coalesce(F.col(f"plan.{f}"), F.lit(DEFAULT_PLAN[f])).alias(f) for f in PLAN_FIELDS],
         F.when(F.col("sel").isNotNull(), F.lit("selected"))
          .when(F.col("lat").isNotNull(), F.lit("latest")).otherwise(F.lit("default")).alias("source"),
         F.col("sel").isNull().alias("is_default"))
@@ -95,11 +95,13 @@ def shopping_list(plans: DataFrame) -> DataFrame:
 
 
 def plan_list(plans: DataFrame) -> DataFrame:
-    """Plans per member, newest first, with ``active``/``inactive``."""
+    """Plans per member, newest first (sorted within partitions of whole members), with
+    ``active``/``inactive`` (P15)."""
     return (plans.select("member_id", F.col("id").alias("plan_id"), "plan_name", "coach_id",
                          plan_status("is_active").alias("status"),
                          F.date_format("created_at", "yyyy-MM-dd").alias("created"), "created_at")
-            .orderBy("member_id", F.desc("created_at"), F.desc("plan_id")))
+            .repartition("member_id")
+            .sortWithinPartitions("member_id", F.desc("created_at"), F.desc("plan_id")))
 
 
 def coach_plans(plans: DataFrame, members: DataFrame, member_coach: DataFrame) -> DataFrame:

@@ -240,10 +240,15 @@ def log_detected_foods(detected: DataFrame, members: DataFrame, goals: DataFrame
 # ---------------------------------------------------------------- X18
 def log_foods(entries: DataFrame) -> DataFrame:
     """Manual entries with a unit and meal-type check; rejected rows carry a reason.
-    Calories fall back to 4/4/9 from macros when 0 (F22)."""
+    Stated values are stored as they are, also a stated 0."""
     reason = (F.when(~F.col("unit").isin(*UNITS), F.lit("invalid unit"))
               .when(~F.col("meal_type").isin(*MEAL_TYPES), F.lit("invalid meal type"))
               .when(F.col("quantity") <= 0, F.lit("invalid quantity")))
-    return entries.withColumn("reject_reason", reason).withColumn(
-        "calories_final", calories_from_macros("total_calories", "total_protein", "total_carbs",
-                                               "total_fat"))
+    return entries.withColumn("reject_reason", reason)
+
+
+def log_day_totals(entries: DataFrame) -> DataFrame:
+    """Day totals of the accepted entries, in the columns of stored day totals."""
+    ok = log_foods(entries).filter(F.col("reject_reason").isNull())
+    return ok.groupBy("member_id", F.col("log_date").alias("analysis_date")).agg(
+        F.count(F.lit(1)).alias("entries"), *[dsum(f"total_{m}").alias(f"total_{m}") for m in MACROS])

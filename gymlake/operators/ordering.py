@@ -30,22 +30,25 @@ def top(df: DataFrame, order, n: int) -> DataFrame:
 
 
 def paginate(df: DataFrame, by, order, page: int = 1, limit: int = 20,
-             max_limit: int = 1000) -> DataFrame:
+             max_limit: int = 1000, counted: DataFrame | None = None) -> DataFrame:
     """Page ``page`` of every key's rows plus total, has_more and total_pages.
+    A limit over ``max_limit`` is an error.  ``counted`` may give a narrower frame with
+    the same keys to count.
 
     Rows past ``page * limit`` never leave their map task: the row_number filter
     becomes a WindowGroupLimit below the shuffle.  Totals come from a partial
     aggregate, so even a key holding a third of all rows is never sorted whole.
     """
     by = [by] if isinstance(by, str) else list(by)
-    limit = max(1, min(int(limit), max_limit))
-    page = max(1, int(page))
+    limit, page = int(limit), int(page)
+    if not 1 <= limit <= max_limit or page < 1:
+        raise ValueError(f"page must be at least 1 and limit between 1 and {max_limit}")
     hi = page * limit
     w = Window.partitionBy(*by).orderBy(*order)
     rows = (df.withColumn("row_in_group", F.row_number().over(w))
             .filter(F.col("row_in_group") <= hi)
             .filter(F.col("row_in_group") > hi - limit))
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    totals = (df if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     return (rows.join(totals, by)
             .withColumn("page", F.lit(page))
             .withColumn("has_more", F.col("total") > F.lit(hi))

@@ -292,13 +292,37 @@ def availability_map(slots: DataFrame, lo=None, hi=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- X11
+# Why a range request (or an hour of it) writes no slot.
+RANGE_REASONS = {"missing": "Missing date or hour", "inverted": "Range ends before it starts",
+                 "hours": "Hour outside 0-23"}
+
+
+def bulk_range_reason() -> F.Column:
+    """X11: the reason why a range request is refused as a whole, NULL if it is not."""
+    bounds = ("start_date", "end_date", "start_hour", "end_hour")
+    missing = F.lit(False)
+    for c in bounds:
+        missing = missing | F.col(c).isNull()
+    return (F.when(missing, F.lit(RANGE_REASONS["missing"]))
+            .when((F.col("start_date") > F.col("end_date")) | (F.col("start_hour") > F.col("end_hour")),
+                  F.lit(RANGE_REASONS["inverted"]))
+            .when((F.col("start_hour") < 0) | (F.col("end_hour") > 23), F.lit(RANGE_REASONS["hours"])))
+
+
+def rejected_bulk_requests(requests: DataFrame) -> DataFrame:
+    """X11: the range requests that write no slot, with their ``reason``."""
+    return requests.withColumn("reason", bulk_range_reason()).filter(F.col("reason").isNotNull())
+
+
 def bulk_requests_to_slots(requests: DataFrame) -> DataFrame:
-    """X11: a (dates x hours, inclusive) range request -> one slot row per date and hour."""
-    r = requests.filter(F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
-                        & F.col("start_hour").isNotNull() & F.col("end_hour").isNotNull())
-    return (r.withColumn("slot_date", F.explode(F.sequence("start_date", "end_date")))
-            .withColumn("hour", F.explode(F.sequence("start_hour", "end_hour")))
-            .filter(F.col("hour").between(0, 23))
+    """X11: a (dates x hours, inclusive) range request -> one slot row per date and hour.
+    Refused requests are in ``rejected_bulk_requests``."""
+    r = requests.filter(bulk_range_reason().isNull())
+    # a sequence steps down where it ends before it starts: the case guards it also when
+    # the filter is evaluated later
+    dates = F.when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date"))
+    hours = F.when(F.col("start_hour") <= F.col("end_hour"), F.sequence("start_hour", "end_hour"))
+    return (r.withColumn("slot_date", F.explode(dates)).withColumn("hour", F.explode(hours))
             .select("user_id", "user_type", "slot_date", "hour", "is_available", "seq"))
 
 

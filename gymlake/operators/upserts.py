@@ -57,15 +57,23 @@ def cascade_delete(ids: DataFrame, children: dict[str, tuple[DataFrame, str]]) -
             for name, (df, fk) in children.items()}
 
 
-def update_rows(base: DataFrame, patches: DataFrame, key, allowed: dict | None = None) -> DataFrame:
+def update_rows(base: DataFrame, patches: DataFrame, key, allowed: dict | None = None,
+                order_col: str | None = None) -> DataFrame:
     """Patch columns of matching rows; NULL in a patch keeps the old value;
-    values outside ``allowed[col]`` are ignored."""
+    values outside ``allowed[col]`` are ignored.  Several patches of one key apply in
+    the order of ``order_col``: each column gets its last value that is not NULL."""
     key = [key] if isinstance(key, str) else list(key)
     p = patches
     for col, values in (allowed or {}).items():
         p = p.withColumn(col, F.when(F.col(col).isin(*values), F.col(col)))
-    pcols = [c for c in p.columns if c not in key]
-    p = p.select(*key, *[F.col(c).alias(f"_new_{c}") for c in pcols])
+    pcols = [c for c in p.columns if c not in key and c != order_col]
+
+    def last(c):
+        if order_col is None:  # without an order the largest value, so the result is one row and stable
+            return F.max(c)
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order_col)))
+
+    p = p.groupBy(*key).agg(*[last(c).alias(f"_new_{c}") for c in pcols])
     j = base.join(p, key, "left")
     return j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in pcols else F.col(c)
                       for c in base.columns])

@@ -58,6 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def full_sql(entry: Entry) -> str:
     cte = fixtures.duckdb_cte(entry.tables)
     body = entry.oracle.strip()
+    recursive = "WITH RECURSIVE"
+    if body[:len(recursive)].upper() == recursive:
+        return recursive + cte[4:].rstrip() + ",\n" + body[len(recursive):].lstrip()
     if body[:4].upper() == "WITH":
         if cte:
             return cte.rstrip() + ",\n" + body[4:].lstrip()

@@ -22,15 +22,14 @@ lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id
         WHERE rn = 1),
 ep AS (
   SELECT m.id AS member_id, COALESCE(sel.plan_id, lat.plan_id) AS plan_id,
-         COALESCE(sel.plan_name, lat.plan_name, 'Default Plan') AS plan_name,
-         COALESCE(sel.daily_calories, lat.daily_calories, 2000) AS daily_calories,
-         COALESCE(sel.daily_protein, lat.daily_protein, 150) AS daily_protein,
-         COALESCE(sel.daily_carbs, lat.daily_carbs, 250) AS daily_carbs,
-         COALESCE(sel.daily_fat, lat.daily_fat, 70) AS daily_fat,
+         COALESCE(p.plan_name, 'Default Plan') AS plan_name,
+         COALESCE(p.daily_calories, 2000) AS daily_calories, COALESCE(p.daily_protein, 150) AS daily_protein,
+         COALESCE(p.daily_carbs, 250) AS daily_carbs, COALESCE(p.daily_fat, 70) AS daily_fat,
          CASE WHEN sel.member_id IS NOT NULL THEN 'selected' WHEN lat.member_id IS NOT NULL THEN 'latest'
               ELSE 'default' END AS source,
          sel.member_id IS NULL AS is_default
-  FROM members m LEFT JOIN sel ON sel.member_id = m.id LEFT JOIN lat ON lat.member_id = m.id)"""
+  FROM members m LEFT JOIN sel ON sel.member_id = m.id LEFT JOIN lat ON lat.member_id = m.id
+  LEFT JOIN p ON p.plan_id = COALESCE(sel.plan_id, lat.plan_id))"""
 
 
 @register("effective_plan", f"""

@@ -340,13 +340,15 @@ FROM p WHERE row_in_group > 20 AND row_in_group <= 40
 """, ["sessions", "coaches", "gyms"], "X36 F3 O4 A23 J6")
 def _member_session_page(t):
     from gymlake.operators.ordering import paginate
-    s = (t.sessions
+    # the page is cut before the left joins, and totals count the member column alone
+    page = paginate(t.sessions, "member_id", [F.desc("session_date"), F.desc("session_time"), F.desc("id")],
+                    page=2, limit=20, counted=t.sessions.select("member_id"))
+    s = (page
          .join(t.coaches.select(F.col("id").alias("coach_id"), F.col("name").alias("coach_name")),
                "coach_id", "left")
          .join(t.gyms.select(F.col("id").alias("gym_id"), F.col("name").alias("gym_name")),
                "gym_id", "left"))
     p = parse_notes_sql("notes")
-    s = s.select("id", "member_id", "coach_name", "gym_name", "session_date", "session_time",
-                 p.workout_type.alias("workout_type"), p.exercises_text.alias("exercises_text"))
-    return paginate(s, "member_id", [F.desc("session_date"), F.desc("session_time"), F.desc("id")],
-                    page=2, limit=20).drop("session_date", "session_time")
+    return s.select("id", "member_id", "coach_name", "gym_name", p.workout_type.alias("workout_type"),
+                    p.exercises_text.alias("exercises_text"), "row_in_group", "total", "page", "has_more",
+                    "total_pages")

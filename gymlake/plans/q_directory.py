@@ -17,7 +17,7 @@ from gymlake.plans import reports as rp
 from gymlake.plans.catalog import register
 from gymlake.session import checkpoint_dir
 from gymlake.sources.fixtures import SESSION_AS_OF
-from gymlake.sources.sinks import write_report
+from gymlake.sources.sinks import append, read_report, write_report
 
 AS_OF = SESSION_AS_OF
 D = f"DATE '{AS_OF}'"
@@ -107,22 +107,38 @@ def _member_suggestions(t):
 
 @register("log_foods", """
 WITH ok AS (
-  SELECT member_id, log_date,
-         CASE WHEN COALESCE(CAST(total_calories AS DOUBLE), 0.0) = 0
-              THEN 4 * CAST(total_protein AS DOUBLE) + 4 * CAST(total_carbs AS DOUBLE) + 9 * CAST(total_fat AS DOUBLE)
-              ELSE CAST(total_calories AS DOUBLE) END AS calories, total_protein, total_carbs, total_fat
+  SELECT member_id, log_date, total_calories, total_protein, total_carbs, total_fat
   FROM food_entries
   WHERE unit IN ('grams', 'ml', 'pieces', 'cups', 'tablespoons', 'serving')
     AND meal_type IN ('breakfast', 'lunch', 'dinner', 'snack') AND quantity > 0)
-SELECT member_id, log_date AS analysis_date, COUNT(*) AS entries, ROUND(SUM(calories), 2) AS total_calories,
-       CAST(SUM(total_protein) AS DECIMAL(18,2)) AS total_protein
+SELECT member_id, log_date AS analysis_date, COUNT(*) AS entries,
+       CAST(SUM(total_calories) AS DECIMAL(18,2)) AS total_calories,
+       CAST(SUM(total_protein) AS DECIMAL(18,2)) AS total_protein,
+       CAST(SUM(total_carbs) AS DECIMAL(18,2)) AS total_carbs, CAST(SUM(total_fat) AS DECIMAL(18,2)) AS total_fat
 FROM ok GROUP BY member_id, log_date
-""", ["food_entries"], "X18 F22 A26 S7")
+""", ["food_entries"], "X18")
 def _log_foods(t):
-    e = nu.log_foods(t.food_entries).filter(F.col("reject_reason").isNull())
-    return e.groupBy("member_id", F.col("log_date").alias("analysis_date")).agg(
-        F.count(F.lit(1)).alias("entries"), F.round(F.sum("calories_final"), 2).alias("total_calories"),
-        F.sum("total_protein").cast("decimal(18,2)").alias("total_protein"))
+    return nu.log_day_totals(t.food_entries)
+
+
+@register("merge_day_totals", """
+WITH stored AS (SELECT member_id, log_date, total_calories, total_protein, total_carbs, total_fat
+                FROM nutrition_logs),
+new AS (SELECT member_id, log_date, total_calories, total_protein, total_carbs, total_fat FROM food_entries
+        WHERE unit IN ('grams', 'ml', 'pieces', 'cups', 'tablespoons', 'serving')
+          AND meal_type IN ('breakfast', 'lunch', 'dinner', 'snack') AND quantity > 0)
+SELECT member_id, log_date AS analysis_date, CAST(SUM(total_calories) AS DECIMAL(18,2)) AS total_calories,
+       CAST(SUM(total_protein) AS DECIMAL(18,2)) AS total_protein,
+       CAST(SUM(total_carbs) AS DECIMAL(18,2)) AS total_carbs, CAST(SUM(total_fat) AS DECIMAL(18,2)) AS total_fat
+FROM (SELECT * FROM stored UNION ALL SELECT * FROM new) x GROUP BY member_id, log_date
+""", ["nutrition_logs", "food_entries"], "A26 X18 S7")
+def _merge_day_totals(t):
+    # stored day totals live in an appended, date-partitioned table
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/day_totals/{uuid.uuid4().hex[:10]}"
+    totals = nu.daily_nutrition(t.nutrition_logs).select(
+        "member_id", F.col("log_date").alias("analysis_date"), *[F.col(m).alias(f"total_{m}") for m in nu.MACROS])
+    append(totals, path, "analysis_date")
+    return nu.accumulate_day(t.spark.read.schema(totals.schema).parquet(path), nu.log_day_totals(t.food_entries))
 
 
 @register("gym_recent_sessions", f"""
@@ -135,8 +151,10 @@ FROM (SELECT s.gym_id, s.id, m.name AS member_name, c.name AS coach_name, s.sess
 WHERE rank_in_group <= 5
 """, ["sessions", "members", "coaches"], "X37 W2 F1 F8 J3")
 def _gym_recent_sessions(t):
-    j = at.gym_sessions(t.sessions, t.members, t.coaches)
-    top = at.latest_n(j, "gym_id", [F.desc("session_date"), F.desc("session_time"), F.desc("id")], 5)
+    # cut first: every session has its member and coach (foreign keys), so the five
+    # latest per gym are the same before the joins
+    top = at.latest_n(t.sessions, "gym_id", [F.desc("session_date"), F.desc("session_time"), F.desc("id")], 5)
+    top = at.gym_sessions(top, t.members, t.coaches)
     p = parse_notes_strict("notes")
     return top.select("gym_id", "id", "member_name", "coach_name", "session_date", "session_time",
                       cap_first("status").alias("status_label"), p.workout_type.alias("workout_type"),
@@ -158,4 +176,17 @@ def _report_roundtrip(t):
     report = rp.export(t, "coaches_gym")
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/reports/coaches_gym-{uuid.uuid4().hex[:10]}"
     write_report(report, path, "csv")
-    return t.spark.read.schema(report.schema).option("header", True).csv(path)
+    return read_report(t.spark, path, report.schema)
+
+
+@register("notes_roundtrip", """
+SELECT s.gym_id, m.name AS member_name, m.email AS member_email, c.name AS coach_name, c.email AS coach_email,
+       s.session_date, s.session_time, s.notes AS workout_type, s.status, s.duration, s.notes, s.created_at
+FROM sessions s JOIN members m ON m.id = s.member_id JOIN coaches c ON c.id = s.coach_id
+""", ["sessions", "members", "coaches"], "S6 X29 J3")
+def _notes_roundtrip(t):
+    # session notes hold line breaks: the report must come back with them
+    report = rp.export(t, "sessions_gym")
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/reports/sessions_gym-{uuid.uuid4().hex[:10]}"
+    write_report(report, path, "csv")
+    return read_report(t.spark, path, report.schema)

@@ -273,21 +273,34 @@ pre AS (
               THEN {q(bk.REASONS['member_conflict'])}
     END AS pre_reason
   FROM booking_requests r),
-ok AS (SELECT * FROM pre WHERE pre_reason IS NULL),
+steps AS (
+  -- booking one after the other: an open request (0) is taken (1) when it is first in both of
+  -- its cells, and refused (2) once a taken one shares a cell with it
+  SELECT 0 AS k, request_id, coach_id, member_id, session_date, session_time, 0 AS st
+  FROM pre WHERE pre_reason IS NULL
+  UNION ALL
+  SELECT k + 1, request_id, coach_id, member_id, session_date, session_time,
+         CASE WHEN st <> 0 THEN st WHEN c_taken OR m_taken THEN 2
+              WHEN request_id = c_first AND request_id = m_first THEN 1 ELSE 0 END
+  FROM (SELECT *, bool_or(st = 1) OVER cw AS c_taken, bool_or(st = 1) OVER mw AS m_taken,
+               min(CASE WHEN st = 0 THEN request_id END) OVER cw AS c_first,
+               min(CASE WHEN st = 0 THEN request_id END) OVER mw AS m_first,
+               count(CASE WHEN st = 0 THEN 1 END) OVER () AS n_open
+        FROM steps
+        WINDOW cw AS (PARTITION BY coach_id, session_date, session_time),
+               mw AS (PARTITION BY member_id, session_date, session_time)) w
+  WHERE n_open > 0),
+taken AS (SELECT DISTINCT request_id FROM steps WHERE st = 1),
 v AS (
   SELECT p.request_id, p.coach_id, p.member_id, p.session_date, p.session_time, p.duration,
     CASE WHEN p.pre_reason IS NOT NULL THEN p.pre_reason
-         WHEN EXISTS (SELECT 1 FROM ok o WHERE o.request_id < p.request_id AND
-                      ((o.coach_id = p.coach_id AND o.session_date = p.session_date
-                        AND o.session_time = p.session_time)
-                       OR (o.member_id = p.member_id AND o.session_date = p.session_date
-                           AND o.session_time = p.session_time)))
+         WHEN p.request_id NOT IN (SELECT request_id FROM taken)
               THEN {q(bk.REASONS['batch_conflict'])} END AS reason
   FROM pre p)"""
 
 
 @register("validate_bookings", f"""
-WITH {_VALIDATE}
+WITH RECURSIVE {_VALIDATE}
 SELECT *, reason IS NULL AS accepted FROM v
 """, ["booking_requests", "members", "coaches", "member_coach", "sessions"], "X7 J9 J11 J12 J13 X41")
 def _validate_bookings(t):
@@ -295,7 +308,7 @@ def _validate_bookings(t):
 
 
 @register("session_payments", f"""
-WITH {_VALIDATE}
+WITH RECURSIVE {_VALIDATE}
 SELECT v.request_id, v.member_id, m.gym_id,
        CAST(CASE m.membership_type WHEN 'Basic' THEN 25.0 WHEN 'Premium' THEN 20.0 WHEN 'VIP' THEN 15.0
             ELSE 25.0 END AS DOUBLE) AS amount,

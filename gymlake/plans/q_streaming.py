@@ -10,7 +10,9 @@ from gymlake.streaming import streams as st
 
 
 def _streamed(t: Tables, *raw) -> Tables:
-    return Tables(t.spark, t.root, streamed=raw)
+    # no limit per trigger: what is there when the job starts is one micro-batch, so
+    # the bookings of T3 come in request order as in the batch form
+    return Tables(t.spark, t.root, streamed=raw, max_files_per_trigger=None)
 
 
 @register("stream_daily_nutrition", """
@@ -21,7 +23,7 @@ FROM nutrition_logs GROUP BY member_id, log_date
 """, ["nutrition_logs"], "T1 A20 A26")
 def _stream_daily_nutrition(t):
     s = _streamed(t, "lineitem")
-    return st.run_daily_nutrition(s.nutrition_logs, "2 days")
+    return st.run_daily_nutrition(s.nutrition_logs, t.root)
 
 
 @register("stream_availability", """
@@ -29,12 +31,12 @@ SELECT user_id, user_type, slot_date, hour, is_available, seq FROM availability_
 """, ["availability_slots"], "T2 X10 W5")
 def _stream_availability(t):
     s = _streamed(t, "events")
-    return st.run_availability(s.slot_updates)
+    return st.run_availability(s.slot_updates, t.root)
 
 
-@register("stream_bookings", "WITH " + _VALIDATE.replace("booking_requests", "order_booking_requests") + """
+@register("stream_bookings", "WITH RECURSIVE " + _VALIDATE.replace("booking_requests", "order_booking_requests") + """
 SELECT *, reason IS NULL AS accepted FROM v
 """, ["order_booking_requests", "members", "coaches", "member_coach", "sessions"], "T3 X7")
 def _stream_bookings(t):
     s = _streamed(t, "orders")
-    return st.run_bookings(s.order_booking_requests, t.members, t.coaches, t.member_coach, t.sessions)
+    return st.run_bookings(s.order_booking_requests, t.members, t.coaches, t.member_coach, t.sessions, t.root)

@@ -21,7 +21,7 @@ from gymlake.operators.ordering import weekday_order
 from gymlake.sources.json_docs import DEFAULT_WEEK, with_default_preferences
 from gymlake.sources.tables import Tables
 
-DASHBOARD_EXPORT_ROWS = 50  # fixed value: dashboard exports keep the latest 50 sessions
+DASHBOARD_EXPORT_ROWS = 50  # fixed value: sessions of a dashboard export
 
 
 # ---------------------------------------------------------------- X28
@@ -184,8 +184,9 @@ def _session_cols(prefix_cols):
             "status", "duration", "notes"]
 
 
-def export(t: Tables, name: str, as_of=None) -> DataFrame:
-    """The reference's spreadsheet exports for every entity at once."""
+def export(t: Tables, name: str, as_of=None, rows: int = DASHBOARD_EXPORT_ROWS) -> DataFrame:
+    """The reference's spreadsheet exports for every entity at once; dashboards keep the
+    latest ``rows`` sessions of each."""
     s, m, c = t.sessions, t.members, t.coaches
     mem = m.select(F.col("id").alias("member_id"), F.col("name").alias("member_name"),
                    F.col("email").alias("member_email"))
@@ -250,9 +251,9 @@ def export(t: Tables, name: str, as_of=None) -> DataFrame:
                 .join(mem, "member_id").select("coach_id", "member_name", "member_email", *cols))
     if name.startswith("dashboard_"):
         key = {"dashboard_coach": "coach_id", "dashboard_member": "member_id", "dashboard_gym": "gym_id"}[name]
-        j = s.join(mem, "member_id").join(coa, "coach_id")
-        top = at.latest_n(j, key, [F.desc("session_date"), F.desc("session_time"), F.desc("id")],
-                          DASHBOARD_EXPORT_ROWS)
+        # cut first: foreign keys guarantee that the joins drop no session
+        top = at.latest_n(s, key, [F.desc("session_date"), F.desc("session_time"), F.desc("id")], rows)
+        top = top.join(mem, "member_id").join(coa, "coach_id")
         return top.select(key, "member_name", "member_email", "coach_name", "coach_email", "session_date",
                           "session_time", F.col("notes").alias("workout_type"), "status", "duration")
     if name == "analytics_gym":

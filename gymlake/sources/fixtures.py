@@ -187,7 +187,6 @@ SELECT o_orderkey AS id, CAST(o_custkey AS INT) AS member_id, CAST(o_custkey % 1
        CAST(50 + 2 * (o_orderkey % 5) AS INT) AS daily_fat,
        o_orderstatus = 'O' AS is_active, o_orderdate AS created_at
 FROM {orders}
-WHERE o_orderkey % 7 = 0
 """,
     "member_plan_selections": """
 SELECT member_id, min(id) AS selected_plan_id, false AS is_default
@@ -202,14 +201,12 @@ SELECT o_orderkey AS request_id, CAST(o_custkey % 10 AS INT) AS coach_id,
        lpad(CAST(8 + o_orderkey % 12 AS STRING), 2, '0') || ':00' AS session_time,
        60 AS duration
 FROM {orders}
-WHERE o_orderkey % 3 = 0
 """,
     "booking_requests": """
 SELECT request_id, coach_id, member_id, session_date, session_time, duration FROM {order_booking_requests}
 UNION ALL
 SELECT id + 1000000000 AS request_id, coach_id, member_id, session_date, session_time, duration
 FROM {sessions}
-WHERE id % 10 = 0
 """,    "member_profiles": """
 SELECT CAST(c_custkey AS INT) AS member_id, CAST(18 + c_custkey % 50 AS INT) AS age,
        CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
@@ -247,7 +244,6 @@ SELECT o_orderkey AS id, CAST(o_custkey AS INT) AS member_id,
          || ', "class_id": 60, "is_food": false, "box": {"x1": 2, "y1": 2, "x2": 8, "y2": 8}}]'
          AS detections
 FROM {orders}
-WHERE o_orderkey % 5 = 0
 """,
     "bulk_requests": """
 SELECT o_orderkey AS request_id, CAST(o_custkey % 150 AS INT) AS user_id, 'member' AS user_type,
@@ -257,7 +253,6 @@ SELECT o_orderkey AS request_id, CAST(o_custkey % 150 AS INT) AS user_id, 'membe
        CAST(6 + o_orderkey % 10 + o_orderkey % 4 AS INT) AS end_hour,
        o_orderkey % 2 = 1 AS is_available, o_orderkey AS seq
 FROM {orders}
-WHERE o_orderkey % 11 = 0
 """,
     "member_imports": """
 SELECT c_custkey + 100000 AS import_id, c_nationkey AS gym_id,
@@ -271,7 +266,6 @@ SELECT c_custkey + 100000 AS import_id, c_nationkey AS gym_id,
             ELSE 'Basic' END AS membership_type,
        CAST(c_custkey % 13 AS INT) AS coach_id
 FROM {customer}
-WHERE c_custkey % 4 = 0
 """,
     "food_docs": """
 SELECT p_partkey AS doc_id, p_name AS query_name, CAST(p_partkey AS STRING) AS barcode,
@@ -316,7 +310,6 @@ SELECT member_id,
          AS selected_plan_id,
        id AS seq
 FROM {nutrition_plans}
-WHERE id % 3 = 0
 """,
     "feedback_requests": """
 SELECT o_orderkey AS feedback_id,
@@ -328,7 +321,6 @@ SELECT o_orderkey AS feedback_id,
        CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS INT) ELSE CAST(o_orderkey % 5 + 1 AS INT) END
          AS rating
 FROM {orders}
-WHERE o_orderkey % 13 = 0
 """,
     "food_entries": """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS entry_key, CAST(o.o_custkey AS INT) AS member_id,

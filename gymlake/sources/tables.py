@@ -27,6 +27,20 @@ def load_table(spark: SparkSession, root: str, name: str, schema=None) -> DataFr
     return df
 
 
+def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = 1) -> DataFrame:
+    """One Parquet table as a file stream: a folder of part files (new ones may arrive),
+    or a single file."""
+    table = load_table(spark, root, name)
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(table.schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        # a single file is streamed from the folder that holds it
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return reader.parquet(path)
+
+
 def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
               lower: int, upper: int, num_partitions: int, **options) -> DataFrame:
     """S1 for a live MySQL source: a range-partitioned parallel JDBC read."""
@@ -65,7 +79,8 @@ class Tables:
     reads ``sessions`` twice shares one logical subtree (and one exchange reuse).
     """
 
-    def __init__(self, spark: SparkSession, root: str, streamed=(), max_files_per_trigger: int = 1):
+    def __init__(self, spark: SparkSession, root: str, streamed=(),
+                 max_files_per_trigger: int | None = 1):
         self.spark = spark
         self.root = root
         self.streamed = set(streamed)
@@ -81,11 +96,7 @@ class Tables:
         if name not in self._cache:
             if name in self.streamed:
                 # a raw table read as a file stream: every derivation over it streams too
-                schema = load_table(self.spark, self.root, name).schema
-                self._cache[name] = (self.spark.readStream.schema(schema)
-                                     .option("maxFilesPerTrigger", self.max_files)
-                                     .option("pathGlobFilter", f"{name}.parquet")
-                                     .parquet(self.root))
+                self._cache[name] = stream_table(self.spark, self.root, name, self.max_files)
             elif name in fixtures.RAW_TABLES:
                 self._cache[name] = load_table(self.spark, self.root, name)
             elif name in fixtures.FIXTURE_SQL:

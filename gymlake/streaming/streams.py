@@ -1,22 +1,24 @@
 """Structured Streaming jobs for the reference's write paths.
 
-* T1 running day totals per member: event-time windows of one day with a
-  watermark; late rows (older than the watermark) are dropped, by design.
+* T1 running day totals per member: each micro-batch adds its partial sums to the
+  sink, and a reader adds them up, as the reference's additive upsert does.  No row
+  is late: a log of any day counts whenever it arrives.
 * T2 last-write-wins availability slots: ``foreachBatch`` applies the X10 rule.
-* T3 booking stream: redelivered requests are dropped within the watermark,
-  then each micro-batch is validated (X7) against history plus every request
-  accepted by earlier batches.
+* T3 booking stream: in arrival order, each micro-batch is validated (X7) against
+  history plus every request accepted by earlier batches; a redelivered request
+  (same id) is booked once.
 
 Sinks are Parquet tables partitioned by the micro-batch id and written with
 dynamic partition overwrite, so a replayed micro-batch (after an executor or
-driver failure) replaces exactly its own partition -- exactly-once output.
-Readers resolve state with a grouped ``max_by``.
-Checkpoints and state live under the cluster's ``spark.checkpoint.dir``.
+driver failure) replaces exactly its own partitions -- exactly-once output.
+Table and checkpoint paths follow from the stream's name and its input, so a job
+that is started again resumes where it stopped.  Both live under the cluster's
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,103 +31,110 @@ from gymlake.session import checkpoint_dir
 SLOT_KEY = ["user_id", "user_type", "slot_date", "hour"]
 
 
-def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    """(output table path, checkpoint path) for one run of a named stream."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:10]}"
+def stream_paths(spark: SparkSession, name: str, source: str) -> tuple[str, str]:
+    """(output table path, checkpoint path) of a named stream over ``source`` (any text that
+    tells inputs apart, such as the table's path): the same on every start."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
     return f"{base}/table", f"{base}/checkpoint"
 
 
-def write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
-    """Idempotent micro-batch sink: (re)writes only the partition ``_batch = batch_id``."""
+def write_batch(batch: DataFrame, out_path: str, batch_id: int, by: str | None = None) -> None:
+    """Idempotent micro-batch sink: (re)writes only the partitions ``_batch = batch_id``,
+    within each value of ``by``."""
     (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(out_path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*([by] if by else []), "_batch").parquet(out_path))
 
 
-def _append_batches(df: DataFrame, out_path: str, ckpt: str, mode: str, transform=None,
-                    available_now: bool = True):
+def read_sink(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The sink table (columns of ``schema`` and ``_batch``); empty before the first batch."""
+    full = f"{schema}, _batch int"
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
+
+def _run(df: DataFrame, out_path: str, ckpt: str, transform, by: str | None = None, available_now: bool = True):
     def write(batch: DataFrame, batch_id: int):
-        write_batch(transform(batch, batch_id) if transform else batch, out_path, batch_id)
+        write_batch(transform(batch, batch_id), out_path, batch_id, by)
 
-    w = (df.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", ckpt))
+    w = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def _latest(spark: SparkSession, path: str, key, order: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    payload = [c for c in df.columns if c not in key and c != "_batch"]
-    rank = F.struct(F.col(order), F.col("_batch")) if order != "_batch" else F.col("_batch")
-    return df.groupBy(*key).agg(*[F.max_by(c, rank).alias(c) for c in payload])
+# ---------------------------------------------------------------- T1
+DAY_SCHEMA = ("member_id int, log_date date, " + ", ".join(f"{m} decimal(18,2)" for m in MACROS)
+              + ", entries_count bigint")
 
 
-# ---------------------------------------------------------------- T1
-def stream_daily_nutrition(logs: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Streaming day totals per member (update mode).  Rows older than the
-    watermark (maximum event time seen minus ``delay``) are dropped; Spark applies
-    the watermark of the previous micro-batch to incoming rows."""
-    et = F.col("created_at").cast("timestamp")
-    return (logs.withColumn("event_time", et).withWatermark("event_time", delay)
-            .groupBy(F.window("event_time", "1 day").alias("w"), "member_id")
+def day_sums(logs: DataFrame) -> DataFrame:
+    """Partial day totals of one micro-batch."""
+    return (logs.groupBy("member_id", F.to_date("created_at").alias("log_date"))
             .agg(*[F.sum(f"total_{m}").cast("decimal(18,2)").alias(m) for m in MACROS],
-                 F.count(F.lit(1)).alias("entries_count"))
-            .select("member_id", F.to_date(F.col("w.start")).alias("log_date"), *MACROS, "entries_count"))
+                 F.count(F.lit(1)).alias("entries_count")))
 
 
-def run_daily_nutrition(logs: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Run T1 to completion over the available input and return the final totals."""
+def run_daily_nutrition(logs: DataFrame, source: str) -> DataFrame:
+    """Run T1 over the available input and return the totals so far."""
     spark = logs.sparkSession
-    out, ckpt = stream_paths(spark, "daily_nutrition")
-    _append_batches(stream_daily_nutrition(logs, delay), out, ckpt, "update").awaitTermination()
-    return _latest(spark, out, ["member_id", "log_date"], "_batch")
+    out, ckpt = stream_paths(spark, "daily_nutrition", source)
+    _run(logs, out, ckpt, lambda batch, _bid: day_sums(batch)).awaitTermination()
+    return (read_sink(spark, out, DAY_SCHEMA).groupBy("member_id", "log_date")
+            .agg(*[F.sum(m).cast("decimal(18,2)").alias(m) for m in MACROS],
+                 F.sum("entries_count").alias("entries_count")))
 
 
 # ---------------------------------------------------------------- T2
-def stream_availability(updates: DataFrame) -> DataFrame:
-    """T2 input shaping: slot writes with their sequence number."""
-    return updates.select(*SLOT_KEY, "is_available", "seq")
+SLOT_SCHEMA = "user_id int, user_type string, slot_date date, hour int, is_available boolean, seq bigint"
+
 
+def last_writes(updates: DataFrame) -> DataFrame:
+    """The last write per slot."""
+    return updates.groupBy(*SLOT_KEY).agg(*[F.max_by(c, "seq").alias(c) for c in ("is_available", "seq")])
 
-def run_availability(updates: DataFrame) -> DataFrame:
+
+def run_availability(updates: DataFrame, source: str) -> DataFrame:
     """Run T2: each micro-batch keeps its last write per slot (X10) and appends;
     the table state is the highest ``seq`` per slot over all batches."""
     spark = updates.sparkSession
-    out, ckpt = stream_paths(spark, "availability")
-
-    def last_write(batch: DataFrame, _bid: int) -> DataFrame:
-        payload = ["is_available", "seq"]
-        return batch.groupBy(*SLOT_KEY).agg(*[F.max_by(c, "seq").alias(c) for c in payload])
-
-    _append_batches(stream_availability(updates), out, ckpt, "append", last_write).awaitTermination()
-    return _latest(spark, out, SLOT_KEY, "seq")
+    out, ckpt = stream_paths(spark, "availability", source)
+    _run(updates.select(*SLOT_KEY, "is_available", "seq"), out, ckpt,
+         lambda batch, _bid: last_writes(batch)).awaitTermination()
+    return last_writes(read_sink(spark, out, SLOT_SCHEMA))
 
 
 # ---------------------------------------------------------------- T3
-def stream_bookings(requests: DataFrame, delay: str = "1 day") -> DataFrame:
-    """T3 input shaping: drop redelivered requests (same id) within the watermark."""
-    return (requests.withColumn("requested_at", F.col("session_date").cast("timestamp"))
-            .withWatermark("requested_at", delay)
-            .dropDuplicatesWithinWatermark(["request_id"]))
+BOOKING_SCHEMA = ("request_id bigint, coach_id int, member_id int, session_date date, session_time string, "
+                  "duration int, accepted boolean, reason string")
 
 
 def run_bookings(requests: DataFrame, members: DataFrame, coaches: DataFrame,
-                 member_coach: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Run T3: every micro-batch is validated (X7) against history plus the
-    requests accepted by earlier batches; results are appended per batch."""
+                 member_coach: DataFrame, sessions: DataFrame, source: str) -> DataFrame:
+    """Run T3: every micro-batch is validated (X7) against history plus the requests
+    accepted by earlier batches; results are appended per batch.
+
+    The sink is partitioned by session date, and history and sink are read for the
+    batch's dates only, so a batch costs what its dates hold and not all of history.
+    """
     spark = requests.sparkSession
-    out, ckpt = stream_paths(spark, "bookings")
+    out, ckpt = stream_paths(spark, "bookings", source)
     hist = sessions.select("coach_id", "member_id", "session_date", "session_time", "status")
 
     def validate(batch: DataFrame, bid: int) -> DataFrame:
-        try:
-            # only earlier batches count, so a replayed batch sees the same history
-            prev = (spark.read.parquet(out).filter(F.col("accepted") & (F.col("_batch") < bid))
-                    .select("coach_id", "member_id", "session_date", "session_time",
-                            F.lit("Scheduled").alias("status")))
-            busy = hist.unionByName(prev)
-        except AnalysisException:  # no batch written yet
-            busy = hist
-        return validate_bookings(batch.drop("requested_at"), members, coaches, member_coach, busy)
-
-    _append_batches(stream_bookings(requests), out, ckpt, "append", validate).awaitTermination()
-    return spark.read.parquet(out).drop("_batch")
+        lo, hi = batch.agg(F.min("session_date"), F.max("session_date")).first()
+        dates = F.col("session_date").between(F.lit(lo), F.lit(hi)) | F.col("session_date").isNull()
+        # only earlier batches count, so a replayed batch sees the same history
+        prev = read_sink(spark, out, BOOKING_SCHEMA).filter(dates & (F.col("_batch") < bid))
+        busy = (hist.filter(dates).unionByName(
+            prev.filter("accepted").select("coach_id", "member_id", "session_date", "session_time",
+                                           F.lit("Scheduled").alias("status"))))
+        # a redelivered request has the same date, so it is found among these
+        new = (batch.dropDuplicates(["request_id"])
+               .join(prev.select("request_id").distinct(), "request_id", "left_anti"))
+        return validate_bookings(new, members, coaches, member_coach, busy)
+
+    _run(requests, out, ckpt, validate, by="session_date").awaitTermination()
+    return read_sink(spark, out, BOOKING_SCHEMA).drop("_batch")
