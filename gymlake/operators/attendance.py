@@ -183,12 +183,6 @@ def revenue_stats(members: DataFrame, prices: dict | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A14
-def _distinct_members(sessions: DataFrame, key: str) -> DataFrame:
-    """Skew-safe COUNT(DISTINCT member_id) per ``key``: (key, member) first, then key."""
-    return (sessions.groupBy(key, "member_id").agg(F.count(F.lit(1)).alias("_n"))
-            .groupBy(key).agg(F.count("member_id").alias("unique_members")))
-
-
 def coach_analytics(coaches: DataFrame, sessions: DataFrame) -> DataFrame:
     """A14 (all time): sessions, completed, distinct members and completion rate
     (2 dp, half-up, NULL without sessions) for every coach, busiest first."""
@@ -213,14 +207,15 @@ def coach_analytics(coaches: DataFrame, sessions: DataFrame) -> DataFrame:
 def gym_session_report(sessions: DataFrame, as_of, days: int = 30) -> DataFrame:
     """30-day session counters per gym."""
     recent = sessions.filter(F.col("session_date") >= F.date_sub(lit_date(as_of), days))
-    base = recent.groupBy("gym_id").agg(
-        F.count(F.lit(1)).alias("total_sessions"),
-        F.sum(_flag(_status_is("Completed"))).alias("completed_sessions"),
-        F.sum(_flag(_status_is("Cancelled"))).alias("cancelled_sessions"))
-    mem = _distinct_members(recent, "gym_id").withColumnRenamed("unique_members", "active_members")
-    coa = (recent.groupBy("gym_id", "coach_id").agg(F.count(F.lit(1)).alias("_n"))
-           .groupBy("gym_id").agg(F.count("coach_id").alias("active_coaches")))
-    return base.join(mem, "gym_id").join(coa, "gym_id")
+    # one pass over the sessions; the distinct counts run on its (gym, coach, member) rows
+    per = recent.groupBy("gym_id", "coach_id", "member_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(_flag(_status_is("Completed"))).alias("done"),
+        F.sum(_flag(_status_is("Cancelled"))).alias("off"))
+    return per.groupBy("gym_id").agg(
+        F.sum("n").alias("total_sessions"), F.sum("done").alias("completed_sessions"),
+        F.sum("off").alias("cancelled_sessions"), F.count_distinct("member_id").alias("active_members"),
+        F.count_distinct("coach_id").alias("active_coaches"))
 
 
 def coach_performance(coaches: DataFrame, sessions: DataFrame, as_of, days: int = 30) -> DataFrame:

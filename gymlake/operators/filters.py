@@ -116,10 +116,10 @@ def upcoming(df: DataFrame, as_of, col: str = "session_date") -> DataFrame:
     return df.filter(F.col(col) >= lit_date(as_of))
 
 
-def to_nested_session(df: DataFrame) -> DataFrame:
-    """The reference's nested session record as a struct column."""
+def to_nested_session(df: DataFrame, keep=()) -> DataFrame:
+    """The reference's nested session record as struct columns, after the columns ``keep``."""
     return df.select(
-        "id",
+        *keep, "id",
         F.struct(F.col("member_id").alias("id"), F.col("member_name").alias("name")).alias("member"),
         F.struct("session_date", "session_time", "duration", "status").alias("schedule"),
         F.struct(F.col("workout_type").alias("type"), F.col("exercises")).alias("workout"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Estimated nutrition per 100 g, in lookup order (first match wins):
 # name, calories, protein, carbs, fat.
@@ -79,16 +80,14 @@ def estimate_nutrition(name) -> Column:
         cond = low.contains(food) | F.lit(food).contains(low)
         idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
 
-    def pick(j, default):
-        values = F.array(*[F.lit(float(e[j])) for e in ESTIMATES])
-        return F.when(idx.isNull(), F.lit(float(default))).otherwise(F.element_at(values, idx + 1))
+    # one entry per food and the default last: the search is evaluated once, and its
+    # result picks the whole entry
+    def entry(values, source):
+        return F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("calories", "protein", "carbs", "fat"), values)],
+                        F.lit(source).alias("source"))
 
-    return F.struct(_c(name).alias("name"), pick(1, ESTIMATE_DEFAULT[0]).alias("calories"),
-                    pick(2, ESTIMATE_DEFAULT[1]).alias("protein"),
-                    pick(3, ESTIMATE_DEFAULT[2]).alias("carbs"),
-                    pick(4, ESTIMATE_DEFAULT[3]).alias("fat"),
-                    F.when(idx.isNull(), F.lit("Estimated (default)")).otherwise(F.lit("Estimated"))
-                    .alias("source"))
+    entries = F.array(*[entry(e[1:5], "Estimated") for e in ESTIMATES], entry(ESTIMATE_DEFAULT, "Estimated (default)"))
+    return F.element_at(entries, F.coalesce(idx, F.lit(len(ESTIMATES))) + 1)
 
 
 # ---------------------------------------------------------------- F23
@@ -122,7 +121,8 @@ def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> Data
     # The parsed document, its nutrient array and each field's last hit are projected
     # as their own columns: referenced several times, they are computed once per row
     # (inline, every output field would re-parse the JSON and re-filter the array).
-    d = df.withColumn("_doc", F.from_json(F.col(json_col), DETAIL_SCHEMA))
+    parsed = isinstance(df.schema[json_col].dataType, T.StructType)  # a JSON source parsed it already
+    d = df.withColumn("_doc", F.col(json_col) if parsed else F.from_json(F.col(json_col), DETAIL_SCHEMA))
     d = d.withColumn("_items", F.coalesce(F.col("_doc.foodNutrients"), F.array()))
     def last_hit(ids):
         return F.try_element_at(F.filter("_items", lambda n: n["nutrient"]["id"].isin(*ids)), F.lit(-1))
@@ -250,7 +250,8 @@ def resolve_nutrition(labels: DataFrame, foods: DataFrame, name_col: str = "name
            .groupBy("_k").agg(F.min_by(F.struct("food_item_id", "_cal", "_pro"), "food_item_id")
                                .alias("_m")))
     j = labels.withColumn("_k", F.lower(name_col)).join(cat, "_k", "left")
-    est = estimate_nutrition(F.col(name_col))
+    j = j.withColumn("_est", estimate_nutrition(F.col(name_col)))  # searched once per row
+    est = F.col("_est")
     return j.select(*[c for c in labels.columns],
                     F.col("_m.food_item_id").alias("food_item_id"),
                     F.coalesce(F.col("_m._cal"), est["calories"]).alias("calories"),

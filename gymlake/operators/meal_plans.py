@@ -104,6 +104,24 @@ def plan_list(plans: DataFrame) -> DataFrame:
             .sortWithinPartitions("member_id", F.desc("created_at"), F.desc("plan_id")))
 
 
+def plans_by_member(plans: DataFrame, members: DataFrame) -> DataFrame:
+    """Each member's plans as one list, newest first (bounded by the member's plans)."""
+    entry = F.struct(F.col("created_at"), F.col("id").alias("plan_id"), "plan_name",
+                     plan_status("is_active").alias("status"))
+    lists = plans.groupBy("member_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("plans"))
+    return (lists.join(members.select(F.col("id").alias("member_id"), "name", "email"), "member_id")
+            .select("member_id", "name", "email", "plans"))
+
+
+def create_plans(requests: DataFrame, members: DataFrame, member_coach: DataFrame) -> DataFrame:
+    """Plans that coaches create for members assigned to them (J9); others are refused."""
+    pairs = (member_coach.select("coach_id", "member_id").distinct()
+             .join(members.select(F.col("id").alias("member_id")), "member_id", "left_semi").withColumn("_ok", F.lit(True)))
+    reason = F.when(F.col("_ok").isNull(), F.lit("Member not found"))
+    return (requests.join(pairs, ["coach_id", "member_id"], "left")
+            .select(*requests.columns, reason.isNull().alias("accepted"), reason.alias("reason")))
+
+
 def coach_plans(plans: DataFrame, members: DataFrame, member_coach: DataFrame) -> DataFrame:
     """Plans of each coach's assigned members, with the member's name."""
     return (plans.join(member_coach.select("coach_id", "member_id"), ["coach_id", "member_id"])

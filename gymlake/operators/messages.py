@@ -59,6 +59,9 @@ def message_contacts(gyms: DataFrame, coaches: DataFrame, members: DataFrame,
             .unionByName(mem_gym).unionByName(mem_coach))
 
 
+RUN = 10_000  # messages of a conversation that stay in one task
+
+
 def messages_with_sender(messages: DataFrame, all_parties: DataFrame) -> DataFrame:
     """Sender name through one join on (id, type) against the unioned parties."""
     u = all_parties.select(F.col("user_id").alias("sender_id"), F.col("user_type").alias("sender_type"),
@@ -74,12 +77,14 @@ def conversation_key(df: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, all_parties: DataFrame) -> DataFrame:
-    """Messages with sender names and their conversation key, in time order
-    (a global range-partitioned sort on (key, seq), so a busy pair still splits)."""
+    """Messages with sender names and their conversation key, in time order within
+    each conversation (runs of ``RUN`` messages are kept together, so a busy pair is
+    spread over tasks; there is no global sort)."""
     return (conversation_key(messages_with_sender(messages, all_parties))
             .select("conversation_key", "seq", "id", "sender_type", "sender_id", "sender_name",
                     "receiver_type", "receiver_id", "message")
-            .orderBy("conversation_key", "seq", "id"))
+            .repartition("conversation_key", F.floor(F.col("seq") / RUN))
+            .sortWithinPartitions("conversation_key", "seq", "id"))
 
 
 def conversation_summary(messages: DataFrame) -> DataFrame:

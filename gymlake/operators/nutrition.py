@@ -127,7 +127,9 @@ def nutrition_analytics(members: DataFrame, member_coach: DataFrame, logs: DataF
                     F.coalesce("total_entries", F.lit(0)).alias("total_entries"),
                     F.coalesce("active_days", F.lit(0)).alias("active_days"),
                     F.coalesce("entries_with_calories", F.lit(0)).alias("entries_with_calories"))
-            .orderBy(F.desc_nulls_last("avg_calories"), "coach_id", "member_id"))
+            # one coach's members together and in order; no global sort
+            .repartition("coach_id")
+            .sortWithinPartitions("coach_id", F.desc_nulls_last("avg_calories"), "member_id"))
 
 
 def meal_distribution(member_coach: DataFrame, logs: DataFrame, time_range: str,

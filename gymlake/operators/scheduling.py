@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gymlake.operators.filters import to_nested_session
 from gymlake.functions.timeutil import (WEEKDAYS, hours_to_block, lit_date, lit_ts, next_occurrence,
                                         start_ts, to_hour, weekday_from_name)
 
@@ -214,43 +215,60 @@ def schedule_grid(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sess
 
 
 # ---------------------------------------------------------------- J17 / A28 / X4
+def weekly_cells(free_days: DataFrame, hours=GROUP_HOURS) -> DataFrame:
+    """The (user, weekday, hour) cells within ``hours`` that the weekly pattern opens."""
+    lo = F.greatest(F.coalesce(to_hour("start_time"), F.lit(8)), F.lit(hours[0]))
+    hi = F.least(F.coalesce(to_hour("end_time"), F.lit(20)), F.lit(hours[1])) - 1
+    return (free_days.filter("is_available")
+            .select("user_id", "user_type", weekday_from_name("day_of_week").alias("dow"),
+                    F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("hour")))
+
+
+def _overrides(slots: DataFrame, lo, hi, hours) -> DataFrame:
+    """Date overrides in [lo, hi] x hours that say something."""
+    return (slots.filter(F.col("slot_date").between(lit_date(lo), lit_date(hi))
+                         & F.col("hour").between(hours[0], hours[1] - 1) & F.col("is_available").isNotNull())
+            .select("user_id", "user_type", F.col("slot_date").alias("date"),
+                    F.weekday("slot_date").alias("dow"), "hour", "is_available"))
+
+
 def effective_availability(users: DataFrame, slots: DataFrame, free_days: DataFrame,
                            lo, hi, hours=GROUP_HOURS) -> DataFrame:
-    """Per (user, date, hour) in [lo, hi] x hours: a date override wins over
-    the weekly pattern; no information means unavailable."""
-    spine = (users.select("user_id", "user_type")
-             .withColumn("date", F.explode(F.sequence(lit_date(lo), lit_date(hi))))
-             .withColumn("hour", F.explode(F.sequence(F.lit(hours[0]), F.lit(hours[1] - 1)))))
-    over = slots.select("user_id", "user_type", F.col("slot_date").alias("date"), "hour",
-                        F.col("is_available").alias("override"))
-    start, end = to_hour("start_time"), to_hour("end_time")
-    weekly = free_days.select("user_id", "user_type",
-                              weekday_from_name("day_of_week").alias("dow"),
-                              F.col("is_available").alias("w_av"),
-                              F.coalesce(start, F.lit(8)).alias("w_start"),
-                              F.coalesce(end, F.lit(20)).alias("w_end"))
-    j = (spine.withColumn("dow", F.weekday("date"))
-         .join(over, ["user_id", "user_type", "date", "hour"], "left")
-         .join(weekly, ["user_id", "user_type", "dow"], "left"))
-    pattern = F.coalesce(F.col("w_av") & (F.col("hour") >= F.col("w_start"))
-                         & (F.col("hour") < F.col("w_end")), F.lit(False))
-    return j.select("user_id", "user_type", "date", "hour",
-                    F.coalesce(F.col("override"), pattern).alias("available"))
+    """The (user, date, hour) cells in [lo, hi] x hours that are available: a date
+    override wins over the weekly pattern; no information means unavailable.  Only
+    cells that the pattern or an override opens are ever made."""
+    who = users.select("user_id", "user_type").distinct()
+    over = _overrides(slots, lo, hi, hours).join(who, ["user_id", "user_type"], "left_semi")
+    key = ["user_id", "user_type", "date", "hour"]
+    pattern = (weekly_cells(free_days, hours).join(who, ["user_id", "user_type"], "left_semi")
+               .withColumn("date", F.explode(F.sequence(lit_date(lo), lit_date(hi))))
+               .filter(F.weekday("date") == F.col("dow")).select(*key))
+    return pattern.join(over.select(*key), key, "left_anti").unionByName(over.filter("is_available").select(*key)).distinct()
 
 
 def group_availability(member_coach: DataFrame, slots: DataFrame, free_days: DataFrame,
-                       lo, hi) -> DataFrame:
-    """Members available per (coach, date, hour), 08-21 h.  Availability is
-    computed once per member, then counted per coach; names stay in long form
-    (``available_members``) rather than one collected list per cell."""
-    members = member_coach.select(F.col("member_id").alias("user_id")).distinct() \
-        .withColumn("user_type", F.lit("member"))
-    av = effective_availability(members, slots, free_days, lo, hi)
-    return (member_coach.select("coach_id", F.col("member_id").alias("user_id"))
-            .join(av, "user_id")
-            .groupBy("coach_id", "date", "hour")
-            .agg(F.count(F.when(F.col("available"), 1)).alias("available_count"),
-                 F.count(F.lit(1)).alias("members_considered")))
+                       lo, hi, hours=GROUP_HOURS) -> DataFrame:
+    """Members available per (coach, date, hour), 08-21 h.  The weekly pattern is
+    counted per (coach, weekday, hour); only cells with an override are corrected.  Names
+    stay in long form (``available_members``) rather than one collected list per cell."""
+    bridge = member_coach.select("coach_id", F.col("member_id").alias("user_id"))
+    cells = weekly_cells(free_days.filter(F.col("user_type") == "member"), hours).select("user_id", "dow", "hour")
+    weekly = (bridge.join(cells, "user_id").groupBy("coach_id", "dow", "hour").agg(F.count(F.lit(1)).alias("n")))
+    changed = (_overrides(slots.filter(F.col("user_type") == "member"), lo, hi, hours)
+               .join(cells.distinct().withColumn("_open", F.lit(1)), ["user_id", "dow", "hour"], "left")
+               .select("user_id", "date", "hour",
+                       (F.col("is_available").cast("int") - F.coalesce("_open", F.lit(0))).alias("d"))
+               .filter("d != 0"))
+    delta = bridge.join(changed, "user_id").groupBy("coach_id", "date", "hour").agg(F.sum("d").alias("d"))
+    # a coach's grid: 7 x 13 cells a week, whatever the number of members
+    grid = (bridge.groupBy("coach_id").agg(F.count(F.lit(1)).alias("members_considered"))
+            .withColumn("date", F.explode(F.sequence(lit_date(lo), lit_date(hi))))
+            .withColumn("dow", F.weekday("date"))
+            .withColumn("hour", F.explode(F.sequence(F.lit(hours[0]), F.lit(hours[1] - 1)))))
+    return (grid.join(weekly, ["coach_id", "dow", "hour"], "left").join(delta, ["coach_id", "date", "hour"], "left")
+            .select("coach_id", "date", "hour",
+                    (F.coalesce("n", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("available_count"),
+                    "members_considered"))
 
 
 def available_members(member_coach: DataFrame, members: DataFrame, slots: DataFrame,
@@ -258,7 +276,7 @@ def available_members(member_coach: DataFrame, members: DataFrame, slots: DataFr
     """X4 detail: one row per (coach, date, hour, available member) with the name."""
     mem = member_coach.select(F.col("member_id").alias("user_id")).distinct() \
         .withColumn("user_type", F.lit("member"))
-    av = effective_availability(mem, slots, free_days, lo, hi).filter("available")
+    av = effective_availability(mem, slots, free_days, lo, hi)
     return (member_coach.select("coach_id", F.col("member_id").alias("user_id")).join(av, "user_id")
             .join(members.select(F.col("id").alias("user_id"), "name"), "user_id")
             .select("coach_id", "date", "hour", F.col("user_id").alias("member_id"), "name"))
@@ -291,6 +309,17 @@ def availability_map(slots: DataFrame, lo=None, hi=None) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("is_available"), F.col("hour")))).alias("blocked_hours"))
 
 
+def sessions_by_slot(sessions: DataFrame, who: str) -> DataFrame:
+    """Sessions of one week grouped per (person, weekday_hour) as nested records (P16),
+    in time order; bounded by the sessions of one person's hour."""
+    entry = F.struct("schedule.session_date", "schedule.session_time", "id", "member", "schedule", "workout")
+    slot = F.concat(F.date_format("schedule.session_date", "EEEE"), F.lit("_"),
+                    to_hour("schedule.session_time").cast("string"))
+    return (to_nested_session(sessions, keep=[who])
+            .groupBy(who, slot.alias("slot"))
+            .agg(F.array_sort(F.collect_list(entry)).alias("sessions")))
+
+
 # ---------------------------------------------------------------- X11
 # Why a range request (or an hour of it) writes no slot.
 RANGE_REASONS = {"missing": "Missing date or hour", "inverted": "Range ends before it starts",

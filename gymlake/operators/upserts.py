@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gymlake.functions.text import normalise_enum, valid_email
+from gymlake.operators.bookings import reject_duplicates
 
 MEMBERSHIP_TYPES = ("Basic", "Premium", "VIP")
 # Import rejection reasons, in check order.
@@ -79,6 +80,49 @@ def update_rows(base: DataFrame, patches: DataFrame, key, allowed: dict | None =
                       for c in base.columns])
 
 
+def guarded_delete(rows: DataFrame, requests: DataFrame, key, owner: str) -> DataFrame:
+    """Rows left after delete requests; a request counts only where it names the
+    row's owner."""
+    key = [key] if isinstance(key, str) else list(key)
+    return rows.join(requests.select(*key, owner).distinct(), [*key, owner], "left_anti")
+
+
+def meal_corrections(logs: DataFrame, patches: DataFrame, units) -> DataFrame:
+    """Corrected meals: a patch replaces the stated values of the member's own entry;
+    one with a missing field or an unknown unit is ignored, and the last by ``seq`` wins."""
+    fields = ["custom_food_name", "meal_type", "quantity", "unit", "total_calories", "total_protein",
+              "total_carbs", "total_fat"]
+    whole = F.col("unit").isin(*units)
+    for c in fields:
+        whole = whole & F.col(c).isNotNull()
+    last = (patches.filter(whole).groupBy("id", "member_id")
+            .agg(F.max_by(F.struct(*fields), "seq").alias("_new")))
+    return (logs.join(last, ["id", "member_id"], "left")
+            .select(*[F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
+                      for c in logs.columns]))
+
+
+COACH_REASONS = {"missing": "Missing required field", "email": "Invalid email format",
+                 "duplicate": "Email already registered", "batch": "Email repeated in this import"}
+
+
+def validate_coaches(imports: DataFrame, coaches: DataFrame) -> DataFrame:
+    """Required fields, email shape (F5), email free in the table and first in the
+    import (J12).  Every row is returned with ``accepted`` and ``reason``."""
+    taken = coaches.select("email").distinct().withColumn("_taken", F.lit(True))
+    r = imports.join(taken, "email", "left").withColumn(
+        "_pre", F.when(F.col("name").isNull() | F.col("email").isNull() | F.col("specialization").isNull(),
+                       F.lit(COACH_REASONS["missing"]))
+        .when(~valid_email("email"), F.lit(COACH_REASONS["email"]))
+        .when(F.col("_taken").isNotNull(), F.lit(COACH_REASONS["duplicate"])))
+    first = reject_duplicates(r.filter(F.col("_pre").isNull()), coaches, "email", "import_id") \
+        .select("import_id").withColumn("_first", F.lit(True))
+    reason = F.coalesce("_pre", F.when(F.col("_first").isNull(), F.lit(COACH_REASONS["batch"])))
+    return (r.join(first, "import_id", "left")
+            .select("import_id", "gym_id", "name", "email", "specialization", reason.isNull().alias("accepted"),
+                    reason.alias("reason")))
+
+
 def reassign_coach(member_coach: DataFrame, changes: DataFrame) -> DataFrame:
     """Members in ``changes`` lose every existing link; a non-null coach is linked."""
     kept = member_coach.join(changes.select("member_id").distinct(), "member_id", "left_anti")

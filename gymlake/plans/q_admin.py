@@ -99,7 +99,7 @@ SELECT member_id, id AS plan_id, plan_name, coach_id,
        CASE WHEN is_active THEN 'active' ELSE 'inactive' END AS status,
        strftime(created_at, '%Y-%m-%d') AS created, created_at
 FROM nutrition_plans
-""", ["nutrition_plans"], "X31 P15 O1")
+""", ["nutrition_plans"], "X31 P15")
 def _plan_list(t):
     return mp.plan_list(t.nutrition_plans)
 
@@ -226,7 +226,7 @@ SELECT p.import_id, p.gym_id, p.name, p.email, p.tier AS membership_type, p.coac
          AS reason,
        COALESCE(p.pre_reason, CASE WHEN f.first_id < p.import_id THEN 'x' END) IS NULL AS accepted
 FROM pre p LEFT JOIN firsts f ON f.le = p.le
-""", ["member_imports", "members", "coaches"], "X23 F5 J12 J13 S3")
+""", ["member_imports", "members", "coaches"], "X23 F5 J12 J13")
 def _validate_members(t):
     return up.validate_members(t.member_imports, t.members, t.coaches)
 

@@ -117,7 +117,7 @@ SELECT g.id AS gym_id, g.name AS gym_name,
                                    WHEN 'Premium' THEN 100.0 WHEN 'VIP' THEN 150.0 END)
                        FROM members m WHERE m.gym_id = g.id), 0), 2)::DOUBLE AS monthly_revenue
 FROM gyms g
-""", ["gyms", "members", "coaches", "sessions"], "A6 A7 P12")
+""", ["gyms", "members", "coaches", "sessions"], "A6 A7")
 def _gym_dashboard(t):
     return at.gym_dashboard(t.gyms, t.members, t.coaches, t.sessions, AS_OF)
 
@@ -213,7 +213,7 @@ SELECT mc.coach_id, s.session_date, COUNT(*) AS count, strftime(s.session_date,
 FROM sessions s JOIN member_coach mc ON s.member_id = mc.member_id
 WHERE s.session_date >= {D} - 7
 GROUP BY 1, 2
-""", ["sessions", "member_coach"], "A12 F9 P3")
+""", ["sessions", "member_coach"], "A12 P3")
 def _session_history(t):
     return at.session_history(t.sessions, t.member_coach, "week", AS_OF)
 
@@ -256,7 +256,7 @@ SELECT member_id, id, session_date, session_time, status, rank_in_group FROM (
                             ORDER BY session_date DESC, session_time DESC, id DESC) AS INTEGER) AS rank_in_group
   FROM sessions) t
 WHERE rank_in_group <= 5
-""", ["sessions"], "W2 O1 O3")
+""", ["sessions"], "W2 O3")
 def _latest_sessions(t):
     s = t.sessions.select("member_id", "id", "session_date", "session_time", "status")
     return at.latest_n(s, "member_id", [F.desc("session_date"), F.desc("session_time"),
@@ -312,7 +312,7 @@ SELECT s.id, s.coach_id, s.member_id, m.name AS member_name, s.session_date, s.s
        ELSE '' END AS exercises
 FROM sessions s JOIN members m ON m.id = s.member_id
 WHERE s.session_date >= {D} - 7 AND (m.name ILIKE '%00%' OR m.email ILIKE '%00%')
-""", ["sessions", "members"], "X32 F1 P3 P6 J1 P16")
+""", ["sessions", "members"], "X32 F1 P3 P6 J1")
 def _coach_sessions(t):
     s = flt.date_range(t.sessions, "session_date", "week", AS_OF)
     j = flt.search(at.sessions_with_member(s, t.members), "00", ["member_name", "member_email"])

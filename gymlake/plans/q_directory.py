@@ -44,7 +44,7 @@ SELECT m.id AS member_id, m.membership_type, COUNT(s.id) AS sessions
 FROM members m LEFT JOIN sessions s ON s.member_id = m.id AND s.session_date >= {D}
 WHERE m.membership_type IN ('Premium', 'VIP')
 GROUP BY m.id, m.membership_type
-""", ["members", "sessions"], "P17 P18 P2 J5")
+""", ["members", "sessions"], "P17 P18 J5")
 def _premium_member_sessions(t):
     m = flt.entitled(t.members)
     up = flt.upcoming(t.sessions, AS_OF).groupBy("member_id").agg(F.count(F.lit(1)).alias("sessions"))
@@ -133,11 +133,11 @@ SELECT member_id, log_date AS analysis_date, CAST(SUM(total_calories) AS DECIMAL
 FROM (SELECT * FROM stored UNION ALL SELECT * FROM new) x GROUP BY member_id, log_date
 """, ["nutrition_logs", "food_entries"], "A26 X18 S7")
 def _merge_day_totals(t):
-    # stored day totals live in an appended, date-partitioned table
+    # stored day totals live in an appended table, partitioned by month
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/day_totals/{uuid.uuid4().hex[:10]}"
     totals = nu.daily_nutrition(t.nutrition_logs).select(
         "member_id", F.col("log_date").alias("analysis_date"), *[F.col(m).alias(f"total_{m}") for m in nu.MACROS])
-    append(totals, path, "analysis_date")
+    append(totals.withColumn("month", F.date_format("analysis_date", "yyyy-MM")), path, "month")
     return nu.accumulate_day(t.spark.read.schema(totals.schema).parquet(path), nu.log_day_totals(t.food_entries))
 
 

@@ -30,9 +30,8 @@ SELECT id, name, {_estimate_value('idx', 1)} AS calories, {_estimate_value('idx'
 FROM n
 """, ["food_items"], "J20")
 def _estimate_nutrition(t):
-    e = fd.estimate_nutrition(F.col("name"))
-    return t.food_items.select("id", "name", e.calories.alias("calories"), e.protein.alias("protein"),
-                               e.carbs.alias("carbs"), e.fat.alias("fat"), e.source.alias("source"))
+    e = t.food_items.select("id", "name", fd.estimate_nutrition(F.col("name")).alias("e"))  # searched once per row
+    return e.select("id", "name", "e.*")
 
 
 def _fallback_sql(expr: str, j: int) -> str:
@@ -88,7 +87,7 @@ SELECT * REPLACE (CASE WHEN calories = 0
                        THEN CAST(round_even(protein * 4 + carbs * 4 + fat * 9, 0) AS BIGINT)
                        ELSE calories END AS calories)
 FROM n
-""", ["food_docs"], "X14 F22 S5")
+""", ["food_docs"], "X14 F22")
 def _flatten_food_nutrients(t):
     return fd.flatten_food_nutrients(t.food_docs.select("doc_id", "detail_json"))
 
@@ -113,7 +112,7 @@ SELECT doc_id, m.fdcId AS fdc_id, m.description AS food_name, m.brandOwner AS br
        COALESCE({_sn('m', 205)}, 0.0) AS carbs, COALESCE({_sn('m', 204)}, 0.0) AS fat,
        CASE WHEN m IS NULL THEN NULL WHEN is_complete THEN 'USDA' ELSE 'USDA (partial data)' END AS source
 FROM c
-""", ["food_docs"], "X15 S5")
+""", ["food_docs"], "X15")
 def _best_food_match(t):
     return fd.best_food_match(t.food_docs.select("doc_id", "search_json"))
 
@@ -134,7 +133,7 @@ SELECT doc_id, barcode, COALESCE(doc.product.product_name, 'Unknown') AS name,
        COALESCE(doc.product.image_url, '') AS image_url, barcode AS product_barcode,
        'OpenFoodFacts' AS source
 FROM d WHERE doc.status = 1
-""", ["food_docs"], "X16 S5")
+""", ["food_docs"], "X16")
 def _flatten_products(t):
     return fd.flatten_products(t.food_docs.select("doc_id", "barcode", "product_json"))
 
@@ -200,7 +199,7 @@ SELECT name, food_item_id, COALESCE(cal, {_estimate_value('idx', 1)}) AS calorie
        CASE WHEN food_item_id IS NOT NULL THEN 'database'
             WHEN idx IS NULL THEN 'Estimated (default)' ELSE 'Estimated' END AS method
 FROM j
-""", ["detected_meals", "food_items"], "X42 J20 X15")
+""", ["detected_meals", "food_items"], "X42 J20")
 def _resolve_nutrition(t):
     dets = F.coalesce(F.from_json("detections", fd.DETECTIONS_SCHEMA), F.array())
     names = (t.detected_meals.select(F.explode(dets).alias("d")).select(F.col("d.name").alias("name"))

@@ -47,7 +47,7 @@ WITH {_PARTIES}
 SELECT {_KEY} AS conversation_key, m.seq, m.id, m.sender_type, m.sender_id, p.name AS sender_name,
        m.receiver_type, m.receiver_id, m.message
 FROM messages m LEFT JOIN parties p ON p.user_id = m.sender_id AND p.user_type = m.sender_type
-""", ["messages", "gyms", "coaches", "members"], "X21 J14 J15 O1")
+""", ["messages", "gyms", "coaches", "members"], "X21 J14 J15")
 def _conversations(t):
     return ms.conversations(t.messages, _parties(t))
 

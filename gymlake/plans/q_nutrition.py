@@ -121,7 +121,7 @@ SELECT member_id, meal_type, {_dsum('total_calories', 'calories')}, {_dsum('tota
 FROM nutrition_logs WHERE log_date = {D}
 GROUP BY ROLLUP (member_id, meal_type)
 HAVING member_id IS NOT NULL
-""", ["nutrition_logs"], "A21 P12")
+""", ["nutrition_logs"], "A21")
 def _today_nutrition(t):
     return nu.today_nutrition(t.nutrition_logs, AS_OF)
 
@@ -152,7 +152,7 @@ SELECT g.member_id, day.calories, day.protein, day.carbs, day.fat,
        ROUND(CAST(day.fat AS DOUBLE) * 100.0 / NULLIF(CAST(g.daily_fat_goal AS DOUBLE), 0), 2)
          AS fat_progress
 FROM g JOIN day ON day.member_id = g.member_id
-""", ["nutrition_logs", "members", "nutrition_goals"], "A22 F26")
+""", ["nutrition_logs", "members", "nutrition_goals"], "A22")
 def _goal_progress(t):
     return nu.goal_progress(t.members, t.nutrition_goals, t.nutrition_logs, AS_OF)
 
@@ -220,7 +220,7 @@ SELECT day.member_id, day.analysis_date, day.total_calories, day.total_protein,
                      "COALESCE(g.goal_type, 'Maintenance')")} AS ai_feedback,
        {q(nu.ANALYSIS_SUGGESTION)} AS suggestions
 FROM day LEFT JOIN g ON g.member_id = day.member_id
-""", ["detected_meals", "members", "nutrition_goals"], "X17 A26 F17 F18")
+""", ["detected_meals", "members", "nutrition_goals"], "X17 F17 F18")
 def _log_detected_foods(t):
     return nu.log_detected_foods(t.detected_meals, t.members, t.nutrition_goals)
 

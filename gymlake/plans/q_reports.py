@@ -223,7 +223,7 @@ def _export_sessions_gym(t):
 @register("export_schedule_member", f"""
 SELECT s.member_id, c.name AS coach_name, c.email AS coach_email, {_SESS_COLS}
 FROM sessions s JOIN coaches c ON s.coach_id = c.id
-""", ["sessions", "coaches"], "X29 J2")
+""", ["sessions", "coaches"], "X29")
 def _export_schedule_member(t):
     return rp.export(t, "schedule_member")
 

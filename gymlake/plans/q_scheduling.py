@@ -213,7 +213,7 @@ SELECT user_id, user_type, slot_date,
 FROM availability_slots
 WHERE slot_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'
 GROUP BY user_id, user_type, slot_date
-""", ["availability_slots"], "X40 A24 P5 P9")
+""", ["availability_slots"], "X40 A24 P5")
 def _availability_map(t):
     m = sc.availability_map(t.availability_slots, "2024-01-10", "2024-01-20")
     return m.select("user_id", "user_type", "slot_date",
@@ -302,7 +302,7 @@ v AS (
 @register("validate_bookings", f"""
 WITH RECURSIVE {_VALIDATE}
 SELECT *, reason IS NULL AS accepted FROM v
-""", ["booking_requests", "members", "coaches", "member_coach", "sessions"], "X7 J9 J11 J12 J13 X41")
+""", ["booking_requests", "members", "coaches", "member_coach", "sessions"], "X7 J9 J11 J13 X41")
 def _validate_bookings(t):
     return bk.validate_bookings(t.booking_requests, t.members, t.coaches, t.member_coach, t.sessions)
 

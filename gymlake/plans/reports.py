@@ -178,6 +178,20 @@ def coach_schedule(t: Tables, lo, hi) -> DataFrame:
                     F.coalesce("week", F.lit(default_week_text())).alias("coach_week")))
 
 
+def member_schedule(t: Tables, lo, hi) -> DataFrame:
+    """Each member's sessions in [lo, hi] with the coach, the parsed type and the
+    coach's weekly availability."""
+    s = t.sessions.filter(F.col("session_date").between(lit_date(lo), lit_date(hi)))
+    c = t.coaches.select(F.col("id").alias("coach_id"), F.col("name").alias("coach_name"), "specialization")
+    week = (weekly_text(t.free_days).filter(F.col("user_type") == "coach")
+            .select(F.col("user_id").alias("coach_id"), "week"))
+    p = parse_notes_strict("notes")
+    return (s.join(c.join(week, "coach_id", "left"), "coach_id")
+            .select("member_id", "id", "coach_id", "coach_name", "specialization", "session_date", "session_time",
+                    "duration", "status", p.workout_type.alias("workout_type"),
+                    F.coalesce("week", F.lit(default_week_text())).alias("coach_week")))
+
+
 # ---------------------------------------------------------------- X29 exports
 def _session_cols(prefix_cols):
     return [*prefix_cols, "session_date", "session_time", F.col("notes").alias("workout_type"),

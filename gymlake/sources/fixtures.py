@@ -321,6 +321,57 @@ SELECT o_orderkey AS feedback_id,
        CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS INT) ELSE CAST(o_orderkey % 5 + 1 AS INT) END
          AS rating
 FROM {orders}
+""",
+    "stored_preferences": """
+SELECT user_id, user_type, preferred_duration, TIMESTAMP '2023-11-01 08:00:00' AS created_at FROM {user_preferences}
+""",
+    "preference_updates": """
+SELECT id AS user_id, user_type, CASE WHEN id % 3 = 0 THEN 90 ELSE 30 END + 15 * n AS preferred_duration,
+       TIMESTAMP '2024-01-20 09:00:00' AS created_at, CAST(n + 1 AS BIGINT) AS seq
+FROM (SELECT id, user_type, 0 AS n FROM {all_users} UNION ALL SELECT id, user_type, 1 AS n FROM {all_users}) u
+""",
+    "week_updates": """
+SELECT id AS user_id, user_type, CASE id % 3 WHEN 0 THEN 'Monday' WHEN 1 THEN 'Friday' ELSE 'Sunday' END AS day_of_week,
+       id % 2 = 0 AS is_available, '07:00' AS start_time, '11:00' AS end_time, CAST(id AS BIGINT) AS seq
+FROM {all_users}
+""",
+    "coach_delete_requests": """
+SELECT CAST(s_suppkey AS INT) AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE s_nationkey + 1 END AS gym_id
+FROM {supplier}
+""",
+    "meal_logs": """
+SELECT l.l_orderkey * 10 + l.l_linenumber AS id, CAST(o.o_custkey AS INT) AS member_id, 'lunch' AS meal_type,
+       'food ' || CAST(l.l_partkey AS STRING) AS custom_food_name, 'grams' AS unit,
+       CAST(l.l_quantity AS DECIMAL(7,2)) AS quantity,
+       CAST(floor(l.l_extendedprice / 100) AS DECIMAL(7,2)) AS total_calories,
+       CAST(floor(l.l_quantity * 2) AS DECIMAL(7,2)) AS total_protein,
+       CAST(l.l_partkey % 200 AS DECIMAL(7,2)) AS total_carbs, CAST(l.l_suppkey % 60 AS DECIMAL(7,2)) AS total_fat
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+""",
+    "meal_patches": """
+SELECT id, CASE WHEN id % 7 = 0 THEN member_id + 1 ELSE member_id END AS member_id, 'dinner' AS meal_type,
+       CASE WHEN id % 11 = 0 THEN CAST(NULL AS STRING) ELSE 'corrected ' || CAST(n AS STRING) END AS custom_food_name,
+       CASE WHEN id % 5 = 0 THEN 'kg' ELSE 'pieces' END AS unit, CAST(quantity + n AS DECIMAL(7,2)) AS quantity,
+       CAST(total_calories + n AS DECIMAL(7,2)) AS total_calories, total_protein, total_carbs, total_fat,
+       CAST(n AS BIGINT) * 1000000000000 + CAST(total_calories * 100 AS BIGINT) * 100000 + CAST(quantity * 100 AS BIGINT) AS seq
+FROM (SELECT *, 1 AS n FROM {meal_logs} UNION ALL SELECT *, 2 AS n FROM {meal_logs}) p
+""",
+    "coach_imports": """
+SELECT s_suppkey + 5000 AS import_id, s_nationkey AS gym_id,
+       CASE WHEN s_suppkey % 9 = 0 THEN CAST(NULL AS STRING) ELSE s_name || ' II' END AS name,
+       CASE WHEN s_suppkey % 10 = 0 THEN 'no-at-sign.test'
+            WHEN s_suppkey % 6 = 0 THEN lower(replace(s_name, '#', '')) || '@coach.test'
+            WHEN s_suppkey % 4 = 0 THEN 'dup' || CAST(s_suppkey % 5 AS STRING) || '@import.test'
+            ELSE 'coach' || CAST(s_suppkey AS STRING) || '@import.test' END AS email,
+       'Yoga' AS specialization
+FROM {supplier}
+""",
+    "plan_requests": """
+SELECT o_orderkey AS request_id,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 10 ELSE (o_custkey + 1) % 10 END AS INT) AS coach_id,
+       CAST(o_custkey AS INT) AS member_id, 'Plan ' || o_orderpriority AS plan_name,
+       CAST(1500 + o_orderkey % 700 AS INT) AS daily_calories
+FROM {orders}
 """,
     "food_entries": """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS entry_key, CAST(o.o_custkey AS INT) AS member_id,

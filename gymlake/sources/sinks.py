@@ -36,8 +36,11 @@ def read_report(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, partition_by: str | None = "log_date") -> None:
-    """Append rows to a Parquet table, partitioned by date so readers prune."""
-    w = df.write.mode("append")
+    """Append rows to a Parquet table, partitioned by date so readers prune.  Rows of a
+    partition are brought together first (AQE splits a large one again), so the table
+    gets a file per partition and not one per task and partition."""
     if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
+        w = df.hint("rebalance", partition_by).write.mode("append").partitionBy(partition_by)
+    else:
+        w = df.write.mode("append")
     w.parquet(path)

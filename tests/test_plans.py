@@ -8,13 +8,15 @@ shuffle (WindowGroupLimit) and scans must be pruned.
 
 import contextlib
 import io
+import itertools
+import re
 
 import pytest
 
-import __spark_entry__ as se
+from gymlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES = se.queries()
+QUERIES = catalog.queries()
 BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
              "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "CollectLimit")
@@ -53,6 +55,24 @@ def test_top_n_per_key_is_cut_before_the_shuffle(spark, name):
     assert partial, plan
 
 
+@pytest.mark.parametrize("name", ["gym_recent_sessions", "export_dashboard_gym", "export_dashboard_coach",
+                                  "export_dashboard_member", "member_session_page", "member_recent_sessions"])
+def test_the_cut_is_below_the_dimension_joins(spark, name):
+    df = QUERIES[name](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [(re.search(r"\w", ln).start(), ln) for ln in text.splitlines() if re.match(r"^[ :]*(\+-|:-) ", ln)]
+    cut = next(i for i, (_, ln) in enumerate(nodes) if "WindowGroupLimit" in ln)
+    assert any("Join " in ln for _, ln in nodes[:cut]), text
+    below = list(itertools.takewhile(lambda n: n[0] > nodes[cut][0], nodes[cut + 1:]))
+    # only the session source's own join (events with suppliers)
+    assert sum("Join " in ln for _, ln in below) <= 1, text
+
+
+def test_the_gym_report_scans_sessions_once(spark):
+    plan = plan_text(QUERIES["gym_session_report"](spark, SF))
+    assert len([ln for ln in plan.splitlines() if "FileScan parquet" in ln and "events" in ln]) == 1, plan
+
+
 def test_fact_scan_is_pruned_and_filtered(spark):
     plan = plan_text(QUERIES["recent_month_sessions"](spark, SF))
     scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "events" in ln]
