@@ -52,19 +52,25 @@ def accept_in_order(candidates: DataFrame) -> DataFrame:
     is always first in both, so passes go on until none is open; their number is
     the length of the longest chain of conflicts, not of the batch.
     """
-    open_ = cut_lineage(candidates.select("request_id", *COACH_CELL, "member_id"))
-    accepted = None
-    while not open_.isEmpty():
-        firsts = (open_.join(open_.groupBy(*COACH_CELL).agg(F.min("request_id").alias("_c")), COACH_CELL)
-                  .join(open_.groupBy(*MEMBER_CELL).agg(F.min("request_id").alias("_m")), MEMBER_CELL))
-        now = cut_lineage(firsts.filter((F.col("request_id") == F.col("_c")) & (F.col("request_id") == F.col("_m")))
-                          .select("request_id", *COACH_CELL, "member_id"))
-        ids = now.select("request_id")
-        accepted = ids if accepted is None else accepted.unionByName(ids)
-        # what an accepted request shares a cell with is closed, itself included
-        open_ = cut_lineage(open_.join(now.select(*COACH_CELL), COACH_CELL, "left_anti")
-                            .join(now.select(*MEMBER_CELL), MEMBER_CELL, "left_anti"))
-    return accepted if accepted is not None else candidates.select("request_id").limit(0)
+    def marked(open_: DataFrame) -> DataFrame:
+        """The open requests, ``_won`` where a request is first in both of its cells."""
+        first_c = open_.groupBy(*COACH_CELL).agg(F.min("request_id").alias("_c"))
+        first_m = open_.groupBy(*MEMBER_CELL).agg(F.min("request_id").alias("_m"))
+        rows = (open_.join(first_c, COACH_CELL).join(first_m, MEMBER_CELL)
+                .select("request_id", *COACH_CELL, "member_id",
+                        ((F.col("request_id") == F.col("_c")) & (F.col("request_id") == F.col("_m"))).alias("_won")))
+        return cut_lineage(rows)
+
+    state = marked(candidates.select("request_id", *COACH_CELL, "member_id"))
+    accepted = state.filter("_won").select("request_id")
+    while not state.isEmpty():
+        now = state.filter("_won")
+        # what an accepted request shares a cell with is closed
+        state = marked(state.filter("NOT _won").drop("_won")
+                       .join(now.select(*COACH_CELL), COACH_CELL, "left_anti")
+                       .join(now.select(*MEMBER_CELL), MEMBER_CELL, "left_anti"))
+        accepted = accepted.unionByName(state.filter("_won").select("request_id"))
+    return accepted
 
 
 def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFrame,
