@@ -36,11 +36,6 @@ def day_name(c) -> Column:
     return F.date_format(_c(c), "EEEE")
 
 
-def weekday_index(c) -> Column:
-    """Monday = 0."""
-    return F.weekday(_c(c))
-
-
 def weekday_from_name(c) -> Column:
     """Index 0..6 of a weekday name (NULL when unknown)."""
     pos = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), _c(c)).cast("int")
@@ -52,11 +47,6 @@ def to_hour(c) -> Column:
     return F.split(_c(c), ":").getItem(0).try_cast("int")
 
 
-def seconds_to_hour(c) -> Column:
-    """hour of a TIME that arrives as seconds."""
-    return (_c(c) / 3600).cast("int")
-
-
 def to_minutes(c) -> Column:
     """Minutes since midnight of ``HH:MM`` text."""
     parts = F.split(_c(c), ":")
@@ -68,34 +58,11 @@ def start_ts(date_col, time_col) -> Column:
     return F.timestamp_add("MINUTE", to_minutes(time_col), _c(date_col).cast("timestamp_ntz"))
 
 
-def add_minutes(ts, minutes) -> Column:
-    return F.timestamp_add("MINUTE", _c(minutes) if not isinstance(minutes, int) else F.lit(minutes),
-                           _c(ts))
-
-
 def week_start(c) -> Column:
     """Monday of the week containing ``c`` (D8: Monday-first)."""
     return F.date_sub(_c(c), F.weekday(_c(c)))
 
 
-def month_start(c) -> Column:
-    return F.trunc(_c(c), "month")
-
-
-def month_end(c) -> Column:
-    return F.last_day(_c(c))
-
-
-def date_spine(lo, hi) -> Column:
-    """array of dates lo..hi inclusive (explode it)."""
-    return F.sequence(_c(lo), _c(hi), F.expr("INTERVAL 1 DAY"))
-
-
-def hour_spine(lo: int, hi: int) -> Column:
-    """array of hours lo..hi-1."""
-    return F.sequence(F.lit(lo), F.lit(hi - 1))
-
-
 def next_occurrence(day_idx, hour, now) -> Column:
     """first ``day_idx`` weekday at ``hour``:00 strictly after ``now``."""
     now = _c(now)

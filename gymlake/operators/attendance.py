@@ -382,11 +382,6 @@ def first_by(df: DataFrame, by, order) -> DataFrame:
     return latest_n(df, by, order, 1).drop("rank_in_group")
 
 
-def dedupe_latest(df: DataFrame, key, order_col: str) -> DataFrame:
-    """Last write wins on a unique key."""
-    return first_by(df, key, [F.col(order_col).desc()])
-
-
 # ---------------------------------------------------------------- joins J1-J4, J7, J9, J23, J24
 def sessions_with_member(sessions: DataFrame, members: DataFrame) -> DataFrame:
     """J1."""
@@ -410,13 +405,6 @@ def member_session_history(sessions: DataFrame, coaches: DataFrame, gyms: DataFr
                   "gym_id"))
 
 
-def members_with_coach(members: DataFrame, member_coach: DataFrame, coaches: DataFrame) -> DataFrame:
-    """Members with their (optional) coaches."""
-    return (members.join(member_coach.select(F.col("member_id").alias("id"), "coach_id"), "id", "left")
-            .join(coaches.select(F.col("id").alias("coach_id"), F.col("name").alias("coach_name")),
-                  "coach_id", "left"))
-
-
 def coach_members(member_coach: DataFrame, members: DataFrame) -> DataFrame:
     """Members of every coach with the assignment date."""
     return member_coach.join(members.withColumnRenamed("id", "member_id"), "member_id")

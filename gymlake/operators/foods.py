@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gymlake.functions.nutrition_fx import calories_from_macros
+
 # Estimated nutrition per 100 g, in lookup order (first match wins):
 # name, calories, protein, carbs, fat.
 ESTIMATES = [
@@ -139,9 +141,8 @@ def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> Data
                     F.coalesce(F.col("_doc.brandOwner"), F.lit("")).alias("brand"),
                     F.coalesce(F.col("_doc.foodCategory"), F.lit("")).alias("category"),
                     *[val(f).alias(f) for f in NUTRIENT_IDS])
-    derived = F.bround(F.col("protein") * 4 + F.col("carbs") * 4 + F.col("fat") * 9, 0).cast("long")
-    return base.withColumn("calories", F.when(F.col("calories") == 0, derived)
-                           .otherwise(F.col("calories"))).drop(json_col)
+    stated = calories_from_macros("calories", "protein", "carbs", "fat")
+    return base.withColumn("calories", F.bround(stated, 0).cast("long")).drop(json_col)
 
 
 # ---------------------------------------------------------------- X15

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.functions.nutrition_fx import (DEFAULT_GOALS, calories_from_macros, health_score,
+from gymlake.functions.nutrition_fx import (DEFAULT_GOALS, health_score,
                                             nutrition_feedback)
 from gymlake.functions.text import split_name
 from gymlake.functions.timeutil import lit_date, week_start
@@ -30,10 +30,6 @@ def dsum(c) -> Column:
     return F.sum(c).cast("decimal(18,2)")
 
 
-def davg(c) -> Column:
-    return F.round(F.avg(F.col(c).cast("double")), 4)
-
-
 def _in_range(logs: DataFrame, time_range: str, as_of) -> DataFrame:
     lo = range_start(time_range, as_of)
     return logs if lo is None else logs.filter(F.col("log_date") >= lo)

@@ -20,10 +20,6 @@ def weekday_order(col: str = "day_of_week"):
     return F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col(col))
 
 
-def order_by_weekday(df: DataFrame, col: str = "day_of_week", *more) -> DataFrame:
-    return df.orderBy(weekday_order(col), *more)
-
-
 def top(df: DataFrame, order, n: int) -> DataFrame:
     """O3: global top-n (planned as TakeOrderedAndProject: per-partition top-n, then merge)."""
     return df.orderBy(*order).limit(n)

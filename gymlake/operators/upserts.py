@@ -42,14 +42,6 @@ def upsert(base: DataFrame, updates: DataFrame, key, order_cols, keep_first=("cr
     return both.groupBy(*key).agg(*aggs).select(*cols)
 
 
-def dedupe_latest_by_key(df: DataFrame, key, order_col: str) -> DataFrame:
-    """W5 with ``max_by`` (no window): the row with the highest ``order_col`` per key."""
-    key = [key] if isinstance(key, str) else list(key)
-    payload = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(*[F.max_by(c, order_col).alias(c) for c in payload]) \
-        .select(*df.columns)
-
-
 def cascade_delete(ids: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """Remove rows referencing deleted ids from each child table (anti join per table)."""
     key = ids.columns[0]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from gymlake.functions.timeutil import WEEKDAYS
 from gymlake.plans import reports as rp
 from gymlake.plans.catalog import register

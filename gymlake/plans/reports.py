@@ -25,14 +25,6 @@ DASHBOARD_EXPORT_ROWS = 50  # fixed value: sessions of a dashboard export
 
 
 # ---------------------------------------------------------------- X28
-def gym_reports(t: Tables, as_of) -> dict[str, DataFrame]:
-    """The four report queries of the gym report page, for every gym."""
-    return {"membership": at.membership_stats(t.members, as_of),
-            "sessions": at.gym_session_report(t.sessions, as_of),
-            "revenue": at.revenue_stats(t.members),
-            "coaches": at.coach_performance(t.coaches, t.sessions, as_of)}
-
-
 def gym_report_summary(t: Tables, as_of) -> DataFrame:
     """X28 as one row per gym: membership, 30-day sessions, revenue and rates."""
     # membership mix (A13) and revenue (A7) in one aggregate over the members

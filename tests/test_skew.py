@@ -82,8 +82,10 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", ["match_slots", "member_session_page", "export_members_gym"])
-def test_same_answer_when_aqe_splits_hot_partitions(spark, name):
+# the page is cut before its joins, so no hot partition is left to split in them
+@pytest.mark.parametrize("name,splits", [("match_slots", True), ("member_session_page", False),
+                                         ("export_members_gym", True), ("export_sessions_gym", True)])
+def test_same_answer_when_aqe_splits_hot_partitions(spark, name, splits):
     q = se.queries()[name]
     normal = sorted(map(tuple, q(spark, SF).collect()), key=repr)
     old = {k: spark.conf.get(k, None) for k in FORCED_SKEW}
@@ -92,7 +94,7 @@ def test_same_answer_when_aqe_splits_hot_partitions(spark, name):
             spark.conf.set(k, v)
         df = q(spark, SF)
         split = sorted(map(tuple, df.collect()), key=repr)
-        assert "skew=true" in _plan(df)          # AQE really split a partition
+        assert ("skew=true" in _plan(df)) == splits  # AQE really split a partition
     finally:
         for k, v in old.items():
             if v is None:
