@@ -84,7 +84,7 @@ def _plan(df) -> str:
 
 # the page is cut before its joins, so no hot partition is left to split in them
 @pytest.mark.parametrize("name,splits", [("match_slots", True), ("member_session_page", False),
-                                         ("export_members_gym", True), ("export_sessions_gym", True)])
+                                         ("export_members_gym", True)])
 def test_same_answer_when_aqe_splits_hot_partitions(spark, name, splits):
     q = se.queries()[name]
     normal = sorted(map(tuple, q(spark, SF).collect()), key=repr)
