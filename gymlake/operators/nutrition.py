@@ -15,7 +15,7 @@ from gymlake.functions.nutrition_fx import (DEFAULT_GOALS, health_score,
                                             nutrition_feedback)
 from gymlake.functions.text import split_name
 from gymlake.functions.timeutil import lit_date, week_start
-from gymlake.operators.filters import range_start
+from gymlake.operators.filters import entitled, range_start
 
 MACROS = ("calories", "protein", "carbs", "fat")
 MEAL_TYPES = ("breakfast", "lunch", "dinner", "snack")
@@ -217,8 +217,13 @@ def detected_food_rows(detected: DataFrame) -> DataFrame:
                     F.col("food.confidence").alias("ai_confidence")))
 
 
-def log_detected_foods(detected: DataFrame, members: DataFrame, goals: DataFrame) -> DataFrame:
-    """Detected foods -> day totals per member with health score (F17) and feedback."""
+def log_detected_foods(detected: DataFrame, members: DataFrame, goals: DataFrame,
+                       premium_only: bool = False) -> DataFrame:
+    """Detected foods -> day totals per member with health score (F17) and feedback (F18);
+    ``premium_only`` takes the meals of members whose tier unlocks the feature (P17)."""
+    if premium_only:
+        who = entitled(members).select(F.col("id").alias("member_id"))
+        detected = detected.join(who, "member_id", "left_semi")
     rows = detected_food_rows(detected)
     day = rows.groupBy("member_id", F.col("log_date").alias("analysis_date")).agg(
         *[F.round(F.sum(f"total_{m}"), 4).alias(f"total_{m}") for m in MACROS])

@@ -225,6 +225,29 @@ def _log_detected_foods(t):
     return nu.log_detected_foods(t.detected_meals, t.members, t.nutrition_goals)
 
 
+@register("premium_detected_foods", f"""
+WITH {_FOOD_ROWS},
+day AS (
+  SELECT member_id, log_date AS analysis_date,
+         ROUND(SUM(food.calories), 4) AS total_calories, ROUND(SUM(food.protein), 4) AS total_protein,
+         ROUND(SUM(food.carbs), 4) AS total_carbs, ROUND(SUM(food.fat), 4) AS total_fat
+  FROM rows GROUP BY member_id, log_date),
+{_GOALS_CTE}
+SELECT day.member_id, day.analysis_date, day.total_calories, day.total_protein, day.total_carbs,
+       day.total_fat,
+       {health_score_sql('day.total_calories', 'day.total_protein', 'day.total_carbs', 'day.total_fat')}
+         AS health_score,
+       {feedback_sql('day.total_calories', 'day.total_protein',
+                     'COALESCE(g.daily_calorie_goal, 2000.0)', 'COALESCE(g.daily_protein_goal, 150.0)',
+                     "COALESCE(g.goal_type, 'Maintenance')")} AS ai_feedback,
+       {q(nu.ANALYSIS_SUGGESTION)} AS suggestions
+FROM day LEFT JOIN g ON g.member_id = day.member_id
+WHERE day.member_id IN (SELECT id FROM members WHERE membership_type IN ('Premium', 'VIP'))
+""", ["detected_meals", "members", "nutrition_goals"], "X17 P17 F17 F18")
+def _premium_detected_foods(t):
+    return nu.log_detected_foods(t.detected_meals, t.members, t.nutrition_goals, premium_only=True)
+
+
 @register("meal_health_scores", f"""
 SELECT member_id, log_date, meal_type,
        {health_score_sql('SUM(total_calories)', 'SUM(total_protein)', 'SUM(total_carbs)',
