@@ -173,12 +173,16 @@ def _sets(column, words: int) -> list[np.ndarray]:
 def _signer(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = _sets(batch.column(2), words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array([signature(s).view("<i8").tolist() for s in sets], pa.list_(pa.int64()))],
-                ["tag", "doc_id", "n", "digest", "bands"])
+            data, offs = text_bytes(batch.column(2))
+            for i, j in slices(offs):  # a slice's sets go before the next ones come
+                sets = shingles(*word_hashes(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]), words)
+                bands = np.stack([signature(s) for s in sets]).view("<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
+                     pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel()))],
+                    ["tag", "doc_id", "n", "digest", "bands"])
     return run
 
 

@@ -200,7 +200,7 @@ def _cutter(vocabulary: str, sequence: int):
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, texts, dealt = (batch.column(k).to_pylist() for k in range(3))
-            for i, j in text_batches(texts):
+            for i, j in text_batches(texts, 1 << 20):
                 rows: list[tuple] = []
                 for doc, b, body in zip(ids[i:j], dealt[i:j], enc.encode(texts[i:j])):
                     body += end
@@ -211,6 +211,7 @@ def _cutter(vocabulary: str, sequence: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                      *[pa.array(c, pa.int64()) for c in cols[2:]]], _PIECE_NAMES)
+        enc.forget()
     return run
 
 

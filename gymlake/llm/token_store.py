@@ -133,7 +133,7 @@ def _writer(vocabulary: str):
         enc = encoder(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in text_batches(texts):
+            for i, j in text_batches(texts, 1 << 20):
                 for doc, body in zip(ids[i:j], enc.encode(texts[i:j])):
                     docs.append(doc)
                     held.append(body + end)
@@ -142,6 +142,7 @@ def _writer(vocabulary: str):
                         yield flush()
         if docs:
             yield flush()
+        enc.forget()
     return run
 
 

@@ -17,8 +17,8 @@ import regex
 END_ID = 1
 # Fixed value: the pre-token pattern of the vocabulary file.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Entries that one Python worker keeps (about 200 bytes each) before it starts afresh.
-KEPT = 1_200_000
+# Entries that one task keeps (about 200 bytes each) before it starts afresh.
+KEPT = 700_000
 # Longer pre-tokens are encoded each time they occur.
 KEPT_LENGTH = 48
 _UNCOMMON = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0130\u0250-\U0010ffff]|<\\|")
@@ -56,6 +56,10 @@ class TextEncoder:
                     for e in self.library.encode_batch_fast(texts[i:i + 512], add_special_tokens=False)]
         return out
 
+    def forget(self) -> None:
+        """At the end of a task: workers go on with other work."""
+        self.kept = {}
+
     def token_ids(self, token: str) -> bytes:
         """Ids of one pre-token."""
         ids = self.kept.get(token)

@@ -76,8 +76,9 @@ def word_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, offs)
 
 
-def slices(offs: np.ndarray, most: int = 1 << 22):
-    """Cut texts into runs of about ``most`` bytes (one long text may exceed it)."""
+def slices(offs: np.ndarray, most: int = 1 << 19):
+    """Cut texts into runs of about ``most`` bytes (one long text may exceed it): numpy's
+    64-bit intermediate arrays take some 30 times that."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
