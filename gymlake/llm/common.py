@@ -14,6 +14,18 @@ from gymlake.session import checkpoint_dir
 BROADCAST_ROWS = 2_000_000
 
 
+# Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts vary from nothing to megabytes: bound Arrow batches by bytes, not only by rows
+    (10,000 long texts would not fit beside a small executor's heap)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table (a file or a folder of part files) of a data directory."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

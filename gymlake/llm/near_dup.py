@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import components, partitions, sized, stored
+from gymlake.llm.common import bounded_batches, components, partitions, sized, stored
 from gymlake.llm.words import shingles, slices, text_bytes, word_hashes
 
 WORDS = 5
@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its
     class), n_links (other rows it is linked to), kept (one row per class), tag."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     least = least_matches(threshold, TOLERANCE)
     tagged = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import stored
+from gymlake.llm.common import bounded_batches, stored
 from gymlake.llm.tokens import END_ID, default_vocabulary, encoder, text_batches
 
 SEQUENCE = 4096
@@ -261,6 +261,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     ``in_file_order`` they are runs of the order in which the files of ``docs`` hold them,
     and sequence numbers follow that order from batch to batch.
     """
+    bounded_batches(docs.sparkSession)
     if in_file_order:
         dealt = file_order(docs, batch_pieces)
     else:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import sized, stored
+from gymlake.llm.common import bounded_batches, sized, stored
 from gymlake.llm.words import mix, slices, text_bytes, word_hashes
 
 BITS = 18
@@ -201,6 +201,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, out: Column, column: str = "quality",
           sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the labelled rows of ``docs`` where ``out`` (held out) does not hold."""
+    bounded_batches(docs.sparkSession)
     known = stored(label_table(labels, column).where(~out), "labels")
     by_label = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(by_label.values())

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import partitions, sized, stored
+from gymlake.llm.common import bounded_batches, partitions, sized, stored
 from gymlake.llm.words import mix, prefix_hash, slices, text_bytes
 
 LENGTH = 200
@@ -300,6 +300,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """tag, starts, ends: the byte spans to remove from each row of ``docs`` that has some."""
     n = partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("text").cast("string").alias("text"))
     anchors = stored(texts.mapInArrow(_anchors(length, k), _ANCHORS), "anchors")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import partitions, scratch_path
+from gymlake.llm.common import bounded_batches, partitions, scratch_path
 from gymlake.llm.tokens import END_ID, default_vocabulary, encoder, text_batches
 
 BLOCK = 128
@@ -149,6 +149,7 @@ def _writer(vocabulary: str):
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write the store; one file per range of doc_ids."""
     vocabulary = vocabulary or default_vocabulary()
+    bounded_batches(docs.sparkSession)
     ordered = (docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
                .repartitionByRange(partitions(docs.sparkSession), F.asc_nulls_first("doc_id"))
                .sortWithinPartitions(F.asc_nulls_first("doc_id"), "text"))

@@ -18,7 +18,7 @@ END_ID = 1
 # Fixed value: the pre-token pattern of the vocabulary file.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Entries that one task keeps (about 200 bytes each) before it starts afresh.
-KEPT = 700_000
+KEPT = 400_000
 # Longer pre-tokens are encoded each time they occur.
 KEPT_LENGTH = 48
 _UNCOMMON = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u0130\u0250-\U0010ffff]|<\\|")
