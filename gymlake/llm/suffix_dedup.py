@@ -172,6 +172,8 @@ def _anchors(length: int, k: int):
             data, offs = text_bytes(batch.column(1))
             for i, j in slices(offs):
                 part, o = data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+                if not len(part):  # null and empty texts only
+                    continue
                 # a long text goes in parts that share length - 1 bytes, so each window is in one
                 for s in range(0, len(part), PART if j == i + 1 else len(part)):
                     piece = part[s:s + PART + length - 1] if j == i + 1 else part

@@ -283,6 +283,16 @@ def test_suffix_dedup(docs, group_contexts):
     assert rows(suffix_dedup(docs, group_contexts=group_contexts), *cols) == brute_strip(texts)
 
 
+LONG_TEXT = " ".join(f"u{i}" for i in range(100_000))  # over 512 KB, without repeats
+
+
+@pytest.mark.parametrize("texts", [["", None, ""], [LONG_TEXT, "", None, ""]])
+def test_suffix_dedup_of_slices_without_bytes(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = rows(suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter((d, len(t or ""), 0, 0, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in enumerate(texts))
+
+
 def test_suffix_dedup_of_a_text_in_parts(edges, monkeypatch):
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     data, offs = _bytes([t for _, t in plain(edges)])
