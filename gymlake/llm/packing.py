@@ -15,7 +15,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,24 +31,28 @@ SEQUENCE = 4096
 # Pieces of a batch: what one packing task holds.  A batch wastes less than one sequence
 # more than a packing of everything at once would.
 BATCH_PIECES = 6_000
-# Branches that one batch may open; beyond them its incumbent stands.
+# Branches (other fillings tried after a step back) that one batch may open; beyond them
+# its incumbent stands.
 BRANCHES = 400
 
 
 # ---- bin completion over the lengths of one batch ---------------------------------------
 
 class Pool:
-    """A multiset of lengths: sorted distinct lengths and how many there are of each."""
+    """A multiset of lengths: sorted distinct lengths, also as bits, and how many there are
+    of each."""
 
     def __init__(self, lengths):
         values, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
         self.values = values.tolist()
         self.count = dict(zip(self.values, counts.tolist()))
+        self.bits = sum(1 << v for v in self.values)
 
     def take(self, x: int) -> None:
         self.count[x] -= 1
         if not self.count[x]:
             del self.count[x]
+            self.bits ^= 1 << x
             self.values.pop(bisect_right(self.values, x) - 1)
 
     def give(self, x: int) -> None:
@@ -56,6 +60,7 @@ class Pool:
             self.count[x] += 1
         else:
             self.count[x] = 1
+            self.bits |= 1 << x
             insort(self.values, x)
 
 
@@ -97,36 +102,99 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return fits(0, list(a))
 
 
-def fillings(pool: Pool, room: int, width: int = 5, depth: int = 3) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first.  The first ``depth`` pieces of
-    a filling are tried over the ``width`` largest lengths that fit, the rest follows best
-    fit."""
-    found: set[tuple[int, ...]] = set()
-
-    def grow(chosen: tuple[int, ...], free: int, most: int) -> bool:
-        """True once a filling without waste is found."""
-        k = bisect_right(pool.values, min(free, most))
-        left = [v for v in pool.values[max(0, k - width):k] if pool.count[v] > chosen.count(v)]
-        if not left:
-            v = next((v for v in reversed(pool.values[:max(0, k - width)]) if pool.count[v] > chosen.count(v)), None)
-            if v is None:
-                found.add(chosen)
-                return free == 0
-            left = [v]
-        for v in reversed(left if len(chosen) < depth else left[-1:]):
-            if grow(chosen + (v,), free - v, v):
-                return True
-            if free == v:
-                return True
-        return False
-
-    grow((), room, room)
-    ranked = sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if len(f) > 6 or not any(len(g) <= 6 and dominates(g, f) for g in kept):
-            kept.append(f)
-    return kept or [()]
+def _sums(values: list[int], pool: Pool, room: int) -> list[int]:
+    """reach[k]: the sums up to ``room`` that the k smallest lengths can make, as bits."""
+    mask = (1 << room + 1) - 1
+    reach = [1]
+    for v in values:
+        r, left, step = reach[-1], pool.count[v], 1
+        if left > 1:
+            left = min(left, room // v)
+        while left:
+            step = min(step, left)
+            r |= r << step * v & mask
+            left -= step
+            step *= 2
+        reach.append(r)
+    return reach
+
+
+def _replaceable(chosen: tuple[int, ...], spare: int, slack: int) -> bool:
+    """Whether a length of the bits ``spare`` fits in place of smaller ones of ``chosen``
+    (largest first), alone or together, and of up to ``slack`` free places."""
+    sums, below, k = 1, 0, len(chosen)
+    while spare >> below:
+        # sums of the chosen lengths up to ``below``, against lengths up to the next one
+        top = chosen[k - 1] if k else None
+        near, wide = sums, 0
+        while wide < slack:
+            by = min(wide + 1, slack - wide)
+            near |= near << by
+            wide += by
+        span = spare >> below + 1 << below + 1
+        if top is not None:
+            span &= (1 << top + 1) - 1
+        if near & span:
+            return True
+        if top is None:
+            return False
+        while k and chosen[k - 1] == top:
+            sums |= sums << top
+            k -= 1
+        below = top
+    return False
+
+
+def fillings(pool: Pool, room: int, least: int = 0) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room`` that fills at least ``least`` of it, least waste
+    first and made when it is asked for; the pool must be as it was at each turn.
+
+    A filling is dominated exactly when a length that is left over fits in place of smaller
+    ones of the filling (none, one or several) and of its waste."""
+    values = pool.values[:bisect_right(pool.values, room)]
+    reach = _sums(values, pool, room)
+    bits = pool.bits & (1 << room + 1) - 1
+
+    def grow(chosen: tuple[int, ...], spare: int, k: int, total: int, slack: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly ``total`` more from the k smallest lengths."""
+        if not total:
+            if not _replaceable(chosen, spare, slack):
+                yield chosen
+            return
+        if not k:
+            return
+        free = spare & (1 << min(total, values[k - 1]) + 1) - 1
+        if slack:  # not those that a larger one left out fits in place of
+            near, wide = spare >> 1, 1
+            while wide < slack:
+                by = min(wide, slack - wide)
+                near |= near >> by
+                wide += by
+            free &= ~near
+        while free:
+            v = free.bit_length() - 1
+            free ^= 1 << v
+            k = bisect_left(values, v)
+            if not reach[k + 1] >> total & 1:
+                return
+            for n in range(min(pool.count[v], total // v), 0, -1):
+                if reach[k] >> total - n * v & 1:
+                    more = chosen + (v,) * n
+                    over = spare if n < pool.count[v] else spare & ~(1 << v)
+                    # lengths from v on that are not chosen stay out
+                    if not _replaceable(more, over >> v << v, slack):
+                        yield from grow(more, over, k, total - n * v, slack)
+
+    # lengths within the waste must all be in
+    must, k = 0, 0
+    for total in range(room, max(least, 0) - 1, -1):
+        while k < len(values) and values[k] <= room - total:
+            must += values[k] * pool.count[values[k]]
+            k += 1
+        if must > total:
+            return
+        if reach[-1] >> total & 1:
+            yield from grow((), bits, len(values), total, room - total)
 
 
 def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[list[int]]:
@@ -139,7 +207,8 @@ def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[lis
         return best
     pool = Pool(lengths)
     path: list[list[int]] = []
-    # one frame per open bin: (largest piece, its fillings yet to try, the filling in use)
+    # one frame per open bin: (largest piece, its fillings yet to try, the filling in use,
+    # whether one was tried)
     frames: list[list] = []
     waste, opened = 0, 0
 
@@ -151,7 +220,9 @@ def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[lis
     def open_bin() -> None:
         largest = pool.values[-1]
         pool.take(largest)
-        frames.append([largest, fillings(pool, capacity - largest), None])
+        # fillings with more waste than a packing with fewer bins has are no use
+        spared = (len(best) - 1) * capacity - total - waste
+        frames.append([largest, fillings(pool, capacity - largest, capacity - largest - spared), None, False])
 
     open_bin()
     while frames:
@@ -163,19 +234,16 @@ def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[lis
             path.pop()
             frame[2] = None
         allowed = (len(best) - 1) * capacity - total  # waste of any packing with fewer bins
-        if not frame[1] or len(best) <= bound or (opened > branches and len(best) < len(path) + 1):
+        choice = None
+        if len(best) > bound and not (frame[3] and opened >= branches):
+            choice = next(frame[1], None)
+        more = 0 if choice is None else capacity - frame[0] - sum(choice)
+        if choice is None or waste + more > allowed:  # later fillings waste at least as much
             pool.give(frame[0])
             frames.pop()
             continue
-        choice = frame[1].pop(0)
-        more = capacity - frame[0] - sum(choice)
-        if waste + more > allowed:
-            frame[1] = []  # later fillings waste at least as much
-            continue
-        if frame[1]:
-            opened += 1
-            if opened > branches:
-                frame[1] = []
+        opened += frame[3]  # a branch: another filling after a step back
+        frame[3] = True
         for x in choice:
             pool.take(x)
         waste += more

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from gymlake.llm import ann, mixing, near_dup, quality, suffix_dedup, token_store, tokens, words
 from gymlake.llm.exact_dedup import BinaryFuseFilter
-from gymlake.llm.packing import best_fit_decreasing, bin_completion, dominates
+from gymlake.llm.packing import BRANCHES, SEQUENCE, Pool, best_fit_decreasing, bin_completion, dominates, fillings
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,6 +115,27 @@ def test_bin_completion_beats_best_fit():
     assert dominates((5, 5), (5, 4)) and dominates((9,), (5, 4)) and not dominates((5, 4), (6,))
 
 
+@given(st.lists(st.integers(1, 20), max_size=9), st.integers(1, 40))
+@settings(max_examples=300, deadline=None)
+def test_fillings_are_all_undominated_ones_in_order(lengths, room):
+    feasible = {tuple(sorted(c, reverse=True)) for n in range(len(lengths) + 1) for c in itertools.combinations(lengths, n) if sum(c) <= room}
+    want = {f for f in feasible if not any(g != f and dominates(g, f) for g in feasible)}
+    got = list(fillings(Pool(lengths), room))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_bin_completion_with_production_parameters():
+    # 250 full sequences cut in three, each piece between a quarter and a half of one
+    rng = np.random.default_rng(1)
+    low = SEQUENCE // 4
+    cuts = [sorted(rng.integers(0, low + 1, 2)) for _ in range(250)]
+    lengths = [int(x) for a, b in cuts for x in (low + a, low + b - a, 2 * low - b)]
+    bins = bin_completion(lengths, SEQUENCE, BRANCHES)
+    assert Counter(x for b in bins for x in b) == Counter(lengths) and all(sum(b) <= SEQUENCE for b in bins)
+    assert len(bins) <= 1.02 * 250  # best fit takes 282
+
+
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 25), min_size=1))
 @settings(max_examples=100, deadline=None)
 def test_pfair_deviates_by_less_than_a_block(shares):
