@@ -5,7 +5,8 @@ into full sequences and one last piece.  A full piece is a sequence of its own.
 pieces are dealt at random into batches; each batch is packed by branch and bound:
 best-fit decreasing gives the first incumbent, then bins are completed around the largest
 piece that is left, with undominated fillings in order of waste, and a branch ends when
-its waste exceeds what the incumbent less one sequence would allow.
+its waste exceeds what the incumbent less one sequence would allow.  Sequences that batches
+have left badly filled are packed anew together, in rounds.
 
 Results for odd input: a null or empty text is one piece with just the end id; a null
 doc_id is kept as it is; repeated rows are packed as often as they occur; an empty table
@@ -24,12 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import bounded_batches, stored
+from gymlake.llm.common import bounded_batches, sized, stored
 from gymlake.llm.tokens import END_ID, default_vocabulary, encoder, text_batches
 
 SEQUENCE = 4096
-# Pieces of a batch: what one packing task holds.  A batch wastes less than one sequence
-# more than a packing of everything at once would.
+# Pieces of a batch: what one packing task holds.
 BATCH_PIECES = 6_000
 # Branches (other fillings tried after a step back) that one batch may open; beyond them
 # its incumbent stands.
@@ -320,14 +320,52 @@ def file_order(docs: DataFrame, batch_docs: int) -> DataFrame:
             .select("doc_id", "text", F.floor((F.col("before") + F.col("row")) / batch_docs).alias("batch")))
 
 
+def _packer_anew(columns: list[str], first: int, sequence: int, branches: int):
+    def run(table: pa.Table) -> pa.Table:
+        old = table.select(columns)
+        new = pack_batch(table.drop_columns(["sequence_id", "offset"]), sequence, branches)
+        if pc.max(new.column("bin")).as_py() + 1 >= pc.count_distinct(old.column("sequence_id")).as_py():
+            return old
+        # numbers that no batch before has
+        number = pc.add(pc.multiply(pc.add(new.column("batch"), first), 1 << 32), new.column("bin"))
+        return new.append_column("sequence_id", number).select(columns)
+    return run
+
+
+def repacked(packed: DataFrame, batches: int, sequence: int = SEQUENCE,
+             batch_pieces: int = BATCH_PIECES, branches: int = BRANCHES) -> DataFrame:
+    """``packed`` (of ``batches`` batches) with fewer sequences: those that are less filled
+    than the mean are dealt and packed anew, round by round, until their number meets the
+    bound of the total or stops falling."""
+    columns, turn, before = packed.columns, 0, None
+    packed = stored(packed, "packed")
+    while True:
+        bins = stored(packed.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count("*").alias("pieces")), "sequences")
+        n, total = bins.agg(F.count("*"), F.sum("used")).first()
+        if not n or n <= -(-total // sequence) or (before is not None and n >= before):
+            return packed
+        bad = bins.where(F.col("used") * n < total)
+        n_bad, pieces = bad.agg(F.count("*"), F.sum("pieces")).first()
+        if not n_bad:
+            return packed
+        bad, before, turn, first = sized(bad.select("sequence_id"), n_bad), n, turn + 1, batches
+        dealt = max(1, -(-pieces // batch_pieces))
+        batches += dealt
+
+        anew = (packed.join(bad, "sequence_id").withColumn("batch", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(dealt)))
+                .select(*columns, "batch").groupBy("batch").applyInArrow(_packer_anew(columns, first, sequence, branches), packed.schema))
+        packed = stored(packed.join(bad, "sequence_id", "left_anti").select(*columns).unionByName(anew), "packed")
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE,
          batch_pieces: int = BATCH_PIECES, branches: int = BRANCHES, in_file_order: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece.
 
     A document has at most one piece that is not full, so batches are counted in documents.
-    They are dealt by a hash, so that no batch grows with a source or a length; with
+    They are dealt by a hash, so that no batch grows with a source or a length, and badly
+    filled sequences are packed anew across batches; with
     ``in_file_order`` they are runs of the order in which the files of ``docs`` hold them,
-    and sequence numbers follow that order from batch to batch.
+    and sequence numbers follow that order from batch to batch, so nothing moves across them.
     """
     bounded_batches(docs.sparkSession)
     if in_file_order:
@@ -346,6 +384,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
 
     packed = (pieces.where(F.col("length") < sequence).groupBy("batch")
               .applyInArrow(run, f"{_PIECES.rpartition(',')[0]}, sequence_id long, offset long"))
+    if not in_file_order:
+        packed = repacked(packed, batches, sequence, batch_pieces, branches)
     full = (pieces.where(F.col("length") == sequence)
             # negative numbers: sequences of their own
             .select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"),

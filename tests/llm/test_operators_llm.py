@@ -169,6 +169,13 @@ def test_pack_in_file_order(small):
     check_packing(pack(small, sequence=512, batch_pieces=40, in_file_order=True).collect(), plain(small), 512)
 
 
+def test_pack_repairs_batches_across_their_borders(spark):
+    # lengths 47 and 17 fill a sequence of 64; batches get more of the one or the other
+    texts = [(d, "a" + " a" * (45 if d % 2 else 15)) for d in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert check_packing(pack(docs, sequence=64, batch_pieces=20).collect(), texts, 64) <= 202  # 200 are needed
+
+
 # ---- 5, 8 -------------------------------------------------------------------------------
 
 def check_scores(got, docs, modulus, rest):
