@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from gymlake.llm import license_scan, quality, toxicity
+from gymlake.llm import centroids, license_scan, quality, quality_rules, spelling, toxicity
 from gymlake.llm.ann import nearest
 from gymlake.llm.common import load
 from gymlake.llm.exact_dedup import exact_dedup
@@ -67,6 +67,18 @@ def op10_token_store(spark, sf_dir):
     return token_store(load(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark, sf_dir):
+    return centroids.cluster(load(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(load(spark, sf_dir, "documents"), typo=spelling.TYPO)
+
+
+def op13_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_license_scan": (op2_license_scan, license_scan.oracle_sql()),
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_toxicity_cnn": (op8_toxicity_cnn, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, None),
     "op10_token_store": (op10_token_store, None),
+    "op11_centroid_clusters": (op11_centroid_clusters, centroids.oracle_sql()),
+    "op12_spelling_variants": (op12_spelling_variants, None),
+    "op13_quality_rules": (op13_quality_rules, quality_rules.oracle_sql()),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
