@@ -5,7 +5,8 @@ into full sequences and one last piece.  A full piece is a sequence of its own.
 pieces are dealt at random into batches; each batch is packed by branch and bound:
 best-fit decreasing gives the first incumbent, then bins are completed around the largest
 piece that is left, with undominated fillings in order of waste, and a branch ends when
-its waste exceeds what the incumbent less one sequence would allow.  Sequences that batches
+its waste exceeds what the incumbent less one sequence would allow.  The search ends early when
+the incumbent meets a lower bound (of pieces too long to share a sequence, and of the total).  Sequences that batches
 have left badly filled are packed anew together, in rounds.
 
 Results for odd input: a null or empty text is one piece with just the end id; a null
@@ -18,6 +19,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import bounded_batches, sized, stored
+from gymlake.llm.common import bounded_batches, numbered, sized, stored, tidied
 from gymlake.llm.tokens import END_ID, default_vocabulary, encoder, text_batches
 
 SEQUENCE = 4096
@@ -34,6 +36,8 @@ BATCH_PIECES = 6_000
 # Branches (other fillings tried after a step back) that one batch may open; beyond them
 # its incumbent stands.
 BRANCHES = 400
+# Bins that the search may open over all branches: it bounds the time of a batch.
+NODES = 20_000
 
 
 # ---- bin completion over the lengths of one batch ---------------------------------------
@@ -197,20 +201,42 @@ def fillings(pool: Pool, room: int, least: int = 0) -> Iterator[tuple[int, ...]]
             yield from grow((), bits, len(values), total, room - total)
 
 
-def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[list[int]]:
-    """Bins of lengths: as few as branch and bound finds within ``branches`` branches."""
+def fewest(lengths, capacity: int) -> int:
+    """A lower bound on the bins: for each a up to half of a bin, lengths over capacity - a are
+    alone, those over a half share no bin with each other, and the others from a on fill what
+    room the latter leave."""
+    x = np.sort(np.asarray(lengths, np.int64))
+    if not len(x):
+        return 0
+    before = np.concatenate([[0], np.cumsum(x)])
+    half = int(np.searchsorted(x, capacity // 2, "right"))
+    a = np.concatenate([[0], np.unique(x[:half])])
+    alone = np.searchsorted(x, capacity - a, "right")
+    least = np.searchsorted(x, a, "left")
+    wide = alone - half  # bins of lengths over a half that may take more
+    room = wide * capacity - (before[alone] - before[half])
+    rest = before[half] - before[least]
+    return int((len(x) - half + np.maximum(0, -(-(rest - room) // capacity))).max())
+
+
+def bin_completion(lengths, capacity: int, branches: int = BRANCHES, nodes: int = NODES) -> list[list[int]]:
+    """Bins of lengths: as few as branch and bound finds within ``branches`` branches and
+    ``nodes`` opened bins.
+
+    A bin on the path keeps only how many of its fillings were tried; after a step back they are
+    made anew from there on, so memory grows with the bins and not with their fillings.
+    """
     lengths = [int(x) for x in lengths]
     best = best_fit_decreasing(lengths, capacity)
     total = sum(lengths)
-    bound = -(-total // capacity)
+    bound = fewest(lengths, capacity)
     if len(best) <= bound:
         return best
     pool = Pool(lengths)
     path: list[list[int]] = []
-    # one frame per open bin: (largest piece, its fillings yet to try, the filling in use,
-    # whether one was tried)
+    # one frame per open bin: (largest piece, fillings tried, the filling in use)
     frames: list[list] = []
-    waste, opened = 0, 0
+    waste, opened, steps = 0, 0, 0
 
     def completed() -> None:
         nonlocal best
@@ -220,9 +246,7 @@ def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[lis
     def open_bin() -> None:
         largest = pool.values[-1]
         pool.take(largest)
-        # fillings with more waste than a packing with fewer bins has are no use
-        spared = (len(best) - 1) * capacity - total - waste
-        frames.append([largest, fillings(pool, capacity - largest, capacity - largest - spared), None, False])
+        frames.append([largest, 0, None])
 
     open_bin()
     while frames:
@@ -234,16 +258,18 @@ def bin_completion(lengths, capacity: int, branches: int = BRANCHES) -> list[lis
             path.pop()
             frame[2] = None
         allowed = (len(best) - 1) * capacity - total  # waste of any packing with fewer bins
-        choice = None
-        if len(best) > bound and not (frame[3] and opened >= branches):
-            choice = next(frame[1], None)
-        more = 0 if choice is None else capacity - frame[0] - sum(choice)
-        if choice is None or waste + more > allowed:  # later fillings waste at least as much
+        choice, room = None, capacity - frame[0]
+        if len(best) > bound and not (frame[1] and opened >= branches) and steps < nodes:
+            # least waste first, none beyond what is allowed
+            choice = next(islice(fillings(pool, room, room - (allowed - waste)), frame[1], None), None)
+        if choice is None:
             pool.give(frame[0])
             frames.pop()
             continue
-        opened += frame[3]  # a branch: another filling after a step back
-        frame[3] = True
+        more = room - sum(choice)
+        opened += frame[1] > 0  # a branch: another filling after a step back
+        steps += 1
+        frame[1] += 1
         for x in choice:
             pool.take(x)
         waste += more
@@ -287,7 +313,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int =
     """Pieces of at most ``sequence`` ids: doc_id, piece, start, length, ids_crc32, and the
     document's batch where ``docs`` has one."""
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("batch").cast("long"))
-            .mapInArrow(_cutter(vocabulary or default_vocabulary(), sequence), _PIECES))
+            .mapInArrow(tidied(_cutter(vocabulary or default_vocabulary(), sequence)), _PIECES))
 
 
 def pack_batch(pieces: pa.Table, sequence: int = SEQUENCE, branches: int = BRANCHES) -> pa.Table:
@@ -372,7 +398,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
         dealt = file_order(docs, batch_pieces)
     else:
         batches = max(1, -(-docs.count() // batch_pieces))
-        dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(batches)).alias("batch"))
+        # by the place of a row: repeated rows and null ids spread like all others
+        dealt = (numbered(docs, "doc_id", "text")
+                 .select("doc_id", "text", F.pmod(F.xxhash64("tag"), F.lit(batches)).alias("batch")))
     pieces = stored(token_pieces(dealt, vocabulary, sequence), "pieces")
     names = [n for n in _PIECE_NAMES if n != "batch"]
 
