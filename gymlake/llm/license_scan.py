@@ -2,9 +2,10 @@
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z.  Base labels
 come from phrases whose words stand consecutively.  For the join a text is cut into blocks of
-2 * ``STRIDE`` words, one every ``STRIDE`` words, so that any run of up to ``STRIDE`` words is
-whole in a block.  A block has a template's label when it holds at least ``THRESHOLD`` of the
-template's distinct words.  Template words are ordered by document frequency in the corpus,
+2 * stride words, one every stride words, so that any run of up to stride words is whole in a
+block; the stride is ``STRIDE``, or the longest template if that is longer.  A block has a
+template's label when it holds at least ``THRESHOLD`` of the template's distinct words and all of
+its deciding words (those that tell it from the templates of other licenses).  Template words are ordered by document frequency in the corpus,
 rarest first; a pair is a candidate when it passes
 
   * the length filter: the block has enough template words at all,
@@ -43,6 +44,8 @@ TEMPLATES = {
             "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license"],
 }
+# Words without which a template does not count, by label: wherever its texts have them.
+DECIDING = {"apache-2.0": ["apache"], "cc-by-nc": ["nc"], "gpl-3.0": ["general", "version", "3"], "mit": ["mit"], "mpl-2.0": ["mozilla"]}
 THRESHOLD = 0.8
 STRIDE = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,6 +63,16 @@ def needed(m: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * m - 1e-9))
 
 
+def must(label: str, words, deciding: dict[str, list[str]]) -> list[str]:
+    """The deciding words of a label that one of its templates has."""
+    return [w for w in deciding.get(label, ()) if w in words]
+
+
+def stride_of(templates: dict[str, list[str]], stride: int = STRIDE) -> int:
+    """A stride no shorter than any template."""
+    return max([stride, *(len(text.split()) for texts in templates.values() for text in texts)])
+
+
 def base_hits(words: Column, base: dict[str, str]) -> Column:
     """(start, label) of every place where a phrase's words stand consecutively."""
     def at(w: Column, i: Column) -> Column:
@@ -84,11 +97,13 @@ def base_hits(words: Column, base: dict[str, str]) -> Column:
 
 
 def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None,
-                 threshold: float = THRESHOLD, stride: int = STRIDE) -> DataFrame:
+                 threshold: float = THRESHOLD, stride: int = STRIDE, deciding: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, tag (the number of the row in the scan)."""
     base = BASE if base is None else base
     templates = TEMPLATES if templates is None else templates
+    deciding = DECIDING if deciding is None else deciding
+    stride = stride_of(templates, stride)
     spark = docs.sparkSession
     sets = [(label, tuple(dict.fromkeys(text.split()))) for label, texts in templates.items() for text in texts]
     vocabulary = sorted({w for _, words in sets for w in words})
@@ -109,7 +124,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates:
         order = sorted(rank[w] for w in words)
         need = needed(len(order), threshold)
         for i in range(len(order) - need + 1):
-            index.append((t, label, order[i], i, len(order), need, order))
+            index.append((t, label, order[i], i, len(order), need, order, [rank[w] for w in must(label, words, deciding)]))
             prefix_words.add(order[i])
     by_rank = sorted(rank, key=rank.get)
     rank_of = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))]) if rank else None
@@ -135,7 +150,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates:
     if index:
         held = (rows.where(F.size("blocks") > 0).select("tag", F.explode("blocks").alias("b"))
                 .select("tag", "b.block", "b.ranks", F.posexplode("b.ranks").alias("j", "word")))
-        known = spark.createDataFrame(index, "template int, label string, word int, i int, m int, need int, words array<int>")
+        known = spark.createDataFrame(index, "template int, label string, word int, i int, m int, need int, words array<int>, must array<int>")
         size = F.size("ranks")
         candidates = (held.join(sized(known, len(index)), "word")
                       .where(size >= F.col("need"))                                              # length
@@ -143,6 +158,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates:
                       .where(F.least(F.col("m") - F.col("i"), size - F.col("j")) >= F.col("need")))  # positional
         matched = (candidates.withColumn("common", F.size(F.array_intersect("ranks", "words")))
                    .where(F.col("common") >= F.col("need"))
+                   .where(F.size(F.array_except("must", "ranks")) == 0)
                    .groupBy("tag").agg(F.collect_set("label").alias("found"),  # at most one per template
                                        F.max(F.col("common") / F.col("m")).alias("containment")))
     out = rows.withColumn("base", F.array_distinct(F.col("hits.label")))
@@ -163,7 +179,8 @@ def oracle_sql() -> str:
     """The same for ``documents`` in DuckDB, by comparing every block with every template."""
     def quoted(values) -> str:
         return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-    sets = ", ".join(f"('{label}', {quoted(dict.fromkeys(t.split()))}, {needed(len(set(t.split())), THRESHOLD)})"
+    stride = stride_of(TEMPLATES)
+    sets = ", ".join(f"('{label}', {quoted(dict.fromkeys(t.split()))}, {needed(len(set(t.split())), THRESHOLD)}, {quoted(must(label, t.split(), DECIDING))}::VARCHAR[])"
                      for label, texts in TEMPLATES.items() for t in texts)
     places = " UNION ALL ".join(
         f"SELECT tag, i - 1 AS start, '{label}' AS label FROM (SELECT tag, w, unnest(range(1, len(w) + 1)) AS i FROM d "
@@ -176,11 +193,11 @@ WITH d AS (SELECT row_number() OVER () AS tag, doc_id,
 h AS ({places}),
 hg AS (SELECT tag, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
               string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY tag),
-t(label, words, need) AS (VALUES {sets}),
-b AS (SELECT tag, list_distinct(w[k * {STRIDE} + 1 : k * {STRIDE} + {2 * STRIDE}]) AS s
-      FROM (SELECT tag, w, unnest(range(0, greatest(1, ceil(len(w) / {STRIDE}))::BIGINT)) AS k FROM d)),
+t(label, words, need, must) AS (VALUES {sets}),
+b AS (SELECT tag, list_distinct(w[k * {stride} + 1 : k * {stride} + {2 * stride}]) AS s
+      FROM (SELECT tag, w, unnest(range(0, greatest(1, ceil(len(w) / {stride}))::BIGINT)) AS k FROM d)),
 m AS (SELECT tag, label, max(len(list_intersect(s, words)) / len(words)) AS c FROM b, t
-      WHERE len(list_intersect(s, words)) >= need GROUP BY tag, label),
+      WHERE len(list_intersect(s, words)) >= need AND list_has_all(s, must) GROUP BY tag, label),
 mg AS (SELECT tag, max(c) AS c FROM m GROUP BY tag),
 l AS (SELECT tag, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
       FROM (SELECT tag, label FROM m UNION ALL SELECT tag, label FROM h) GROUP BY tag)
