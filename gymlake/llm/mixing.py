@@ -20,6 +20,7 @@ named like the added ones, which are replaced.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,22 +59,30 @@ def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[dict]:
     """Phases of the schedule: whole periods of the active sources, until one of them has no
     full turn left.  Each: first slot, periods, shares, and blocks given before, by source.
 
-    A source whose rest is less than its share of one period plays one period with that
-    rest as its share, so a phase ends each time and every block is placed.
+    Where a source has less left than its share, one period of unchanged shares is cut behind
+    the slot in which the first source runs out (``order``: its slots up to there), so no
+    source is held back to the end of another.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
     given = dict.fromkeys(left, 0)
     slot, out = 0, []
     while left:
-        active = {s: min(shares[s], left[s]) for s in left}
+        active = {s: shares[s] for s in left}
         periods = min(left[s] // n for s, n in active.items())
-        if any(active[s] < shares[s] for s in active):
-            periods = 1
-        out.append({"slot": slot, "periods": periods, "shares": active, "given": {s: given[s] for s in active}})
-        slot += periods * sum(active.values())
-        for s, n in active.items():
-            given[s] += periods * n
-            left[s] -= periods * n
+        order = None
+        if periods:
+            taken = {s: periods * n for s, n in active.items()}
+        else:
+            order = pfair_period(active)
+            end = next(at for at, (s, j, *_) in enumerate(order) if j + 1 == left[s])
+            order, periods = order[:end + 1], 1
+            taken = Counter(s for s, *_ in order)
+        out.append({"slot": slot, "periods": periods, "shares": active, "given": {s: given[s] for s in active},
+                    "taken": {s: taken[s] for s in active}, "order": order})
+        slot += sum(taken.values())
+        for s in active:
+            given[s] += taken[s]
+            left[s] -= taken[s]
         left = {s: n for s, n in left.items() if n}
     return out
 
@@ -116,8 +125,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
         total = sum(phase["shares"].values())
         for s, share in phase["shares"].items():
             first = phase["given"][s]
-            periods.append((p, s, first, first + phase["periods"] * share, share, phase["slot"], total))
-        for at, (s, j, release, deadline) in enumerate(pfair_period(phase["shares"])):
+            periods.append((p, s, first, first + phase["taken"][s], share, phase["slot"], total))
+        for at, (s, j, release, deadline) in enumerate(phase["order"] or pfair_period(phase["shares"])):
             slots.append((p, s, j, at, release, deadline))
     # as many rows as (sources) phases, and shares in them: no more with more documents
     in_phase = spark.createDataFrame(periods, "_phase int, _ps string, _first long, _end long, _share long, _slot0 long, _total long")
