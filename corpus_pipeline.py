@@ -2,19 +2,20 @@
 reread as the next one's input.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``.  ``docs`` is a scan of written files: stages number its rows by
-their place in it, and the packing stage follows the order of the mixed files.
+columns of ``documents`` (other columns are not read).  ``docs`` is a scan of written files:
+stages number its rows by file and place, and the packing stage follows the order of the mixed
+files.  Repeated rows are documents of their own until a stage drops them, a null doc_id is
+kept, very long texts are read whole, and an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gymlake.llm.common import load, sized, scratch_path, stored
-from gymlake.llm.exact_dedup import exact_dedup
+from gymlake.llm.common import load, numbered, sized, scratch_path, stored
+from gymlake.llm.exact_dedup import dedup_rows
 from gymlake.llm.mixing import in_mix_order
-from gymlake.llm.near_dup import near_duplicates
+from gymlake.llm.near_dup import near_rows
 from gymlake.llm.packing import pack
 from gymlake.llm.quality import keep_quality
 
@@ -23,35 +24,40 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARES = {"src0": 6, "src1": 3, "src2": 2}
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is not among the dropped ones of ``judged``."""
+def _without_dropped(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """The numbered ``rows`` that ``judged`` (by the same numbers) keeps, as documents."""
     dropped = stored(judged.where("NOT kept").select("tag"), "dropped")
-    return (docs.select(*COLUMNS, F.monotonically_increasing_id().alias("tag"))
-            .join(sized(dropped, dropped.count()), "tag", "left_anti").select(*COLUMNS))
+    return rows.join(sized(dropped, dropped.count()), "tag", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null and empty texts have the
+    score of a text without words.  Without labels of both classes none is rejected for its text."""
     return keep_quality(docs.select(*COLUMNS), load(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    """One document of each group of equal texts (null counts as empty; of rows that tie in
+    length and doc_id one stays)."""
+    rows = numbered(docs, *COLUMNS)
+    return _without_dropped(rows, dedup_rows(rows))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return _without(docs, near_duplicates(docs))
+    """One document of each class of near duplicates; texts without words, null ones too, are
+    in no class and stay."""
+    rows = numbered(docs, *COLUMNS)
+    return _without_dropped(rows, near_rows(rows))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mix."""
+    """All documents, laid out in the order of the mix; a null source is a source."""
     return in_mix_order(docs.select(*COLUMNS), SHARES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens, batch by batch in mix order."""
+    """Pieces of the documents in sequences of 4096 tokens, batch by batch in mix order; a null
+    or empty text is one piece with its end id."""
     return pack(docs, in_file_order=True)
 
 

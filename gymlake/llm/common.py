@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gymlake.session import checkpoint_dir
@@ -50,6 +53,48 @@ def sized(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(small) if rows <= limit else small
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a file scan, filtered or projected at most: a join or an explode would
+    give several rows the place of one."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of every row and ``tag``, a number that stays with the row in every scan.
+
+    A row of a file scan is numbered by its file and its place in it.  (The numbers of
+    monotonically_increasing_id follow how files are cut into tasks, which may differ from one
+    job to the next.)  Rows from anything else are numbered once and stored.
+    """
+    placed = None
+    if _is_scan(docs):
+        try:
+            placed = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:  # a format without row places
+            pass
+    if placed is None:
+        return stored(docs.select(*columns, F.monotonically_increasing_id().alias("tag")), "numbered")
+    # one row per file
+    files = stored(placed.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file"))), "files")
+    return (placed.join(sized(files, files.count()), "_file")
+            .select(*columns, (F.col("_number").cast("long") * (1 << 40) + F.col("_row")).alias("tag")))
+
+
+def tidied(run):
+    """A task function that gives freed memory back to the system at its end: Python workers
+    are used again, and what they hold adds up beside the JVM of their executor."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import partitions, sized, stored
+from gymlake.llm.common import numbered, partitions, sized, stored
 
 # Fixed value: the deleted characters.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -117,15 +117,15 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), BLANKS, "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """tag (a number of the scanned row), doc_id, n (code points), digest, key (64 bits of it)."""
-    return (_tagged(docs)
+def digests(rows: DataFrame) -> DataFrame:
+    """tag, doc_id, n (code points), digest, key (64 bits of it) of numbered rows."""
+    return (_texts(rows)
             .select("tag", "doc_id", F.length("text").alias("n"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
             .withColumn("key", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")))
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"),
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("tag", F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -180,11 +180,11 @@ def screen(new: DataFrame, snapshot: Snapshot) -> DataFrame:
             .applyInPandas(_screen, "digest binary, maybe boolean"))
 
 
-def same_bytes(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def same_bytes(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """Digests of ``pairs`` (digest, old_tag, new_tag) whose normalised texts are equal byte
     by byte.  Only the texts of the pairs are fetched."""
     tags = pairs.select("digest", F.explode(F.array("old_tag", "new_tag")).alias("tag"))
-    texts = (_tagged(docs).join(sized(tags, 2 * n), "tag").select("digest", normalised(F.col("text")).alias("norm")))
+    texts = (_texts(rows).join(sized(tags, 2 * n), "tag").select("digest", normalised(F.col("text")).alias("norm")))
     return texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a = b").select("digest")
 
 
@@ -192,22 +192,27 @@ def exact_dedup(docs: DataFrame, first_batch: Column | None = None) -> DataFrame
     """Dedup ``docs`` (doc_id, text) as two batches: rows where ``first_batch`` holds make the
     snapshot, the others come in against it.
 
-    One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and tag (the
-    number of the row in the scan of ``docs``).
+    One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and tag.
     """
+    return dedup_rows(numbered(docs, "doc_id", "text"), first_batch)
+
+
+def dedup_rows(texts: DataFrame, first_batch: Column | None = None) -> DataFrame:
+    """``exact_dedup`` of rows that carry their number (tag)."""
     first_batch = first_batch if first_batch is not None else F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    rows = stored(digests(docs).withColumn("old", F.coalesce(first_batch, F.lit(True))), "digests")
+    rows = stored(digests(texts).withColumn("old", F.coalesce(first_batch, F.lit(True))), "digests")
     old_groups = grouped(rows.where("old"))
     new = stored(grouped(rows.where("NOT old")), "new-groups")
-    n_old = rows.where("old").count()
-    snapshot = Snapshot(old_groups, max(partitions(docs.sparkSession), -(-n_old // BUCKET_KEYS)))
+    # a bucket holds a filter and the digests that are screened against it: the larger side counts
+    larger = max(rows.where("old").count(), new.count())
+    snapshot = Snapshot(old_groups, max(partitions(texts.sparkSession), -(-larger // BUCKET_KEYS)))
 
     positive = screen(new, snapshot).where("maybe").select("digest")
     old = snapshot.groups.select("digest", F.col("copies").alias("old_copies"), F.col("best").alias("old_best"))
     met = stored(new.join(positive, "digest").join(old, "digest")
                  .select("digest", "old_copies", "old_best", F.col("best.tag").alias("new_tag"),
                          F.col("old_best.tag").alias("old_tag")), "met")
-    equal = same_bytes(docs, met.select("digest", "old_tag", "new_tag"), met.count())
+    equal = same_bytes(texts, met.select("digest", "old_tag", "new_tag"), met.count())
     met = met.join(equal, "digest").select("digest", "old_copies", "old_best")
 
     # groups of both: those of the snapshot that nothing met, and those of the batch

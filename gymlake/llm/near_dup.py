@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import bounded_batches, components, partitions, sized, stored
+from gymlake.llm.common import bounded_batches, components, numbered, partitions, sized, stored, tidied
 from gymlake.llm.words import shingles, slices, text_bytes, word_hashes
 
 WORDS = 5
@@ -269,12 +269,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
                     block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its
     class), n_links (other rows it is linked to), kept (one row per class), tag."""
-    spark = docs.sparkSession
+    return near_rows(numbered(docs, "doc_id", "text"), words, threshold, bucket_members, block_members, block_shingles)
+
+
+def near_rows(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bucket_members: int = BUCKET_MEMBERS,
+              block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``near_duplicates`` of rows that carry their number (tag)."""
+    spark = texts.sparkSession
     bounded_batches(spark)
     least = least_matches(threshold, TOLERANCE)
-    tagged = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"),
+    tagged = texts.select("tag", F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))
-    signed = stored(tagged.mapInArrow(_signer(words), "tag long, doc_id long, n long, digest binary, bands array<long>"), "signed")
+    signed = stored(tagged.mapInArrow(tidied(_signer(words)), "tag long, doc_id long, n long, digest binary, bands array<long>"), "signed")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")
     reps = stored(signed.where("n > 0").groupBy("digest").agg(first, F.count("*").alias("copies"), F.min("n").alias("n"))
@@ -294,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     n = partitions(spark)
     compared = (small.join(bands, "rep").select("bucket", "rep", "bands")
                 .repartition(n, "bucket").sortWithinPartitions("bucket")
-                .mapInArrow(_joiner(least), "a long, b long"))
+                .mapInArrow(tidied(_joiner(least)), "a long, b long"))
     clusters = components(large.unionByName(compared), "clusters")
 
     # cells of the clusters
@@ -312,7 +318,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     verified = stored(celled.join(texts, "rep")
                       .select("label", "i", "j", "block", "rep", "copies", "bands", "text")
                       .repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j")
-                      .mapInArrow(_verifier(words, threshold, least), "rep long, links long, root long"), "verified")
+                      .mapInArrow(tidied(_verifier(words, threshold, least)), "rep long, links long, root long"), "verified")
 
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(verified.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")

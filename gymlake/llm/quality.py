@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import bounded_batches, sized, stored
+from gymlake.llm.common import bounded_batches, sized, stored, tidied
 from gymlake.llm.words import mix, slices, text_bytes, word_hashes
 
 BITS = 18
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, out: Column, column: str = "qualit
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(sized(known, n), "doc_id")
             .select("doc_id", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < limit).alias("chosen"), "text"))
-    gathered = stored(rows.mapInArrow(_gather, "part int, doc_id long, label int, body binary"), "features")
+    gathered = stored(rows.mapInArrow(tidied(_gather), "part int, doc_id long, label int, body binary"), "features")
     # 64 rows of 64 KB: bounded by the number of feature places
     sums = (gathered.where("part >= 0").select("part", "body").groupBy("part")
             .applyInPandas(_add, "part int, body binary").collect())
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(shared.value.score(*text_bytes(batch.column(1))), pa.float64())], ["doc_id", "score"])
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, score double"))
+            .mapInArrow(tidied(run), "doc_id long, score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
@@ -256,4 +256,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.value.score(*text_bytes(batch.column(at))) >= KEEP_SCORE))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

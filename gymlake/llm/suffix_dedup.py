@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import bounded_batches, partitions, sized, stored
+from gymlake.llm.common import bounded_batches, numbered, partitions, sized, stored, tidied
 from gymlake.llm.words import mix, prefix_hash, slices, text_bytes
 
 LENGTH = 200
@@ -299,12 +299,12 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """tag, starts, ends: the byte spans to remove from each row of ``docs`` that has some."""
-    n = partitions(docs.sparkSession)
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("text").cast("string").alias("text"))
-    anchors = stored(texts.mapInArrow(_anchors(length, k), _ANCHORS), "anchors")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+    """tag, starts, ends: the byte spans to remove from each numbered row that has some."""
+    n = partitions(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
+    texts = rows.select("tag", F.col("text").cast("string").alias("text"))
+    anchors = stored(texts.mapInArrow(tidied(_anchors(length, k)), _ANCHORS), "anchors")
 
     # screening: anchors that occur again, and whether their contexts differ
     again = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
@@ -325,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group_cont
         bodies = stored(bodies, "bodies")
     small_bodies = bodies.join(sized(large, n_large), "anchor", "left_anti") if n_large else bodies
     found = (small_bodies.repartition(n, "anchor").sortWithinPartitions("anchor", "digest")
-             .mapInArrow(_builder(length, k), "anchor long, digest long, from int, to int"))
+             .mapInArrow(tidied(_builder(length, k)), "anchor long, digest long, from int, to int"))
     if n_large:
         windows = stored(bodies.join(sized(large, n_large), "anchor", "left_semi").select("anchor", "digest", "copies", "left", "body")
                          .mapInArrow(_windows(length, k), "anchor long, digest long, copies long, column int, w1 long, w2 long"), "windows")
@@ -342,9 +342,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, group_cont
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
-    spans = stored(repeated_spans(docs, length, k, group_contexts), "spans")
+    rows = numbered(docs, "doc_id", "text")
+    spans = stored(repeated_spans(rows, length, k, group_contexts), "spans")
     total = spans.agg(F.sum(F.size("starts"))).first()[0] or 0
-    texts = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
+    texts = rows.select("tag", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return (texts.join(sized(spans, total), "tag", "left").select("doc_id", "text", "starts", "ends")
             .mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

@@ -26,15 +26,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+# Powers that a worker keeps (both arrays 8 MB); those of a longer slice go with it.
+_POW_KEPT = 1 << 19
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, up to n (kept, grown by doubling)."""
-    if "up" not in _POW or len(_POW["up"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POW[key] = np.multiply.accumulate(p)
-    return _POW["up"][:n], _POW["down"][:n]
+    """Powers of the hash base and of its inverse, up to n."""
+    if "up" in _POW and len(_POW["up"]) >= n:
+        return _POW["up"][:n], _POW["down"][:n]
+    size = n if n > _POW_KEPT else _POW_KEPT
+    made = []
+    for base in (_BASE, _INV):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if size == _POW_KEPT:
+        _POW["up"], _POW["down"] = made
+    return made[0][:n], made[1][:n]
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

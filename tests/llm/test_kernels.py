@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from gymlake.llm import ann, mixing, near_dup, quality, suffix_dedup, token_store, tokens, words
 from gymlake.llm.exact_dedup import BinaryFuseFilter
-from gymlake.llm.packing import BRANCHES, SEQUENCE, Pool, best_fit_decreasing, bin_completion, dominates, fillings
+from gymlake.llm.packing import BRANCHES, SEQUENCE, Pool, best_fit_decreasing, bin_completion, dominates, fewest, fillings
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -125,6 +125,20 @@ def test_fillings_are_all_undominated_ones_in_order(lengths, room):
     assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
 
 
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_the_lower_bound_holds(lengths):
+    assert -(-sum(lengths) // 30) <= fewest(lengths, 30) <= fewest_bins(lengths, 30)
+
+
+def test_the_search_ends_within_its_nodes():
+    lengths = np.random.default_rng(2).integers(1000, 1800, 300)
+    few, many = (bin_completion(lengths, SEQUENCE, 10**9, n) for n in (500, 5000))
+    assert Counter(x for b in few for x in b) == Counter(int(x) for x in lengths)
+    assert len(many) <= len(few) <= len(best_fit_decreasing(lengths, SEQUENCE))
+    assert fewest([SEQUENCE - 1] * 5 + [2], SEQUENCE) == 6 == len(bin_completion([SEQUENCE - 1] * 5 + [2], SEQUENCE))
+
+
 def test_bin_completion_with_production_parameters():
     # 250 full sequences cut in three, each piece between a quarter and a half of one
     rng = np.random.default_rng(1)
@@ -136,6 +150,37 @@ def test_bin_completion_with_production_parameters():
     assert len(bins) <= 1.02 * 250  # best fit takes 282
 
 
+@given(st.dictionaries(st.sampled_from("abcde"), st.integers(1, 40), min_size=1),
+       st.dictionaries(st.sampled_from("abcde"), st.integers(1, 9), min_size=5, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_phases_place_all_blocks_within_one_block_of_the_shares(blocks, shares):
+    shares = {s: shares[s] for s in blocks}
+    placed, slot = Counter(), 0
+    for phase in mixing.phases(blocks, shares):
+        assert phase["slot"] == slot and phase["given"] == {s: placed[s] for s in phase["shares"]}
+        total, here = sum(phase["shares"].values()), Counter()
+        for _ in range(phase["periods"]):
+            for s, *_ in phase["order"] or mixing.pfair_period(phase["shares"]):
+                here[s] += 1
+                slot += 1
+                ran = sum(here.values())
+                # while a phase lasts, every source is less than one block from its share
+                assert all(abs(here[t] - ran * n / total) < 1 for t, n in phase["shares"].items())
+        assert {s: here[s] for s in phase["shares"]} == phase["taken"]
+        placed += here
+    assert placed == Counter(blocks)
+
+
+def test_a_source_that_runs_out_is_not_held_back():
+    # weights 60 : 60 with 90 and 500 blocks: both keep pace until the 90th block
+    at = Counter()
+    for phase in mixing.phases({"a": 90, "b": 500}, {"a": 60, "b": 60}):
+        for s, *_ in phase["order"] or mixing.pfair_period(phase["shares"]) * phase["periods"]:
+            at[s] += 1
+            assert at["a"] == 90 or abs(at["a"] - at["b"]) <= 1
+    assert at == {"a": 90, "b": 500}
+
+
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 25), min_size=1))
 @settings(max_examples=100, deadline=None)
 def test_pfair_deviates_by_less_than_a_block(shares):

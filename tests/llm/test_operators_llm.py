@@ -76,7 +76,8 @@ def brute_licenses(text):
         block = set(w[k * license_scan.STRIDE:(k + 2) * license_scan.STRIDE])
         for label, texts in license_scan.TEMPLATES.items():
             for t in map(set, map(str.split, texts)):
-                if len(block & t) >= license_scan.needed(len(t), license_scan.THRESHOLD):
+                known = set(license_scan.DECIDING.get(label, ())) & t
+                if len(block & t) >= license_scan.needed(len(t), license_scan.THRESHOLD) and known <= block:
                     best[label] = max(best.get(label, 0), len(block & t) / len(t))
     starts = [i for i, _ in hits]
     base = {x for _, x in hits}
@@ -89,6 +90,27 @@ def test_license_scan(docs):
     assert got == Counter((d, *brute_licenses(t)) for d, t in plain(docs))
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under CC BY 4.0.", "cc-by"), ("licensed under CC BY-SA 4.0", "cc-by"),
+    ("Released under the Apache License", ""), ("Released under the BSD license.", ""),
+    ("This work is licensed under the GNU General Public License version 2", "gpl"),
+    ("the license under which it was released", ""),
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"), ("Released under the MIT License.", "mit"),
+    ("This work is licensed under the GNU General Public License version 3", "gpl,gpl-3.0"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2.0")])
+def test_license_labels_of_notices(spark, text, labels):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["labels"] for r in license_scan.license_scan(docs).collect()] == [labels]
+
+
+def test_a_template_longer_than_the_stride_is_found_whole(spark):
+    long = " ".join(f"clause{i}" for i in range(90))
+    docs = spark.createDataFrame([(k, "before " * k + long + " after" * 50) for k in (0, 31, 64, 100, 179)]
+                                 + [(500, long.rsplit(" ", 30)[0])], "doc_id long, text string")
+    got = license_scan.license_scan(docs, templates={"long": [long]}).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {0: "long", 31: "long", 64: "long", 100: "long", 179: "long", 500: ""}
+
+
 def test_license_scan_without_templates_or_phrases(edges):
     got = license_scan.license_scan(edges, base={}, templates={}).collect()
     assert len(got) == edges.count() and {r["labels"] for r in got} == {""} and {r["score"] for r in got} == {0.0}
@@ -372,3 +394,93 @@ def test_token_store(docs):
         want[(doc, start, len(raw) // 4, zlib.crc32(raw))] += 1
         start += len(raw) // 4
     assert rows(token_store(docs), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+# ---- row numbers ------------------------------------------------------------------------
+
+def files_of(spark, docs, path, files=16):
+    docs.select("doc_id", "text", "source").repartition(files, "doc_id").write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+class FewerCores:
+    """Other file splits from the second job on, as after the loss of an executor."""
+
+    def __init__(self, spark):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        self.conf.set("spark.sql.files.openCostInBytes", "1")
+        self.conf.set("spark.sql.leafNodeDefaultParallelism", "8")
+
+    def change(self):
+        self.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+
+    def __exit__(self, *_):
+        self.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        self.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_row_numbers_stay_when_the_cores_change(spark, small, tmp_path):
+    from gymlake.llm.common import numbered
+    docs = files_of(spark, small, tmp_path / "docs")
+    cores = FewerCores(spark)
+    with cores:
+        rows_ = numbered(docs, "doc_id", "text")
+        before = {r["tag"]: r["doc_id"] for r in rows_.collect()}
+        moving = {r["t"]: r["doc_id"] for r in docs.select(F.monotonically_increasing_id().alias("t"), "doc_id").collect()}
+        cores.change()
+        again = spark.read.parquet(str(tmp_path / "docs"))
+        assert {r["tag"]: r["doc_id"] for r in numbered(again, "doc_id").collect()} == before and len(before) == docs.count()
+        assert {r["t"]: r["doc_id"] for r in again.select(F.monotonically_increasing_id().alias("t"), "doc_id").collect()} != moving
+
+
+def test_rows_that_share_a_place_in_a_file_get_numbers_of_their_own(spark, small):
+    from gymlake.llm.common import numbered
+    twice = small.select("doc_id", F.explode(F.array("text", "text")).alias("text"))
+    assert numbered(twice, "doc_id").select("tag").distinct().count() == 2 * small.count()
+
+
+def test_exact_dedup_when_the_cores_change_between_its_jobs(spark, small, tmp_path, monkeypatch):
+    from gymlake.llm import exact_dedup as module
+    docs = files_of(spark, small.union(small.limit(40)), tmp_path / "docs")
+    want = rows(exact_dedup(docs), "doc_id", "keep_id", "group_size", "text_sha256")
+    cores, inner = FewerCores(spark), module.same_bytes
+
+    def after_a_loss(texts, pairs, n):
+        cores.change()
+        return inner(texts, pairs, n)
+    monkeypatch.setattr(module, "same_bytes", after_a_loss)
+    with cores:
+        assert rows(exact_dedup(docs), "doc_id", "keep_id", "group_size", "text_sha256") == want
+
+
+def test_suffix_dedup_when_the_cores_change_between_its_jobs(spark, small, tmp_path, monkeypatch):
+    from gymlake.llm import suffix_dedup as module
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = files_of(spark, small, tmp_path / "docs")
+    want = rows(suffix_dedup(docs), *cols)
+    cores, inner = FewerCores(spark), module.repeated_spans
+
+    def then_a_loss(*args):
+        spans = module.stored(inner(*args), "spans")
+        cores.change()
+        return spans
+    monkeypatch.setattr(module, "repeated_spans", then_a_loss)
+    with cores:
+        assert rows(suffix_dedup(docs), *cols) == want
+
+
+def test_near_duplicates_when_the_cores_change_between_its_jobs(spark, small, tmp_path, monkeypatch):
+    from gymlake.llm import near_dup as module
+    cols = ("doc_id", "class_id", "n_links", "kept")
+    docs = files_of(spark, small, tmp_path / "docs")
+    want = rows(near_duplicates(docs), *cols)
+    cores, inner = FewerCores(spark), module.components
+
+    def after_a_loss(*args):
+        cores.change()
+        return inner(*args)
+    monkeypatch.setattr(module, "components", after_a_loss)
+    with cores:
+        assert rows(near_duplicates(docs), *cols) == want
