@@ -9,9 +9,10 @@ resolved in passes over the open requests, each a partial aggregate
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gymlake.functions.notes import format_notes
 from gymlake.session import cut_lineage
 
 COACH_CELL = ["coach_id", "session_date", "session_time"]
@@ -24,6 +25,7 @@ REASONS = {
     "assignment": "Member is not assigned to this coach",
     "coach_conflict": "Coach already has a session at this time",
     "member_conflict": "Member already has a session at this time",
+    "repeated": "Request id already used by another request",
     "batch_conflict": "Conflicts with an earlier request in this batch",
 }
 
@@ -73,20 +75,45 @@ def accept_in_order(candidates: DataFrame) -> DataFrame:
     return accepted
 
 
+REQUEST = ["coach_id", "member_id", "session_date", "session_time", "duration"]
+
+
+def one_per_request(requests: DataFrame) -> DataFrame:
+    """Requests that were sent twice count once.  Of different requests under one id the first
+    (in the order of their columns) has it; the others are ``_repeated``."""
+    # rows without an id are not one group
+    group = F.coalesce(F.col("request_id").cast("string"), F.concat(F.lit("-"), F.xxhash64(*REQUEST).cast("string")))
+    same = Window.partitionBy("_group").orderBy(*REQUEST)
+    return (requests.withColumn("_group", group)
+            .withColumn("_rank", F.rank().over(same)).withColumn("_row", F.row_number().over(same))
+            .filter("_rank = _row").withColumn("_repeated", (F.col("_rank") > 1) & F.col("request_id").isNotNull())
+            .drop("_group", "_rank", "_row"))
+
+
+def session_rows(bookings: DataFrame, coaches: DataFrame) -> DataFrame:
+    """The session rows of bookings (accepted ones, or any where no conflict is checked):
+    the coach's gym, status ``Scheduled``, and notes from workout type, exercises and free text
+    (F4).  A coach without a gym gets no session."""
+    gym = coaches.select(F.col("id").alias("coach_id"), "gym_id").filter("gym_id IS NOT NULL")
+    return (bookings.join(gym, "coach_id")
+            .select("request_id", "gym_id", "coach_id", "member_id", "session_date", "session_time", "duration",
+                    F.lit("Scheduled").alias("status"), format_notes("workout_type", "exercises", "notes").alias("notes")))
+
+
 def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFrame,
                       member_coach: DataFrame, sessions: DataFrame,
                       check_assignment: bool = True) -> DataFrame:
-    """Every request with ``accepted`` and the first failing ``reason``.
+    """Every request with ``accepted`` and the first failing ``reason``.  A request that was
+    sent again as it was is one request.
 
-    Checks, in order: required fields; member and coach in one gym (J13);
+    Checks, in order: an id that another request has; required fields; member and coach in one gym (J13);
     assignment (J9); exact (coach, date, time) and (member, date, time) clash
     with a non-cancelled session (J11); clash with an earlier accepted request of
     the same batch (requests are booked one after the other, by request id).
     """
-    missing = None
+    missing = F.col("request_id").isNull()
     for c in REQUIRED:
-        cond = F.col(c).isNull()
-        missing = cond if missing is None else (missing | cond)
+        missing = missing | F.col(c).isNull()
     active = sessions.filter(F.lower("status") != "cancelled")
     coach_busy = active.select(*COACH_CELL).distinct().withColumn("_coach_busy", F.lit(True))
     member_busy = active.select(*MEMBER_CELL).distinct().withColumn("_member_busy", F.lit(True))
@@ -95,13 +122,14 @@ def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFram
     coach_gym = coaches.select(F.col("id").alias("coach_id"), F.col("gym_id").alias("_cg"))
     assigned = (member_coach.select("member_id", "coach_id").distinct()
                 .withColumn("_assigned", F.lit(True)))
-    r = (requests.withColumn("_missing", missing)
+    r = (one_per_request(requests).withColumn("_missing", missing)
          .join(member_gym, "member_id", "left").join(coach_gym, "coach_id", "left")
          .withColumn("_same_gym", F.when(F.col("_mg") == F.col("_cg"), F.lit(True)))
          .join(assigned, ["member_id", "coach_id"], "left")
          .join(coach_busy, COACH_CELL, "left")
          .join(member_busy, MEMBER_CELL, "left"))
-    pre = (F.when(F.col("_missing"), F.lit(REASONS["missing"]))
+    pre = (F.when(F.col("_repeated"), F.lit(REASONS["repeated"]))
+           .when(F.col("_missing"), F.lit(REASONS["missing"]))
            .when(F.col("_same_gym").isNull(), F.lit(REASONS["tenancy"])))
     if check_assignment:
         pre = pre.when(F.col("_assigned").isNull(), F.lit(REASONS["assignment"]))
@@ -112,6 +140,8 @@ def validate_bookings(requests: DataFrame, members: DataFrame, coaches: DataFram
                                    "duration", pre.alias("_pre")))
     won = accept_in_order(checked.filter(F.col("_pre").isNull())).withColumn("_won", F.lit(True))
     reason = F.coalesce("_pre", F.when(F.col("_won").isNull(), F.lit(REASONS["batch_conflict"])))
-    return (checked.join(won, "request_id", "left")
+    # of rows that share an id, only the one that was open can have won
+    return (checked.join(won.withColumnRenamed("request_id", "_id"),
+                         (F.col("request_id") == F.col("_id")) & F.col("_pre").isNull(), "left")
             .select("request_id", "coach_id", "member_id", "session_date", "session_time", "duration",
                     reason.isNull().alias("accepted"), reason.alias("reason")))

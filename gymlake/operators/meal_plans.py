@@ -122,6 +122,27 @@ def create_plans(requests: DataFrame, members: DataFrame, member_coach: DataFram
             .select(*requests.columns, reason.isNull().alias("accepted"), reason.alias("reason")))
 
 
+PLAN_FIELDS = ["plan_name", "daily_calories", "daily_protein", "daily_carbs", "daily_fat"]
+
+
+def allowed_plan_requests(requests: DataFrame, plans: DataFrame, member_coach: DataFrame) -> DataFrame:
+    """The requests (plan_id, coach_id, ...) whose coach has the plan's member."""
+    access = (plans.select(F.col("id").alias("plan_id"), "member_id")
+              .join(member_coach.select("member_id", "coach_id").distinct(), "member_id").select("plan_id", "coach_id"))
+    return requests.join(access, ["plan_id", "coach_id"], "left_semi")
+
+
+def plan_updates(requests: DataFrame, plans: DataFrame, member_coach: DataFrame) -> DataFrame:
+    """Per plan the last update (by ``seq``) that states every field (an empty name or a zero
+    counts as missing) and comes from a coach of the plan's member; all its fields replace the old."""
+    whole = F.length("plan_name") > 0
+    for c in PLAN_FIELDS[1:]:
+        whole = whole & (F.col(c) != 0)
+    return (allowed_plan_requests(requests.filter(whole), plans, member_coach)
+            .groupBy(F.col("plan_id").alias("id"))
+            .agg(*[F.max_by(c, "seq").alias(c) for c in PLAN_FIELDS]))
+
+
 def coach_plans(plans: DataFrame, members: DataFrame, member_coach: DataFrame) -> DataFrame:
     """Plans of each coach's assigned members, with the member's name."""
     return (plans.join(member_coach.select("coach_id", "member_id"), ["coach_id", "member_id"])

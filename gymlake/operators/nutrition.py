@@ -15,6 +15,7 @@ from gymlake.functions.nutrition_fx import (DEFAULT_GOALS, health_score,
                                             nutrition_feedback)
 from gymlake.functions.text import split_name
 from gymlake.functions.timeutil import lit_date, week_start
+from gymlake.operators.attendance import latest_n
 from gymlake.operators.filters import entitled, range_start
 
 MACROS = ("calories", "protein", "carbs", "fat")
@@ -217,6 +218,14 @@ def detected_food_rows(detected: DataFrame) -> DataFrame:
                     F.col("food.confidence").alias("ai_confidence")))
 
 
+def latest_analyses(detected: DataFrame, n: int = 7) -> DataFrame:
+    """The latest ``n`` meal analyses of each member, newest first: the day totals that
+    detected foods add up to (A26, additive per member and day)."""
+    day = (detected_food_rows(detected).groupBy("member_id", F.col("log_date").alias("analysis_date"))
+           .agg(*[F.round(F.sum(f"total_{m}"), 4).alias(f"total_{m}") for m in MACROS], F.count(F.lit(1)).alias("foods")))
+    return latest_n(day, "member_id", [F.desc("analysis_date")], n)
+
+
 def log_detected_foods(detected: DataFrame, members: DataFrame, goals: DataFrame,
                        premium_only: bool = False) -> DataFrame:
     """Detected foods -> day totals per member with health score (F17) and feedback (F18);

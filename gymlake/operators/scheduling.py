@@ -1,8 +1,7 @@
 """Availability, slot matching and grids.
 
-Weekly availability is expanded to (user, weekday, hour) rows -- at most 168
-per user -- so every later step is an equi-join on small composite keys.  The
-interval-overlap test (J10) turns each busy interval into the hour-aligned slot
+Weekly availability is seven hour masks per person (``hour_masks``): pair joins see one
+row a person, and only hours that survive become rows.  The interval-overlap test (J10) turns each busy interval into the hour-aligned slot
 starts it blocks and anti-joins candidates on (person, start hour): exact, and
 no pair of intervals is ever enumerated, so a coach that owns a third of all
 sessions costs the same per session as any other.
@@ -13,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gymlake.operators import hour_masks as hm
 from gymlake.operators.filters import to_nested_session
 from gymlake.functions.timeutil import (WEEKDAYS, hours_to_block, lit_date, lit_ts, next_occurrence,
                                         start_ts, to_hour, weekday_from_name)
@@ -124,6 +124,21 @@ def overlaps_busy(slots: DataFrame, busy: DataFrame, key: str, duration: int,
 
 
 # ---------------------------------------------------------------- X2
+def _week_of(free_days: DataFrame, user_type: str, who: str) -> DataFrame:
+    """(``who``, week): the weekly masks of the users of one type."""
+    return (hm.weekly_pattern(free_days.filter(F.col("user_type") == user_type))
+            .select(F.col("user_id").alias(who), "week"))
+
+
+def _free_week(free_days: DataFrame, busy: DataFrame, user_type: str, duration: int, now) -> DataFrame:
+    """(``<user_type>_id``, <user_type>_0 .. _6): per weekday the hours less those whose next
+    occurrence is blocked (J10)."""
+    who = f"{user_type}_id"
+    taken = hm.week_masks(blocked_week_cells(busy, who, duration, now), who, F.col("dow"), hm.hour_bit(F.col("hour")), "taken")
+    return (_week_of(free_days, user_type, who).join(taken, who, "left")
+            .selectExpr(who, *[f"week[{d}] & ~coalesce(taken[{d}], 0L) AS {user_type}_{d}" for d in range(7)]))
+
+
 def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessions: DataFrame,
                 now, duration: int = 60, top_n: int = 10) -> DataFrame:
     """Best weekly slots for every coach-member pair.
@@ -133,10 +148,12 @@ def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessio
     (J10) -> preference score (U4) -> top ``top_n`` by score then time (W4).
 
     A slot's start depends only on (weekday, hour), and whether it is blocked only
-    on (person, start), so each side drops its blocked cells per person (at most
-    168 rows each, J10 via ``blocked_week_cells``) before the pair join; the
-    anti-joins never see pair rows, and start timestamps are computed only for
-    the pairs' common free cells.
+    on (person, start), so each person has one row: seven hour masks less the blocked
+    cells.  A pair's common hours are the ``&`` of two rows, split by score (preference
+    masks) and by date of the week ahead: 32 masks in the order of the result.  Counting
+    their bits tells where each begins, so the first masks that hold ``top_n`` hours are
+    known inside the pair's row; only those become rows.  Nothing is shuffled after the
+    pair join, and no pair's candidates are sorted.
     """
     now_ts = lit_ts(now)
     today = F.to_date(now_ts)
@@ -144,72 +161,83 @@ def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessio
     busy = session_intervals(sessions.filter(
         (F.lower("status") != "cancelled") & (F.col("session_date") >= today)
         & (F.col("session_date") <= horizon)))
-    weekly = expand_weekly(free_days).select("user_id", "user_type", "dow", "day_of_week", "hour")
-    cell = ["dow", "hour"]
-    member_slots = (weekly.filter(F.col("user_type") == "member")
-                    .select(F.col("user_id").alias("member_id"), "dow", "day_of_week", "hour")
-                    .join(blocked_week_cells(busy, "member_id", duration, now_ts),
-                          ["member_id", *cell], "left_anti"))
-    coach_slots = (weekly.filter(F.col("user_type") == "coach")
-                   .select(F.col("user_id").alias("coach_id"), "dow", "hour")
-                   .join(blocked_week_cells(busy, "coach_id", duration, now_ts),
-                         ["coach_id", *cell], "left_anti"))
-    # member side first: per (coach, dow, hour) the coach side has one row, so a
-    # coach with very many members still joins on many distinct keys
-    free = (pairs.select("coach_id", "member_id").distinct()
-            .join(member_slots, "member_id")
-            .join(coach_slots, ["coach_id", *cell])
-            .withColumn("start", next_occurrence(F.col("dow"), F.col("hour"), now_ts)))
-    cp = _prefs_for(prefs, "coach", "coach_id", "coach_pref")
-    mp = _prefs_for(prefs, "member", "member_id", "member_pref")
-    scored = (free.join(cp, "coach_id", "left").join(mp, "member_id", "left")
-              .withColumn("preference_score",
-                          score(F.array_contains("coach_pref", F.col("hour")),
-                                F.array_contains("member_pref", F.col("hour")))))
-    from gymlake.operators.attendance import latest_n
-    best = latest_n(scored, ["coach_id", "member_id"],
-                    [F.desc("preference_score"), F.asc("start")], top_n)
-    return best.select("coach_id", "member_id", F.date_format("start", "yyyy-MM-dd").alias("date"),
-                       F.col("day_of_week").alias("day"), "hour", "preference_score",
-                       F.col("rank_in_group").alias("rank"))
+    cp = _prefs_for(prefs, "coach", "coach_id", "pref").select("coach_id", hm.array_mask(F.col("pref")).alias("cp"))
+    mp = _prefs_for(prefs, "member", "member_id", "pref").select("member_id", hm.array_mask(F.col("pref")).alias("mp"))
+    member = _free_week(free_days, busy, "member", duration, now_ts).join(mp, "member_id", "left")
+    coach = _free_week(free_days, busy, "coach", duration, now_ts).join(cp, "coach_id", "left")
+    common = (pairs.select("coach_id", "member_id").distinct().join(member, "member_id").join(coach, "coach_id")
+              .withColumn("now", now_ts)
+              .selectExpr("coach_id", "member_id", "now", "coalesce(cp, 0L) AS cp", "coalesce(mp, 0L) AS mp",
+                          *[f"coach_{d} & member_{d} AS m{d}" for d in range(7)]))
+    # the week ahead: what is left of today, six days, and today's hours a week later
+    past = "(shiftleft(1L, hour(now) + 1) - 1)"
+    week = "array(" + ", ".join(f"m{d}" for d in range(7)) + ")"
+    dates = [f"{week}[pmod(weekday(now) + {j}, 7)]" for j in range(8)]
+    dates[0], dates[7] = f"{dates[0]} & ~{past}", f"{dates[7]} & {past}"
+    # as ``score`` has them: both prefer the hour, the coach, the member, neither
+    levels = [(4, "cp & mp"), (3, "cp & ~mp"), (2, "mp & ~cp"), (1, "~(cp | mp)")]
+    groups = ", ".join(f"named_struct('score', {points}, 'day', {j}, 'mask', {mask} & {level})"
+                       for points, level in levels for j, mask in enumerate(dates))
+    # the groups in which the first top_n hours lie, with the number of hours before each
+    first = f"""aggregate(filter(array({groups}), g -> g.mask <> 0L),
+        named_struct('n', 0, 'out', CAST(array() AS ARRAY<STRUCT<score: INT, day: INT, mask: BIGINT, before: INT>>)),
+        (acc, g) -> named_struct(
+            'n', acc.n + bit_count(g.mask),
+            'out', IF(acc.n < {top_n}, concat(acc.out, array(named_struct('score', g.score, 'day', g.day, 'mask', g.mask,
+                                                                          'before', acc.n))), acc.out)),
+        acc -> acc.out)"""
+    return (common.selectExpr("coach_id", "member_id", "now", f"explode({first}) AS g")
+            .selectExpr("coach_id", "member_id", "date_add(to_date(now), g.day) AS date", "g", "explode(sequence(0, 23)) AS hour")
+            .where("shiftright(g.mask, hour) & 1 = 1")
+            .selectExpr("coach_id", "member_id", "date_format(date, 'yyyy-MM-dd') AS date", "date_format(date, 'EEEE') AS day", "hour",
+                        "g.score AS preference_score", "g.before + bit_count(g.mask & (shiftleft(1L, hour + 1) - 1)) AS rank")
+            .where(f"rank <= {top_n}"))
 
 
 # ---------------------------------------------------------------- X3
 def schedule_grid(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessions: DataFrame,
                   week_start) -> DataFrame:
-    """The 7 x 24 grid for every coach-member pair for the week at ``week_start``."""
+    """The 7 x 24 grid for every coach-member pair for the week at ``week_start``.
+
+    A person is one row (seven masks, the preferred hours, and a map from the cells that hold
+    sessions to their number, at most 168 entries), so the joins see one row per pair; the
+    cells are made behind them.
+    """
     ws = lit_date(week_start)
-    weekly = expand_weekly(free_days)
-    cav = (weekly.filter(F.col("user_type") == "coach")
-           .select(F.col("user_id").alias("coach_id"), "dow", "hour", F.lit(True).alias("c_av")))
-    mav = (weekly.filter(F.col("user_type") == "member")
-           .select(F.col("user_id").alias("member_id"), "dow", "hour", F.lit(True).alias("m_av")))
     week = sessions.filter(F.col("session_date").between(ws, F.date_add(ws, 6)))
-    slot = [F.weekday("session_date").alias("dow"), to_hour("session_time").alias("hour")]
-    cses = week.groupBy(F.col("coach_id"), *slot).agg(F.count(F.lit(1)).alias("coach_sessions"))
-    mses = week.groupBy(F.col("member_id"), *slot).agg(F.count(F.lit(1)).alias("member_sessions"))
-    cp = _prefs_for(prefs, "coach", "coach_id", "coach_pref")
-    mp = _prefs_for(prefs, "member", "member_id", "member_pref")
-    grid = (pairs.select("coach_id", "member_id").distinct()
-            .withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6))))
-            .withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))))
-    g = (grid.join(cav, ["coach_id", "dow", "hour"], "left")
-         .join(mav, ["member_id", "dow", "hour"], "left")
-         .join(cses, ["coach_id", "dow", "hour"], "left")
-         .join(mses, ["member_id", "dow", "hour"], "left")
-         .join(cp, "coach_id", "left").join(mp, "member_id", "left"))
-    c_sess = F.coalesce("coach_sessions", F.lit(0))
-    m_sess = F.coalesce("member_sessions", F.lit(0))
-    c_av = F.coalesce("c_av", F.lit(False)) & (c_sess == 0)
-    m_av = F.coalesce("m_av", F.lit(False)) & (m_sess == 0)
-    c_pr = F.coalesce(F.array_contains("coach_pref", F.col("hour")), F.lit(False))
-    m_pr = F.coalesce(F.array_contains("member_pref", F.col("hour")), F.lit(False))
+    cell = (F.weekday("session_date") * 24 + to_hour("session_time")).alias("cell")
+
+    def person(kind: str) -> DataFrame:
+        who = f"{kind}_id"
+        held = (week.groupBy(F.col(who), cell).agg(F.count(F.lit(1)).alias("n")).filter("cell IS NOT NULL")
+                .groupBy(who).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias(f"{kind}_held")))
+        pref = _prefs_for(prefs, kind, who, "pref").select(who, hm.array_mask(F.col("pref")).alias(f"{kind}_pref"))
+        open_ = _week_of(free_days, kind, who).withColumnRenamed("week", f"{kind}_week")
+        return held.join(open_, who, "full").join(pref, who, "full")
+
+    g = (pairs.select("coach_id", "member_id").distinct()
+         .join(person("coach"), "coach_id", "left").join(person("member"), "member_id", "left")
+         .withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6))))
+         .withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))))
+    none = F.lit(0).cast("long")
+
+    def held(kind: str) -> Column:
+        return F.coalesce(F.try_element_at(f"{kind}_held", F.col("dow") * 24 + F.col("hour")), none)
+
+    def open_at(kind: str) -> Column:
+        return hm.has_hour(F.coalesce(F.get(f"{kind}_week", F.col("dow")), none), F.col("hour"))
+
+    def likes(kind: str) -> Column:
+        return hm.has_hour(F.coalesce(f"{kind}_pref", none), F.col("hour"))
+
+    c_av, m_av = open_at("coach") & (held("coach") == 0), open_at("member") & (held("member") == 0)
+    c_pr, m_pr = likes("coach"), likes("member")
     both = c_av & m_av
     day = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("dow") + 1)
     return g.select("coach_id", "member_id", day.alias("day_of_week"), "hour",
                     c_av.alias("coach_available"), m_av.alias("member_available"),
                     c_pr.alias("coach_preferred"), m_pr.alias("member_preferred"),
-                    c_sess.alias("coach_sessions"), m_sess.alias("member_sessions"),
+                    held("coach").alias("coach_sessions"), held("member").alias("member_sessions"),
                     both.alias("available_for_both"),
                     F.when(both, score(c_pr, m_pr)).otherwise(0).alias("preference_score"))
 
@@ -235,15 +263,10 @@ def _overrides(slots: DataFrame, lo, hi, hours) -> DataFrame:
 def effective_availability(users: DataFrame, slots: DataFrame, free_days: DataFrame,
                            lo, hi, hours=GROUP_HOURS) -> DataFrame:
     """The (user, date, hour) cells in [lo, hi] x hours that are available: a date
-    override wins over the weekly pattern; no information means unavailable.  Only
-    cells that the pattern or an override opens are ever made."""
-    who = users.select("user_id", "user_type").distinct()
-    over = _overrides(slots, lo, hi, hours).join(who, ["user_id", "user_type"], "left_semi")
-    key = ["user_id", "user_type", "date", "hour"]
-    pattern = (weekly_cells(free_days, hours).join(who, ["user_id", "user_type"], "left_semi")
-               .withColumn("date", F.explode(F.sequence(lit_date(lo), lit_date(hi))))
-               .filter(F.weekday("date") == F.col("dow")).select(*key))
-    return pattern.join(over.select(*key), key, "left_anti").unionByName(over.filter("is_available").select(*key)).distinct()
+    override wins over the weekly pattern; no information means unavailable.  Made from one
+    mask per (user, date); only available hours become rows."""
+    masks = hm.effective_masks(users, slots, free_days, lo, hi, hours)
+    return masks.select("user_id", "user_type", "date", F.explode(hm.hours_of(F.col("free"))).alias("hour"))
 
 
 def group_availability(member_coach: DataFrame, slots: DataFrame, free_days: DataFrame,
@@ -289,7 +312,10 @@ def month_calendar(users: DataFrame, slots: DataFrame, year: int, month: int) ->
     days = (users.select("user_id", "user_type")
             .withColumn("date", F.explode(F.sequence(first, F.last_day(first)))))
     per_day = (slots.filter(F.col("slot_date").between(first, F.last_day(first)))
-               .groupBy("user_id", "user_type", F.col("slot_date").alias("date"))
+               # a slot that is stored twice counts once: available if one of its rows says so
+               .groupBy("user_id", "user_type", F.col("slot_date").alias("date"), "hour")
+               .agg(F.max("is_available").alias("is_available"))
+               .groupBy("user_id", "user_type", "date")
                .agg(F.map_from_entries(F.array_sort(F.collect_list(
                    F.struct("hour", "is_available")))).alias("slots")))
     return (days.join(per_day, ["user_id", "user_type", "date"], "left")

@@ -1,8 +1,9 @@
 """Keyed upserts, deletes and import checks.
 
 Upserts are "union, then keep the last write per key": a grouped ``max_by``
-over (priority, sequence) -- a partial aggregate, so one hot key is combined
-on every map task before the shuffle.  Deletes are anti joins.
+over the sequence, for updates and for base rows -- a partial aggregate, so one
+hot key is combined on every map task before the shuffle; by one number it is a
+hash aggregate.  Deletes are anti joins.
 """
 
 from __future__ import annotations
@@ -35,8 +36,22 @@ def upsert(base: DataFrame, updates: DataFrame, key, order_cols, keep_first=("cr
     cols = [c for c in base.columns]
     both = (base.select(*cols).withColumn("_prio", F.lit(0))
             .unionByName(updates.select(*cols).withColumn("_prio", F.lit(1))))
-    rank = F.struct(F.col("_prio"), *[F.col(c) for c in order_cols])
     payload = [c for c in cols if c not in key]
+    types = dict(both.dtypes)
+    if len(order_cols) == 1 and types[order_cols[0]] in ("tinyint", "smallint", "int", "bigint"):
+        # one number ranks the writes: the last update, else the last base row; a missing number is the smallest
+        seq = F.coalesce(F.col(order_cols[0]).cast("long"), F.lit(-2**63))
+        last = {p: F.when(F.col("_prio") == p, seq) for p in (0, 1)}
+        aggs = [F.max("_prio").alias("_touched")]
+        for c in payload:
+            if c in keep_first:
+                aggs.append(F.min(c).alias(c))
+            else:
+                aggs += [F.max_by(c, last[p]).alias(f"_{p}_{c}") for p in (0, 1)]
+        done = both.groupBy(*key).agg(*aggs)
+        return done.select(*[F.col(c) if c in key or c in keep_first
+                             else F.when(F.col("_touched") == 1, F.col(f"_1_{c}")).otherwise(F.col(f"_0_{c}")).alias(c) for c in cols])
+    rank = F.struct(F.col("_prio"), *[F.col(c) for c in order_cols])
     aggs = [F.max_by(F.col(c), rank).alias(c) for c in payload if c not in keep_first]
     aggs += [F.min(F.col(c)).alias(c) for c in payload if c in keep_first]
     return both.groupBy(*key).agg(*aggs).select(*cols)
@@ -72,11 +87,12 @@ def update_rows(base: DataFrame, patches: DataFrame, key, allowed: dict | None =
                       for c in base.columns])
 
 
-def guarded_delete(rows: DataFrame, requests: DataFrame, key, owner: str) -> DataFrame:
+def guarded_delete(rows: DataFrame, requests: DataFrame, key, owner) -> DataFrame:
     """Rows left after delete requests; a request counts only where it names the
-    row's owner."""
+    row's owner (one column or several, such as a sender's id and type)."""
     key = [key] if isinstance(key, str) else list(key)
-    return rows.join(requests.select(*key, owner).distinct(), [*key, owner], "left_anti")
+    owner = [owner] if isinstance(owner, str) else list(owner)
+    return rows.join(requests.select(*key, *owner).distinct(), [*key, *owner], "left_anti")
 
 
 def meal_corrections(logs: DataFrame, patches: DataFrame, units) -> DataFrame:
@@ -101,13 +117,15 @@ COACH_REASONS = {"missing": "Missing required field", "email": "Invalid email fo
 def validate_coaches(imports: DataFrame, coaches: DataFrame) -> DataFrame:
     """Required fields, email shape (F5), email free in the table and first in the
     import (J12).  Every row is returned with ``accepted`` and ``reason``."""
-    taken = coaches.select("email").distinct().withColumn("_taken", F.lit(True))
-    r = imports.join(taken, "email", "left").withColumn(
+    # emails are one whatever their case
+    known = coaches.select(F.lower("email").alias("_email"))
+    taken = known.distinct().withColumn("_taken", F.lit(True))
+    r = imports.withColumn("_email", F.lower("email")).join(taken, "_email", "left").withColumn(
         "_pre", F.when(F.col("name").isNull() | F.col("email").isNull() | F.col("specialization").isNull(),
                        F.lit(COACH_REASONS["missing"]))
         .when(~valid_email("email"), F.lit(COACH_REASONS["email"]))
         .when(F.col("_taken").isNotNull(), F.lit(COACH_REASONS["duplicate"])))
-    first = reject_duplicates(r.filter(F.col("_pre").isNull()), coaches, "email", "import_id") \
+    first = reject_duplicates(r.filter(F.col("_pre").isNull()), known, "_email", "import_id") \
         .select("import_id").withColumn("_first", F.lit(True))
     reason = F.coalesce("_pre", F.when(F.col("_first").isNull(), F.lit(COACH_REASONS["batch"])))
     return (r.join(first, "import_id", "left")

@@ -296,13 +296,13 @@ def _meal_correction(t):
 WITH pre AS (
   SELECT i.*, CASE WHEN name IS NULL OR email IS NULL OR specialization IS NULL THEN {q(up.COACH_REASONS['missing'])}
                    WHEN NOT (contains(email, '@') AND contains(email, '.')) THEN {q(up.COACH_REASONS['email'])}
-                   WHEN EXISTS (SELECT 1 FROM coaches c WHERE c.email = i.email) THEN {q(up.COACH_REASONS['duplicate'])} END AS p
+                   WHEN EXISTS (SELECT 1 FROM coaches c WHERE lower(c.email) = lower(i.email)) THEN {q(up.COACH_REASONS['duplicate'])} END AS p
   FROM coach_imports i),
-f AS (SELECT email, MIN(import_id) AS first_id FROM pre WHERE p IS NULL GROUP BY email)
+f AS (SELECT lower(email) AS email, MIN(import_id) AS first_id FROM pre WHERE p IS NULL GROUP BY 1)
 SELECT import_id, gym_id, name, pre.email, specialization,
        COALESCE(p, CASE WHEN f.first_id < import_id THEN {q(up.COACH_REASONS['batch'])} END) AS reason,
        COALESCE(p, CASE WHEN f.first_id < import_id THEN 'x' END) IS NULL AS accepted
-FROM pre LEFT JOIN f ON f.email = pre.email
+FROM pre LEFT JOIN f ON f.email = lower(pre.email)
 """, ["coach_imports", "coaches"], "X23 F5 J12")
 def _validate_coaches(t):
     return up.validate_coaches(t.coach_imports, t.coaches)

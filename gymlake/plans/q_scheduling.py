@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gymlake.operators import billing as bl
 from gymlake.operators import bookings as bk
+from gymlake.operators import hour_masks as hm
 from gymlake.operators import scheduling as sc
 from gymlake.operators import upserts as up
 from gymlake.plans.catalog import register
@@ -177,6 +178,42 @@ def _available_members(t):
                                 WEEK_START, "2024-01-28")
 
 
+@register("common_free_hours", f"""
+WITH people AS (SELECT DISTINCT coach_id AS user_id, 'coach' AS user_type FROM member_coach
+                UNION SELECT DISTINCT member_id, 'member' FROM member_coach),
+spine AS (
+  SELECT p.user_id, p.user_type, CAST(DATE '{WEEK_START}' + CAST(d AS INTEGER) AS DATE) AS date, CAST(h AS INTEGER) AS hour
+  FROM people p, (SELECT unnest(range(7)) AS d) dd, (SELECT unnest(range(8, 22)) AS h) hh),
+fd AS (SELECT user_id, user_type, {DOW.format('day_of_week')} AS dow, is_available AS w_av,
+              COALESCE({HOUR.format('start_time')}, 8) AS w_start, COALESCE({HOUR.format('end_time')}, 20) AS w_end
+       FROM free_days),
+busy AS (
+  SELECT coach_id, member_id, session_date, {HOUR.format('session_time')} * 60
+         + CAST(split_part(session_time, ':', 2) AS INTEGER) AS st, greatest(duration, 1) AS d
+  FROM sessions WHERE lower(status) <> 'cancelled'),
+hours AS (
+  SELECT s.* FROM spine s
+  LEFT JOIN availability_slots o ON o.user_id = s.user_id AND o.user_type = s.user_type
+                                AND o.slot_date = s.date AND o.hour = s.hour
+  LEFT JOIN fd ON fd.user_id = s.user_id AND fd.user_type = s.user_type AND fd.dow = isodow(s.date) - 1
+  WHERE COALESCE(o.is_available, COALESCE(fd.w_av AND s.hour >= fd.w_start AND s.hour < fd.w_end, false))
+    AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.session_date = s.date
+                      AND s.user_id = CASE s.user_type WHEN 'coach' THEN b.coach_id ELSE b.member_id END
+                      AND b.st < (s.hour + 1) * 60 AND b.st + b.d > s.hour * 60))
+SELECT p.coach_id, p.member_id, c.date, CAST(COUNT(*) AS INTEGER) AS free_hours,
+       string_agg(CAST(c.hour AS VARCHAR), ',' ORDER BY c.hour) AS hours
+FROM (SELECT DISTINCT coach_id, member_id FROM member_coach) p
+JOIN hours c ON c.user_id = p.coach_id AND c.user_type = 'coach'
+JOIN hours m ON m.user_id = p.member_id AND m.user_type = 'member' AND m.date = c.date AND m.hour = c.hour
+GROUP BY 1, 2, 3
+""", ["member_coach", "availability_slots", "free_days", "sessions"], "U2 U3 J17")
+def _common_free_hours(t):
+    free = hm.common_free_hours(t.member_coach, t.availability_slots, t.free_days, t.sessions,
+                                WEEK_START, "2024-01-28", sc.GROUP_HOURS)
+    return free.select("coach_id", "member_id", "date", "free_hours",
+                       F.array_join(hm.hours_of(F.col("free")).cast("array<string>"), ",").alias("hours"))
+
+
 @register("month_calendar", """
 WITH days AS (
   SELECT u.id AS user_id, u.user_type, CAST(d AS DATE) AS date
@@ -254,15 +291,19 @@ def _slot_conflicts(t):
 
 
 _VALIDATE = f"""
-ten AS (SELECT r.request_id FROM booking_requests r JOIN members m ON m.id = r.member_id
-        JOIN coaches c ON c.id = r.coach_id WHERE m.gym_id = c.gym_id),
+req AS (
+  -- sent twice as it was: one request; of different ones under one id the first has it
+  SELECT DISTINCT request_id, coach_id, member_id, session_date, session_time, duration,
+         dense_rank() OVER (PARTITION BY request_id ORDER BY coach_id, member_id, session_date, session_time, duration) > 1 AS repeated
+  FROM booking_requests),
 asg AS (SELECT DISTINCT member_id, coach_id FROM member_coach),
 act AS (SELECT * FROM sessions WHERE lower(status) <> 'cancelled'),
 pre AS (
   SELECT r.*,
-    CASE WHEN r.member_id IS NULL OR r.coach_id IS NULL OR r.session_date IS NULL
+    CASE WHEN r.repeated THEN {q(bk.REASONS['repeated'])}
+         WHEN r.member_id IS NULL OR r.coach_id IS NULL OR r.session_date IS NULL
               OR r.session_time IS NULL OR r.duration IS NULL THEN {q(bk.REASONS['missing'])}
-         WHEN r.request_id NOT IN (SELECT request_id FROM ten) THEN {q(bk.REASONS['tenancy'])}
+         WHEN NOT EXISTS (SELECT 1 FROM members m JOIN coaches c ON m.gym_id = c.gym_id WHERE m.id = r.member_id AND c.id = r.coach_id) THEN {q(bk.REASONS['tenancy'])}
          WHEN NOT EXISTS (SELECT 1 FROM asg a WHERE a.member_id = r.member_id
                           AND a.coach_id = r.coach_id) THEN {q(bk.REASONS['assignment'])}
          WHEN EXISTS (SELECT 1 FROM act s WHERE s.coach_id = r.coach_id
@@ -272,7 +313,7 @@ pre AS (
                       AND s.session_date = r.session_date AND s.session_time = r.session_time)
               THEN {q(bk.REASONS['member_conflict'])}
     END AS pre_reason
-  FROM booking_requests r),
+  FROM req r),
 steps AS (
   -- booking one after the other: an open request (0) is taken (1) when it is first in both of
   -- its cells, and refused (2) once a taken one shares a cell with it

@@ -9,7 +9,7 @@ re-aimed to cover every entity at once (keyed by its id) and written through
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gymlake.functions.notes import parse_notes_sql, parse_notes_strict
@@ -125,6 +125,21 @@ def sessions_by_day(t: Tables, lo, hi) -> DataFrame:
                     "first_time", "last_time"))
 
 
+def day_schedule(t: Tables, lo, hi) -> DataFrame:
+    """The sessions of every gym and day over [lo, hi] in time order, with member and coach;
+    a day without sessions is one row without a session (``place`` 0)."""
+    spine = t.gyms.select(F.col("id").alias("gym_id"),
+                          F.explode(F.sequence(lit_date(lo), lit_date(hi))).alias("session_date"))
+    rows = (t.sessions.filter(F.col("session_date").between(lit_date(lo), lit_date(hi)))
+            .select("gym_id", "session_date", F.col("id").alias("session_id"), "session_time", "status", "member_id", "coach_id")
+            .join(t.members.select(F.col("id").alias("member_id"), F.col("name").alias("member_name")), "member_id", "left")
+            .join(t.coaches.select(F.col("id").alias("coach_id"), F.col("name").alias("coach_name")), "coach_id", "left"))
+    in_day = Window.partitionBy("gym_id", "session_date").orderBy("session_time", "session_id")
+    return (spine.join(rows, ["gym_id", "session_date"], "left")
+            .select("gym_id", "session_date", F.when(F.col("session_id").isNull(), 0).otherwise(F.row_number().over(in_day)).alias("place"),
+                    "session_id", "session_time", "status", "member_name", "coach_name"))
+
+
 # ---------------------------------------------------------------- X34 / X33
 def weekly_text(free_days: DataFrame) -> DataFrame:
     """Each user's week as one ordered text (Monday first); at most 7 entries per user."""

@@ -372,6 +372,40 @@ SELECT o_orderkey AS request_id,
        CAST(o_custkey AS INT) AS member_id, 'Plan ' || o_orderpriority AS plan_name,
        CAST(1500 + o_orderkey % 700 AS INT) AS daily_calories
 FROM {orders}
+""",
+    "plan_update_requests": """
+SELECT id AS plan_id, CAST(CASE WHEN id % 3 = 0 THEN (coach_id + 1) % 10 ELSE coach_id END AS INT) AS coach_id,
+       CASE WHEN id % 13 = 0 THEN CAST(NULL AS STRING) WHEN id % 17 = 0 THEN '' ELSE 'Revised ' || CAST(n AS STRING) END AS plan_name,
+       daily_calories + 10 * n AS daily_calories, CASE WHEN (id + n) % 7 = 0 THEN 0 ELSE daily_protein + n END AS daily_protein,
+       daily_carbs + n AS daily_carbs, daily_fat + n AS daily_fat, CAST(n AS BIGINT) AS seq
+FROM (SELECT *, 1 AS n FROM {nutrition_plans} UNION ALL SELECT *, 2 AS n FROM {nutrition_plans}) p
+""",
+    "plan_delete_requests": """
+SELECT id AS plan_id, CAST(CASE WHEN id % 4 = 1 THEN coach_id ELSE (coach_id + 1) % 10 END AS INT) AS coach_id
+FROM {nutrition_plans}
+""",
+    "message_delete_requests": """
+SELECT id, CASE WHEN id % 3 = 0 THEN sender_id ELSE sender_id + 1 END AS sender_id,
+       CASE WHEN id % 5 = 0 THEN 'gym' ELSE sender_type END AS sender_type
+FROM {messages}
+""",
+    "slot_delete_requests": """
+SELECT user_id, user_type, slot_date, CASE WHEN seq % 2 = 0 THEN hour ELSE hour + 24 END AS hour
+FROM {availability_slots}
+""",
+    "repeated_booking_requests": """
+SELECT request_id, coach_id, member_id, session_date, session_time, duration FROM {booking_requests}
+UNION ALL
+SELECT request_id, coach_id, member_id, session_date, session_time, duration FROM {order_booking_requests}
+UNION ALL
+SELECT request_id, coach_id, member_id, session_date, '07:00' AS session_time, duration FROM {order_booking_requests}
+""",
+    "workout_requests": """
+SELECT request_id, coach_id, member_id, session_date, session_time, duration,
+       CASE request_id % 3 WHEN 0 THEN 'Push' WHEN 1 THEN 'Core' ELSE 'Full Body' END AS workout_type,
+       request_id % 4 AS n_exercises,
+       CASE WHEN request_id % 5 = 0 THEN CAST(NULL AS STRING) WHEN request_id % 5 = 1 THEN '' ELSE 'Warm up' END AS notes
+FROM {booking_requests}
 """,
     "food_entries": """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS entry_key, CAST(o.o_custkey AS INT) AS member_id,
