@@ -28,6 +28,8 @@ def _micros(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch(), ts)
 # Hours shown in the group availability heat-map (8:00 .. 21:00).
 GROUP_HOURS = (8, 22)
+# Copies of a coach's week among which the coach's pairs are dealt.
+SALTS = 16
 PREFERRED_SLOTS_SCHEMA = "array<string>"
 
 
@@ -165,7 +167,11 @@ def match_slots(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sessio
     mp = _prefs_for(prefs, "member", "member_id", "pref").select("member_id", hm.array_mask(F.col("pref")).alias("mp"))
     member = _free_week(free_days, busy, "member", duration, now_ts).join(mp, "member_id", "left")
     coach = _free_week(free_days, busy, "coach", duration, now_ts).join(cp, "coach_id", "left")
-    common = (pairs.select("coach_id", "member_id").distinct().join(member, "member_id").join(coach, "coach_id")
+    # a coach may hold a third of all pairs: those are dealt over SALTS copies of the coach's row
+    salted = (pairs.select("coach_id", "member_id").distinct().join(member, "member_id")
+              .withColumn("salt", F.pmod(F.xxhash64("member_id"), F.lit(SALTS)).cast("int")))
+    copies = coach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    common = (salted.join(copies, ["coach_id", "salt"])
               .withColumn("now", now_ts)
               .selectExpr("coach_id", "member_id", "now", "coalesce(cp, 0L) AS cp", "coalesce(mp, 0L) AS mp",
                           *[f"coach_{d} & member_{d} AS m{d}" for d in range(7)]))

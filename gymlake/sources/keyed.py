@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ class KeyedTable:
     def bucket(self):
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
+    def exists(self) -> bool:
+        try:
+            self._stored()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
     def _stored(self) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         return self.spark.read.schema(f"{fields}, {MARKER} boolean, {BUCKET} int").parquet(self.path)

@@ -1,18 +1,21 @@
 """Structured Streaming jobs for the reference's write paths.
 
-* T1 running day totals per member: each micro-batch adds its partial sums to the
-  sink, and a reader adds them up, as the reference's additive upsert does.  No row
-  is late: a log of any day counts whenever it arrives.
-* T2 last-write-wins availability slots: ``foreachBatch`` applies the X10 rule.
+* T1 running day totals per member: a stateful aggregate (RocksDB state store) in update
+  mode; each micro-batch gives the new totals of the (member, day) keys that it changed,
+  which replace the old ones in a keyed sink.  No row is late: a log of any day counts
+  whenever it arrives.
+* T2 last-write-wins availability slots (X10), kept the same way.
 * T3 booking stream: in arrival order, each micro-batch is validated (X7) against
   history plus every request accepted by earlier batches; a redelivered request
   (same id) is booked once.
 
-Sinks are Parquet tables partitioned by the micro-batch id and written with
-dynamic partition overwrite, so a replayed micro-batch (after an executor or
-driver failure) replaces exactly its own partitions -- exactly-once output.
-Table and checkpoint paths follow from the stream's name and its input, so a job
-that is started again resumes where it stopped.  Both live under the cluster's
+The sinks of T1 and T2 are bucketed by key and hold one row per key, however many batches
+came; a replayed micro-batch gives the same totals from the same state version, so writing
+it again changes nothing.  The sink of T3 is partitioned by the micro-batch id and written
+with dynamic partition overwrite, so a replayed micro-batch replaces exactly its own
+partitions.  Table and checkpoint paths follow from the stream's name, the version of its
+rules and its input, so a job that is started again resumes where it stopped, and one with
+changed rules (``RULES``) starts anew instead of handing out what an older rule stored.  Both live under the cluster's
 ``spark.checkpoint.dir``.
 """
 
@@ -27,14 +30,18 @@ from pyspark.sql import functions as F
 from gymlake.operators.bookings import validate_bookings
 from gymlake.operators.nutrition import MACROS
 from gymlake.session import checkpoint_dir
+from gymlake.sources.keyed import KeyedTable
 
+# Version of each stream's rules and sink layout: raise it with a change of either.
+RULES = {"daily_nutrition": 2, "availability": 2, "bookings": 2}
+SINK_BUCKETS = 16
 SLOT_KEY = ["user_id", "user_type", "slot_date", "hour"]
 
 
 def stream_paths(spark: SparkSession, name: str, source: str) -> tuple[str, str]:
     """(output table path, checkpoint path) of a named stream over ``source`` (any text that
     tells inputs apart, such as the table's path): the same on every start."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-v{RULES.get(name, 1)}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
     return f"{base}/table", f"{base}/checkpoint"
 
 
@@ -65,13 +72,40 @@ def _run(df: DataFrame, out_path: str, ckpt: str, transform, by: str | None = No
     return w.start()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_keyed(changes: DataFrame, name: str, source: str, key: list[str], schema: str, order: str) -> DataFrame:
+    """Run a stateful aggregate ``changes`` (one row per key, update mode) into a keyed sink and
+    return the sink: one row per key.  ``order`` grows with every change of a key."""
+    spark = changes.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    out, ckpt = stream_paths(spark, name, source)
+    empty = spark.createDataFrame([], schema)
+    sink = KeyedTable(spark, out, key, empty.schema, SINK_BUCKETS)
+    if not sink.exists():
+        sink = KeyedTable.create(empty, out, key, SINK_BUCKETS)
+
+    def write(batch: DataFrame, _batch_id: int):
+        sink.upsert(batch.select(*empty.columns), [order], keep_first=())
+
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        (changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(provider, before)
+    return sink.read()
+
+
 # ---------------------------------------------------------------- T1
 DAY_SCHEMA = ("member_id int, log_date date, " + ", ".join(f"{m} decimal(18,2)" for m in MACROS)
               + ", entries_count bigint")
 
 
 def day_sums(logs: DataFrame) -> DataFrame:
-    """Partial day totals of one micro-batch."""
+    """Day totals per member."""
     return (logs.groupBy("member_id", F.to_date("created_at").alias("log_date"))
             .agg(*[F.sum(f"total_{m}").cast("decimal(18,2)").alias(m) for m in MACROS],
                  F.count(F.lit(1)).alias("entries_count")))
@@ -79,12 +113,7 @@ def day_sums(logs: DataFrame) -> DataFrame:
 
 def run_daily_nutrition(logs: DataFrame, source: str) -> DataFrame:
     """Run T1 over the available input and return the totals so far."""
-    spark = logs.sparkSession
-    out, ckpt = stream_paths(spark, "daily_nutrition", source)
-    _run(logs, out, ckpt, lambda batch, _bid: day_sums(batch)).awaitTermination()
-    return (read_sink(spark, out, DAY_SCHEMA).groupBy("member_id", "log_date")
-            .agg(*[F.sum(m).cast("decimal(18,2)").alias(m) for m in MACROS],
-                 F.sum("entries_count").alias("entries_count")))
+    return run_keyed(day_sums(logs), "daily_nutrition", source, ["member_id", "log_date"], DAY_SCHEMA, "entries_count")
 
 
 # ---------------------------------------------------------------- T2
@@ -97,13 +126,9 @@ def last_writes(updates: DataFrame) -> DataFrame:
 
 
 def run_availability(updates: DataFrame, source: str) -> DataFrame:
-    """Run T2: each micro-batch keeps its last write per slot (X10) and appends;
-    the table state is the highest ``seq`` per slot over all batches."""
-    spark = updates.sparkSession
-    out, ckpt = stream_paths(spark, "availability", source)
-    _run(updates.select(*SLOT_KEY, "is_available", "seq"), out, ckpt,
-         lambda batch, _bid: last_writes(batch)).awaitTermination()
-    return last_writes(read_sink(spark, out, SLOT_SCHEMA))
+    """Run T2: the write of the highest ``seq`` per slot over all batches."""
+    return run_keyed(last_writes(updates.select(*SLOT_KEY, "is_available", "seq")), "availability", source, SLOT_KEY,
+                     SLOT_SCHEMA, "seq")
 
 
 # ---------------------------------------------------------------- T3

@@ -8,7 +8,7 @@ from gymlake.functions import nutrition_fx, text, timeutil
 from gymlake.operators import (attendance, billing, bookings, filters, foods, meal_plans, messages, nutrition,
                                ordering, scheduling, upserts)
 from gymlake.plans import catalog, reports
-from gymlake.sources import contracts, json_docs, sinks
+from gymlake.sources import contracts, json_docs, keyed, sinks
 from gymlake.sources.tables import Tables
 from gymlake.streaming import streams
 
@@ -27,7 +27,7 @@ OPERATORS = {
     "F9": [timeutil.fmt_date, timeutil.fmt_time], "F26": [nutrition_fx.num_or_zero], "F8": [text.cap_first],
     "X7": [bookings.validate_bookings, streams.run_bookings], "X8": [billing.session_payments], "X9": [billing.renewal_payments],
     "X10": [upserts.upsert, streams.run_availability], "X11": [scheduling.bulk_requests_to_slots], "X12": [upserts.select_plans],
-    "X13": [upserts.cascade_delete, upserts.guarded_delete], "X14": [foods.flatten_food_nutrients], "X15": [foods.best_food_match],
+    "X13": [upserts.cascade_delete, upserts.guarded_delete, keyed.KeyedTable.delete], "X14": [foods.flatten_food_nutrients], "X15": [foods.best_food_match],
     "X16": [foods.flatten_products], "X17": [nutrition.detected_food_rows, nutrition.log_detected_foods],
     "X18": [nutrition.log_foods], "X19": [upserts.update_rows, upserts.meal_corrections],
     "X20": [meal_plans.explode_plan, meal_plans.shopping_list], "X22": [messages.validate_messages],

@@ -47,7 +47,9 @@ def test_plan_is_scale_safe(spark, name):
         assert name in GLOBAL_TOP_K, plan
 
 
-@pytest.mark.parametrize("name", ["latest_sessions", "match_slots", "member_session_page",
+# match_slots picks inside the pair's row and shuffles no candidate at all
+# (test_stored_masks_intervals.py::test_slot_matching_shuffles_no_candidates)
+@pytest.mark.parametrize("name", ["latest_sessions", "member_session_page",
                                   "gym_recent_sessions"])
 def test_top_n_per_key_is_cut_before_the_shuffle(spark, name):
     plan = plan_text(QUERIES[name](spark, SF))

@@ -311,3 +311,35 @@ def test_only_its_sender_deletes_a_message(spark):
     messages = spark.createDataFrame([(1, 5, "coach"), (2, 5, "coach"), (3, 5, "coach")], "id int, sender_id int, sender_type string")
     asked = spark.createDataFrame([(1, 5, "coach"), (2, 6, "coach"), (3, 5, "member")], messages.schema)
     assert sorted(r["id"] for r in up.guarded_delete(messages, asked, "id", ["sender_id", "sender_type"]).collect()) == [2, 3]
+
+
+# ---- streams with keyed sinks -------------------------------------------------------------
+
+def test_a_streams_sink_grows_with_its_keys_and_not_with_its_batches(spark, tmp_path):
+    from gymlake.streaming import streams as st
+    schema = "user_id int, user_type string, slot_date date, hour int, is_available boolean, seq long"
+    folder = str(tmp_path / "in")
+    source = str(tmp_path)
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return sorted(tuple(r) for r in st.run_availability(stream, source).collect())
+
+    for n in range(6):
+        rows = [(u, "member", MONDAY, 9, (u + n) % 2 == 0, 100 * n + u) for u in range(5)]
+        # an older write of a slot that comes late changes nothing
+        spark.createDataFrame(rows + [(0, "member", MONDAY, 9, True, -n)], schema).coalesce(1).write.mode("append").parquet(folder)
+        if n == 2:
+            go()  # stops here and is started again for the rest
+    want = [(u, "member", MONDAY, 9, (u + 5) % 2 == 0, 500 + u) for u in range(5)]
+    assert go() == want and go() == want
+    out, _ = st.stream_paths(spark, "availability", source)
+    assert spark.read.parquet(out).count() == 5 + st.SINK_BUCKETS  # a row per key and a marker per bucket
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != st.ROCKSDB
+
+
+def test_other_rules_mean_another_table(spark, monkeypatch):
+    from gymlake.streaming import streams as st
+    old = st.stream_paths(spark, "bookings", "x")
+    monkeypatch.setitem(st.RULES, "bookings", 99)
+    assert st.stream_paths(spark, "bookings", "x") != old
