@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gymlake.functions.timeutil import lit_date
 from gymlake.operators import nutrition as nu
 from gymlake.operators import rollups as ru
+from gymlake.operators import substrings as ss
 from gymlake.operators.filters import RANGE_DAYS
 from gymlake.operators.ordering import deep_page
 from gymlake.plans.catalog import register
@@ -91,3 +92,51 @@ def _coach_session_deep_page(t):
     rows = t.sessions.select("id", "coach_id", "session_date", "session_time", "status")
     return deep_page(rows, "coach_id", [("session_date", False), ("session_time", False), ("id", False)], slices=2,
                      page=12, limit=10)
+
+
+@register("search_many_terms", """
+WITH terms AS (SELECT DISTINCT right(name, 6) AS term FROM coaches
+               UNION SELECT DISTINCT right(name, 6) FROM members WHERE membership_type = 'VIP'
+               UNION SELECT 'R#%' || right(name, 4) FROM members WHERE membership_type = 'Premium')
+SELECT t.term, m.id, m.name, m.email FROM terms t JOIN members m
+ON m.name ILIKE '%' || t.term || '%' OR m.email ILIKE '%' || t.term || '%'
+""", ["members", "coaches"], "P6 P8")
+def _search_many_terms(t):
+    return ss.search_terms(_terms(t), t.members.select("id", "name", "email"), "id", ["name", "email"])
+
+
+def _terms(t):
+    return (t.coaches.select(F.expr("right(name, 6)").alias("term"))
+            .unionByName(t.members.where("membership_type = 'VIP'").select(F.expr("right(name, 6)").alias("term")))
+            .unionByName(t.members.where("membership_type = 'Premium'").select(F.expr("concat('R#%', right(name, 4))").alias("term")))
+            .distinct())
+
+
+@register("suggest_many_terms", """
+WITH terms AS (SELECT DISTINCT right(name, 4) AS term FROM members)
+SELECT t.term, m.id, m.name, m.email, CAST(row_number() OVER (PARTITION BY t.term ORDER BY m.name, m.id) AS INTEGER) AS rank_in_group
+FROM terms t JOIN members m ON m.name ILIKE '%' || t.term || '%' OR m.email ILIKE '%' || t.term || '%'
+QUALIFY rank_in_group <= 5
+""", ["members"], "O5 P6 W2")
+def _suggest_many_terms(t):
+    rows = t.members.select("id", "name", "email")
+    index = ss.store_index(ss.gram_index(rows, "id", ["name", "email"]), fresh_path(t.spark, "grams")).read()
+    terms = rows.select(F.expr("right(name, 4)").alias("term")).distinct()
+    return ss.suggest_terms(terms, rows, "id", ["name", "email"], [F.col("name"), F.col("id")], 5, index)
+
+
+@register("food_first_hits", """
+WITH labels AS (SELECT lower(category) || ' ' || name AS label FROM food_items
+                UNION SELECT unnest(string_split(name, ' ')) FROM food_items
+                UNION SELECT upper(name) || ' ' || brand FROM food_items),
+hits AS (SELECT l.label, min(f.id) AS food_id FROM labels l JOIN food_items f
+         ON contains(lower(l.label), lower(f.name)) OR contains(lower(f.name), lower(l.label)) GROUP BY l.label)
+SELECT l.label, h.food_id, f.name AS food_name FROM labels l LEFT JOIN hits h ON h.label = l.label
+LEFT JOIN food_items f ON f.id = h.food_id
+""", ["food_items"], "J20")
+def _food_first_hits(t):
+    items = t.food_items
+    labels = (items.select(F.concat_ws(" ", F.lower("category"), "name").alias("label"))
+              .unionByName(items.select(F.explode(F.split("name", " ")).alias("label")))
+              .unionByName(items.select(F.concat_ws(" ", F.upper("name"), "brand").alias("label"))).distinct())
+    return ss.first_hits(labels, items.select(F.col("id").alias("food_id"), F.col("name").alias("food_name")))

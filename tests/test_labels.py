@@ -6,7 +6,7 @@ import pytest
 
 from gymlake.functions import nutrition_fx, text, timeutil
 from gymlake.operators import (attendance, billing, bookings, filters, foods, meal_plans, messages, nutrition,
-                               ordering, scheduling, upserts)
+                               ordering, scheduling, upserts, substrings)
 from gymlake.plans import catalog, reports
 from gymlake.sources import contracts, json_docs, keyed, sinks
 from gymlake.sources.tables import Tables
@@ -19,11 +19,11 @@ OPERATORS = {
     "P2": [filters.for_entity], "P9": [filters.with_ids], "P12": [filters.on_day], "P16": [filters.to_nested_session],
     "P17": [filters.entitled], "P18": [filters.upcoming],
     "J2": [attendance.member_session_history], "J12": [bookings.reject_duplicates, upserts.validate_members],
-    "J20": [foods.estimate_nutrition], "J22": [meal_plans.coach_plans], "J23": [attendance.coach_profile],
+    "J20": [foods.estimate_nutrition, substrings.first_hits], "J22": [meal_plans.coach_plans], "J23": [attendance.coach_profile],
     "A24": [scheduling.availability_map, scheduling.sessions_by_slot, scheduling.month_calendar, meal_plans.plans_by_member,
             scheduling.available_members],
     "A26": [nutrition.accumulate_day, streams.run_daily_nutrition], "A27": [billing.gym_capacity], "A28": [scheduling.group_availability],
-    "O1": [ordering.order_sessions], "O4": [ordering.paginate], "O5": [ordering.suggest],
+    "O1": [ordering.order_sessions], "O4": [ordering.paginate, ordering.deep_page], "O5": [ordering.suggest, substrings.suggest_terms],
     "F9": [timeutil.fmt_date, timeutil.fmt_time], "F26": [nutrition_fx.num_or_zero], "F8": [text.cap_first],
     "X7": [bookings.validate_bookings, streams.run_bookings], "X8": [billing.session_payments], "X9": [billing.renewal_payments],
     "X10": [upserts.upsert, streams.run_availability], "X11": [scheduling.bulk_requests_to_slots], "X12": [upserts.select_plans],
