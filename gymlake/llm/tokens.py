@@ -4,11 +4,13 @@ The vocabulary's model works on one pre-token (a run of letters, one digit, a ru
 marks) at a time, and pre-tokens repeat far more often than texts do.  Each task keeps
 the model's ids of the pre-tokens it has seen (bounded) and asks the model for new ones.
 Texts with anything that the normaliser might treat specially (control and uncommon
-characters, special-token marks) go through the library's whole ``encode_batch``.
+characters, special-token marks) go through the library's whole ``encode_batch``, and so
+does every text if the vocabulary file names other steps than the ones known here.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -16,7 +18,14 @@ import regex
 
 END_ID = 1
 # Fixed value: the pre-token pattern of the vocabulary file.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKEN = regex.compile(PATTERN)
+# The steps before the model that this module takes over from the library.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 # Entries that one task keeps (about 200 bytes each) before it starts afresh.
 KEPT = 400_000
 # Longer pre-tokens are encoded each time they occur.
@@ -36,6 +45,12 @@ def byte_letters() -> dict[int, int]:
 BYTE_LETTERS = byte_letters()
 
 
+def known_steps(file: dict) -> bool:
+    """Whether a vocabulary file's normaliser, pre-tokens and special tokens are those known here."""
+    return (file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and file["model"]["type"] == "BPE"
+            and all(t["content"].startswith("<|") for t in file["added_tokens"]))
+
+
 class TextEncoder:
     """``encode(texts)`` gives one little-endian uint32 byte string per text (no end id)."""
 
@@ -45,6 +60,7 @@ class TextEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
+        self.known = known_steps(json.loads(self.library.to_str()))
         self.kept: dict[str, bytes] = {}  # ids of white-space pieces and of pre-tokens
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
@@ -80,6 +96,8 @@ class TextEncoder:
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.known:
+            return self.whole([t or "" for t in texts])
         out = []
         for text in texts:
             if not text:

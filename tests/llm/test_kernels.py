@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -263,3 +264,14 @@ def test_dual_coordinate_descent_separates():
     w = quality.dual_coordinate_descent(rows, values, y)
     margin = np.array([w[r] @ v + w[-1] for r, v in zip(rows, values)])
     assert (np.sign(margin) == y).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_librarys_for_every_vocabulary(name):
+    import public_tokenizers
+    enc = tokens.encoder(public_tokenizers.path(name))
+    assert enc.known == (name == "word_bpe_49k.json")  # others go through the library whole
+    texts = [None, "", " ", "Two  words, It's 42!", "naïve CAFÉ\tand\nlines ", "<|endoftext|> x", "中文 \U0001f600", "word " * 5000]
+    for _ in range(2):
+        assert enc.encode(texts) == [np.array(enc.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+                                     for t in texts]
