@@ -45,10 +45,12 @@ def byte_letters() -> dict[int, int]:
 BYTE_LETTERS = byte_letters()
 
 
-def known_steps(file: dict) -> bool:
-    """Whether a vocabulary file's normaliser, pre-tokens and special tokens are those known here."""
-    return (file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and file["model"]["type"] == "BPE"
-            and all(t["content"].startswith("<|") for t in file["added_tokens"]))
+def known_steps(library) -> bool:
+    """Whether a tokenizer's normaliser, pre-tokens, model and special tokens are those known here.
+    Only these parts are looked at; the vocabulary itself is large."""
+    parts = [None if part is None else json.loads(part.__getstate__()) for part in (library.normalizer, library.pre_tokenizer)]
+    return (parts == [NORMALIZER, PRE_TOKENIZER] and type(library.model).__name__ == "BPE"
+            and all(t.content.startswith("<|") for t in library.get_added_tokens_decoder().values()))
 
 
 class TextEncoder:
@@ -60,7 +62,7 @@ class TextEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.known = known_steps(json.loads(self.library.to_str()))
+        self.known = known_steps(self.library)
         self.kept: dict[str, bytes] = {}  # ids of white-space pieces and of pre-tokens
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
