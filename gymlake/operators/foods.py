@@ -111,6 +111,14 @@ def fallback_nutrition(name) -> Column:
 
 
 # ---------------------------------------------------------------- X14
+def document(df: DataFrame, json_col: str, schema: str) -> Column:
+    """The parsed document of a column: JSON text is parsed, a column that a source or
+    ``with_drifted_json`` has parsed already is taken as it is."""
+    if isinstance(df.schema[json_col].dataType, T.StructType):
+        return F.col(json_col)
+    return F.from_json(F.col(json_col), schema)
+
+
 def _last_value(items: Column, id_of, value_of, ids) -> Column:
     hits = F.filter(items, lambda n: id_of(n).isin(*ids))
     return F.when(F.size(hits) > 0, value_of(F.element_at(hits, -1)))
@@ -123,8 +131,7 @@ def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> Data
     # The parsed document, its nutrient array and each field's last hit are projected
     # as their own columns: referenced several times, they are computed once per row
     # (inline, every output field would re-parse the JSON and re-filter the array).
-    parsed = isinstance(df.schema[json_col].dataType, T.StructType)  # a JSON source parsed it already
-    d = df.withColumn("_doc", F.col(json_col) if parsed else F.from_json(F.col(json_col), DETAIL_SCHEMA))
+    d = df.withColumn("_doc", document(df, json_col, DETAIL_SCHEMA))
     d = d.withColumn("_items", F.coalesce(F.col("_doc.foodNutrients"), F.array()))
     def last_hit(ids):
         return F.try_element_at(F.filter("_items", lambda n: n["nutrient"]["id"].isin(*ids)), F.lit(-1))
@@ -150,7 +157,8 @@ def best_food_match(df: DataFrame, json_col: str = "search_json") -> DataFrame:
     """From a search result, the first food with calories and protein, else
     the first food (``source`` marks partial data); no foods -> NULL match."""
     # the food list and its complete subset are projected once per row
-    d = df.withColumn("_foods", F.coalesce(F.from_json(F.col(json_col), SEARCH_SCHEMA)["foods"], F.array()))
+    listed = F.coalesce(document(df, json_col, SEARCH_SCHEMA)["foods"], F.array())
+    d = df.withColumn("_foods", F.filter(listed, lambda f: f.isNotNull()))  # entries that are no food
     foods = F.col("_foods")
 
     def nutr(food, field):
@@ -179,7 +187,7 @@ def flatten_products(df: DataFrame, json_col: str = "product_json",
     """Product document (barcode shape or search shape) -> one row per product
     with per-100 g nutriments (missing -> 0); a barcode miss (status != 1) -> no row."""
     keep = [c for c in df.columns if c != json_col]
-    d = df.withColumn("_doc", F.from_json(F.col(json_col), PRODUCT_SCHEMA))  # parsed once per row
+    d = df.withColumn("_doc", document(df, json_col, PRODUCT_SCHEMA))  # parsed once per row
     doc = F.col("_doc")
     single = F.when(doc["status"] == 1, F.array(doc["product"].withField("code", F.col(barcode_col))))
     prods = F.coalesce(single, doc["products"], F.array())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gymlake.functions.text import plan_status
 from gymlake.functions.timeutil import lit_date
+from gymlake.operators.foods import document
 
 # The plan used when a member has none.
 DEFAULT_PLAN = {"plan_name": "Default Plan", "daily_calories": 2000, "daily_protein": 150,
@@ -76,7 +77,7 @@ def _explode_nonempty(col, *names) -> Column:
 
 def explode_plan(plans: DataFrame) -> DataFrame:
     """Plan JSON -> one row per (plan, day, meal, ingredient) with the meal's macros."""
-    p = plans.select(F.col("id").alias("plan_id"), "member_id", parse_plan("plan_data").alias("doc"))
+    p = plans.select(F.col("id").alias("plan_id"), "member_id", document(plans, "plan_data", PLAN_SCHEMA).alias("doc"))
     days = (p.select("plan_id", "member_id", _explode_nonempty(F.col("doc.meal_plan"), "day", "meals"))
             .filter(F.col("_pos").isNotNull()).drop("_pos"))
     meals = (days.select("plan_id", "member_id", "day", _explode_nonempty("meals", "meal", "m"))
@@ -89,7 +90,7 @@ def explode_plan(plans: DataFrame) -> DataFrame:
 
 def shopping_list(plans: DataFrame) -> DataFrame:
     """Distinct shopping-list items per plan."""
-    p = plans.select(F.col("id").alias("plan_id"), parse_plan("plan_data").alias("doc"))
+    p = plans.select(F.col("id").alias("plan_id"), document(plans, "plan_data", PLAN_SCHEMA).alias("doc"))
     return (p.select("plan_id", _explode_nonempty("doc.shopping_list", "item"))
             .filter(F.col("_pos").isNotNull()).select("plan_id", "item").distinct())
 

@@ -41,7 +41,8 @@ def _load_all():
     # importing the modules fills REGISTRY
     from gymlake.plans import (  # noqa: F401
         q_attendance, q_nutrition, q_scheduling, q_admin, q_foods, q_messages, q_reports,
-        q_streaming, q_sources, q_directory, q_bundles, q_stored, q_rollups)
+        q_streaming, q_sources, q_directory, q_bundles, q_stored, q_rollups,
+        q_drifted, q_bucketed)
 
 
 def _run(e: Entry, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,42 @@ SELECT p_partkey AS doc_id, p_name AS query_name, CAST(p_partkey AS STRING) AS b
        || ', "proteins_100g": ' || CAST(p_size AS STRING)
        || ', "carbohydrates_100g": ' || CAST(p_partkey % 80 AS STRING) || '}}}' AS product_json
 FROM {part}
+""",
+    "drifted_food_docs": """
+SELECT doc_id, barcode,
+       CASE doc_id % 8
+         WHEN 1 THEN replace(detail_json, '"name": "Protein"}, "amount": ', '"name": "Protein"}, "amount": [], "was": ')
+         WHEN 2 THEN replace(detail_json, '"id": 1004', '"id": "1004"')
+         WHEN 3 THEN replace(detail_json, '"foodNutrients": [', '"foodNutrients": [null, 7, "x", ')
+         WHEN 4 THEN replace(detail_json, '"description": ', '"description": 12, "title": ')
+         WHEN 5 THEN replace(detail_json, '"fdcId": ', '"fdcId": "F", "old": ')
+         WHEN 6 THEN replace(detail_json, '"amount": ' || CAST(doc_id % 30 AS STRING) || '.5}',
+                             '"amount": "' || CAST(doc_id % 30 AS STRING) || '.5"}')
+         WHEN 7 THEN substr(detail_json, 1, 40)
+         ELSE detail_json END AS detail_json,
+       CASE doc_id % 6
+         WHEN 1 THEN replace(search_json, '{"nutrientId": 208, ', '{"nutrientId": "208", ')
+         WHEN 2 THEN replace(search_json, '{"foods": [', '{"foods": [17, null, ')
+         WHEN 3 THEN replace(search_json, '"brandOwner": "', '"brandOwner": {"x": 1}, "owner": "')
+         WHEN 4 THEN substr(search_json, 1, 60)
+         ELSE search_json END AS search_json,
+       CASE doc_id % 5
+         WHEN 1 THEN replace(product_json, '"energy-kcal_100g": ', '"energy-kcal_100g": "7.5", "kcal": ')
+         WHEN 2 THEN replace(product_json, '"status": 1', '"status": "1"')
+         WHEN 3 THEN replace(product_json, '"proteins_100g": ', '"proteins_100g": {"v": 1}, "p": ')
+         WHEN 4 THEN replace(product_json, '"brands": "', '"brands": ["a"], "b": "')
+         ELSE product_json END AS product_json
+FROM {food_docs}
+""",
+    "drifted_plans": """
+SELECT id, member_id,
+       CASE id % 5
+         WHEN 1 THEN replace(plan_data, '"calories": ', '"calories": "high", "kcal": ')
+         WHEN 2 THEN replace(plan_data, '["oats", "milk"], "nutrition"', '"oats, milk", "nutrition"')
+         WHEN 3 THEN replace(plan_data, '"day_2": ', '"day_0": 7, "day_2": ')
+         WHEN 4 THEN replace(plan_data, '"shopping_list": [', '"shopping_list": [null, {"x": 1}, 5, ')
+         ELSE plan_data END AS plan_data
+FROM {nutrition_plans}
 """,
     "plan_selection_updates": """
 SELECT member_id,

@@ -4,7 +4,7 @@ import sys
 
 import pytest
 
-from gymlake.functions import nutrition_fx, text, timeutil
+from gymlake.functions import nutrition_fx, text, timeutil, variant_docs
 from gymlake.operators import (attendance, billing, bookings, filters, foods, meal_plans, messages, nutrition,
                                ordering, scheduling, upserts, substrings)
 from gymlake.plans import catalog, reports
@@ -14,7 +14,7 @@ from gymlake.streaming import streams
 
 catalog.queries()
 OPERATORS = {
-    "S2": [contracts.describe_table], "S3": [contracts.check_constraints], "S5": [json_docs.read_food_json],
+    "S2": [contracts.describe_table], "S3": [contracts.check_constraints], "S5": [json_docs.read_food_json, variant_docs.read_drifted_lines],
     "S6": [sinks.write_report], "S7": [sinks.append],
     "P2": [filters.for_entity], "P9": [filters.with_ids], "P12": [filters.on_day], "P16": [filters.to_nested_session],
     "P17": [filters.entitled], "P18": [filters.upcoming],
