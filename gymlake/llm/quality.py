@@ -1,10 +1,12 @@
 """Quality classifier: naive-Bayes support vectors.
 
 A text's features are indicators of its byte trigrams, of its words and word pairs, and of
-the number of pairs of a word with itself, hashed to 2**18 places.  Each is scaled by its class log-count ratio (naive Bayes, from all
-labelled training rows), rows are scaled to length one, and a linear hinge-loss model is
-fitted by dual coordinate descent on a bounded sample (``SAMPLE_ROWS``, by hash of doc_id).
-A logistic curve fitted on a fifth of the sample turns margins into scores.
+the number of pairs of a word with itself, hashed to 2**18 places.  Each is scaled by its class
+log-count ratio (naive Bayes, from all labelled training rows), rows are scaled to length one, and
+a linear hinge-loss model is fitted by dual coordinate descent on a bounded sample (``SAMPLE_ROWS``,
+by hash of doc_id, and of each class at least about ``CLASS_ROWS``, or all it has).  A logistic
+curve fitted on a fifth of the sample, its rows weighed back to the classes' shares of all labelled
+rows, turns margins into scores.
 
 Only the text is read for a score.  Results for odd input: a null text is an empty one and
 has a score too (that of no features); a null doc_id is scored, is never held out and has no
@@ -29,6 +31,7 @@ from gymlake.llm.words import mix, slices, text_bytes, word_hashes
 BITS = 18
 PLACES = 1 << BITS
 SAMPLE_ROWS = 5_000  # labelled rows that the hinge-loss model is fitted on, about
+CLASS_ROWS = 1_000  # of them at least about so many of each class, however rare it is
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 8
@@ -109,15 +112,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w
 
 
-def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a * margin + b))) by Newton steps with Platt's targets."""
+def logistic_curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(-(a * margin + b))) by Newton steps with Platt's targets; a row
+    counts ``weight`` times."""
+    weight = np.ones(len(y)) if weight is None else weight
     up, down = int((y > 0).sum()), int((y <= 0).sum())
     goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        q = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([np.dot(margin, p - goal), (p - goal).sum()])
+        q, off = weight * np.maximum(p * (1 - p), 1e-9), weight * (p - goal)
+        g = np.array([np.dot(margin, off), off.sum()])
         h = np.array([[np.dot(q, margin * margin) + 1e-6, np.dot(q, margin)], [np.dot(q, margin), q.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
@@ -165,7 +170,14 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "body": [total.tobytes()]})
 
 
-def _fit(ratios: np.ndarray):
+def class_weights(y: np.ndarray, by_label: dict[int, int]) -> np.ndarray:
+    """Weights of mean one that give the classes of a sample their shares of all labelled rows."""
+    each = {k: by_label[k] / max(1, int((y == v).sum())) for k, v in ((0, -1.0), (1, 1.0))}
+    weight = np.where(y > 0, each[1], each[0])
+    return weight / weight.mean()
+
+
+def _fit(ratios: np.ndarray, by_label: dict[int, int]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         rows = [np.frombuffer(b, "<u4").astype(np.int64) for b in pdf["body"]]
@@ -178,7 +190,7 @@ def _fit(ratios: np.ndarray):
         w = dual_coordinate_descent([rows[i] for i in fit], [values[i] for i in fit], y[fit])
         on = np.flatnonzero(aside) if aside.any() else fit
         margin = np.array([float(np.dot(w[rows[i]], values[i])) + w[-1] for i in on])
-        a, b = logistic_curve(margin, y[on])
+        a, b = logistic_curve(margin, y[on], class_weights(y[on], by_label))
         return pd.DataFrame({"body": [(w * a).astype("<f4").tobytes()], "shift": [b]})
     return run
 
@@ -199,7 +211,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, out: Column, column: str = "quality",
-          sample_rows: int = SAMPLE_ROWS) -> Model:
+          sample_rows: int = SAMPLE_ROWS, class_rows: int = CLASS_ROWS) -> Model:
     """Fit on the labelled rows of ``docs`` where ``out`` (held out) does not hold."""
     bounded_batches(docs.sparkSession)
     known = stored(label_table(labels, column).where(~out), "labels")
@@ -207,10 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, out: Column, column: str = "qualit
     n = sum(by_label.values())
     if len(by_label) < 2:
         return Model(share=float(next(iter(by_label), 0.5)))
-    limit = int(min(1.0, sample_rows / n) * 2**31)
+    limit = {k: int(min(1.0, max(sample_rows / n, class_rows / of)) * 2**31) for k, of in by_label.items()}
+    share = F.when(F.col("label") == 1, F.lit(limit[1])).otherwise(F.lit(limit[0]))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .join(sized(known, n), "doc_id")
-            .select("doc_id", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < limit).alias("chosen"), "text"))
+            .select("doc_id", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share).alias("chosen"), "text"))
     gathered = stored(rows.mapInArrow(tidied(_gather), "part int, doc_id long, label int, body binary"), "features")
     # 64 rows of 64 KB: bounded by the number of feature places
     sums = (gathered.where("part >= 0").select("part", "body").groupBy("part")
@@ -223,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, out: Column, column: str = "qualit
     ratios = log_count_ratios(counts.transpose(1, 0, 2).reshape(2, PLACES))
     # one task fits the bounded sample
     fitted = (gathered.where("part < 0").select(F.lit(0).alias("all"), "doc_id", "label", "body").groupBy("all")
-              .applyInPandas(_fit(ratios), "body binary, shift double").collect())
+              .applyInPandas(_fit(ratios, by_label), "body binary, shift double").collect())
     if not fitted:
         return Model(share=by_label[1] / n)
     return Model(ratios, np.frombuffer(fitted[0]["body"], "<f4"), fitted[0]["shift"])
