@@ -18,7 +18,7 @@ def stored_logs(t) -> BucketedTables:
     return BucketedTables(t.spark, t.root, store_raw(t, LOG_COLUMNS))
 
 
-@register("bucketed_daily_nutrition", REGISTRY["daily_nutrition"].oracle, ["nutrition_logs"], "A20 S1 J1")
+@register("bucketed_daily_nutrition", REGISTRY["daily_nutrition"].oracle, ["nutrition_logs"], "A20 S1")
 def _bucketed_daily_nutrition(t):
     return nu.daily_nutrition(stored_logs(t).nutrition_logs)
 
