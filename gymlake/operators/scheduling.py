@@ -249,13 +249,19 @@ def schedule_grid(pairs: DataFrame, free_days: DataFrame, prefs: DataFrame, sess
 
 
 # ---------------------------------------------------------------- J17 / A28 / X4
-def weekly_cells(free_days: DataFrame, hours=GROUP_HOURS) -> DataFrame:
-    """The (user, weekday, hour) cells within ``hours`` that the weekly pattern opens."""
+def weekly_spans(free_days: DataFrame, hours=GROUP_HOURS) -> DataFrame:
+    """The hours ``lo`` to ``hi`` (inclusive, within ``hours``) that each row of the weekly pattern opens."""
     lo = F.greatest(F.coalesce(to_hour("start_time"), F.lit(8)), F.lit(hours[0]))
     hi = F.least(F.coalesce(to_hour("end_time"), F.lit(20)), F.lit(hours[1])) - 1
     return (free_days.filter("is_available")
-            .select("user_id", "user_type", weekday_from_name("day_of_week").alias("dow"),
-                    F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("hour")))
+            .select("user_id", "user_type", weekday_from_name("day_of_week").alias("dow"), lo.alias("lo"), hi.alias("hi"))
+            .filter("lo <= hi"))
+
+
+def _span_hours() -> Column:
+    """One row per hour of a span."""
+    # a sequence steps down where it ends before it starts
+    return F.explode(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi"))).alias("hour")
 
 
 def _overrides(slots: DataFrame, lo, hi, hours) -> DataFrame:
@@ -278,15 +284,23 @@ def effective_availability(users: DataFrame, slots: DataFrame, free_days: DataFr
 def group_availability(member_coach: DataFrame, slots: DataFrame, free_days: DataFrame,
                        lo, hi, hours=GROUP_HOURS) -> DataFrame:
     """Members available per (coach, date, hour), 08-21 h.  The weekly pattern is
-    counted per (coach, weekday, hour); only cells with an override are corrected.  Names
-    stay in long form (``available_members``) rather than one collected list per cell."""
-    bridge = member_coach.select("coach_id", F.col("member_id").alias("user_id"))
-    cells = weekly_cells(free_days.filter(F.col("user_type") == "member"), hours).select("user_id", "dow", "hour")
-    weekly = (bridge.join(cells, "user_id").groupBy("coach_id", "dow", "hour").agg(F.count(F.lit(1)).alias("n")))
+    counted per (coach, weekday, span of hours), and only the counted spans become hours; an
+    override is compared with its member's week of masks, and only what it changes is added.
+    Names stay in long form (``available_members``) rather than one collected list per cell.
+
+    Each join has a side that grows with the members.  Its size is guessed from the compressed
+    files, so without the hints Spark broadcasts it at any number of members."""
+    bridge = member_coach.select("coach_id", F.col("member_id").alias("user_id")).hint("merge")
+    of_members = free_days.filter(F.col("user_type") == "member")
+    spans = weekly_spans(of_members, hours).filter("dow IS NOT NULL").select("user_id", "dow", "lo", "hi")
+    weekly = (bridge.join(spans, "user_id").groupBy("coach_id", "dow", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+              .select("coach_id", "dow", _span_hours(), "n")
+              .groupBy("coach_id", "dow", "hour").agg(F.sum("n").alias("n")))
+    week = hm.weekly_pattern(of_members, hours).select("user_id", "week").hint("merge")
+    is_open = hm.has_hour(F.coalesce(F.get("week", F.col("dow")), F.lit(0).cast("long")), F.col("hour"))
     changed = (_overrides(slots.filter(F.col("user_type") == "member"), lo, hi, hours)
-               .join(cells.distinct().withColumn("_open", F.lit(1)), ["user_id", "dow", "hour"], "left")
-               .select("user_id", "date", "hour",
-                       (F.col("is_available").cast("int") - F.coalesce("_open", F.lit(0))).alias("d"))
+               .join(week, "user_id", "left")
+               .select("user_id", "date", "hour", (F.col("is_available").cast("int") - is_open.cast("int")).alias("d"))
                .filter("d != 0"))
     delta = bridge.join(changed, "user_id").groupBy("coach_id", "date", "hour").agg(F.sum("d").alias("d"))
     # a coach's grid: 7 x 13 cells a week, whatever the number of members
