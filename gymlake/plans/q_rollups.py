@@ -120,9 +120,10 @@ QUALIFY rank_in_group <= 5
 """, ["members"], "O5 P6 W2")
 def _suggest_many_terms(t):
     rows = t.members.select("id", "name", "email")
-    index = ss.store_index(ss.gram_index(rows, "id", ["name", "email"]), fresh_path(t.spark, "grams")).read()
     terms = rows.select(F.expr("right(name, 4)").alias("term")).distinct()
-    return ss.suggest_terms(terms, rows, "id", ["name", "email"], [F.col("name"), F.col("id")], 5, index)
+    sizes = sorted(ss.gram_sizes(terms, "term"))
+    index = ss.store_index(ss.gram_index(rows, "id", ["name", "email"], sizes), fresh_path(t.spark, "grams")).read()
+    return ss.suggest_terms(terms, rows, "id", ["name", "email"], [F.col("name"), F.col("id")], 5, index, sizes)
 
 
 @register("food_first_hits", """

@@ -72,8 +72,9 @@ class KeyedTable:
         placed = rows.select(*self.schema.names, F.lit(False).alias(MARKER), self.bucket().alias(BUCKET))
         markers = buckets.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields],
                                  F.lit(True).alias(MARKER), BUCKET)
-        # a bucket is one shuffle partition (AQE may split a large one), so it has few files
-        (placed.unionByName(markers).repartition(BUCKET)
+        # a small bucket is one file; a large one is written by several tasks (a plain repartition
+        # would leave it to one, however large)
+        (placed.unionByName(markers).hint("rebalance", BUCKET)
          .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path))
 
     def touched(self, keys: DataFrame) -> list[int]:
