@@ -36,6 +36,9 @@ def upsert(base: DataFrame, updates: DataFrame, key, order_cols, keep_first=("cr
     cols = [c for c in base.columns]
     both = (base.select(*cols).withColumn("_prio", F.lit(0))
             .unionByName(updates.select(*cols).withColumn("_prio", F.lit(1))))
+    # the partial aggregate sorts its task's rows (text has no place in a hash aggregate's buffer), and a
+    # scan may be one task: writes are dealt by key and order first, so those of a hot key stay apart
+    both = both.repartition(*key, *order_cols)
     payload = [c for c in cols if c not in key]
     types = dict(both.dtypes)
     if len(order_cols) == 1 and types[order_cols[0]] in ("tinyint", "smallint", "int", "bigint"):
