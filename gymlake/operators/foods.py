@@ -119,11 +119,6 @@ def document(df: DataFrame, json_col: str, schema: str) -> Column:
     return F.from_json(F.col(json_col), schema)
 
 
-def _last_value(items: Column, id_of, value_of, ids) -> Column:
-    hits = F.filter(items, lambda n: id_of(n).isin(*ids))
-    return F.when(F.size(hits) > 0, value_of(F.element_at(hits, -1)))
-
-
 def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> DataFrame:
     """Food detail document -> one row of integer nutrients (half-even
     rounding; a later entry for the same field wins, across both id schemes);
@@ -156,27 +151,25 @@ def flatten_food_nutrients(df: DataFrame, json_col: str = "detail_json") -> Data
 def best_food_match(df: DataFrame, json_col: str = "search_json") -> DataFrame:
     """From a search result, the first food with calories and protein, else
     the first food (``source`` marks partial data); no foods -> NULL match."""
-    # the food list and its complete subset are projected once per row
+    keep = [c for c in df.columns if c != json_col]
     listed = F.coalesce(document(df, json_col, SEARCH_SCHEMA)["foods"], F.array())
-    d = df.withColumn("_foods", F.filter(listed, lambda f: f.isNotNull()))  # entries that are no food
-    foods = F.col("_foods")
 
     def nutr(food, field):
-        return _last_value(food["foodNutrients"], lambda n: n["nutrientId"],
-                           lambda n: n["value"], (SEARCH_NUTRIENT_IDS[field],))
-
-    d = d.withColumn("_cmp", F.filter(foods, lambda f: (F.coalesce(nutr(f, "calories"), F.lit(0.0)) != 0)
-                                       & nutr(f, "protein").isNotNull()))
-    complete = F.col("_cmp")
-    chosen = F.coalesce(F.try_element_at(complete, F.lit(1)), F.try_element_at(foods, F.lit(1)))
-    is_complete = F.size(complete) > 0
-    out = d.select(*df.columns, chosen.alias("_f"), is_complete.alias("_complete"))
+        hits = F.filter(food["foodNutrients"], lambda n: n["nutrientId"] == SEARCH_NUTRIENT_IDS[field])
+        return F.try_element_at(hits, F.lit(-1))["value"]
+
+    # each food's values are looked up once; the list and its complete subset are columns of their own
+    fields = ("calories", "protein", "carbs", "fat")
+    d = df.select(*keep, F.filter(listed, lambda f: f.isNotNull()).alias("_listed"))  # entries that are no food go
+    d = d.select(*keep, F.transform("_listed", lambda f: F.struct(
+        f["fdcId"].alias("fdc_id"), f["description"].alias("food_name"), f["brandOwner"].alias("brand"),
+        *[nutr(f, k).alias(k) for k in fields])).alias("_foods"))
+    d = d.withColumn("_cmp", F.filter("_foods", lambda f: (F.coalesce(f["calories"], F.lit(0.0)) != 0) & f["protein"].isNotNull()))
+    chosen = F.coalesce(F.try_element_at("_cmp", F.lit(1)), F.try_element_at("_foods", F.lit(1)))
+    out = d.select(*keep, chosen.alias("_f"), (F.size("_cmp") > 0).alias("_complete"))
     return out.select(
-        *[c for c in df.columns if c != json_col],
-        F.col("_f.fdcId").alias("fdc_id"), F.col("_f.description").alias("food_name"),
-        F.col("_f.brandOwner").alias("brand"),
-        *[F.coalesce(nutr(F.col("_f"), k), F.lit(0.0)).alias(k)
-          for k in ("calories", "protein", "carbs", "fat")],
+        *keep, "_f.fdc_id", "_f.food_name", "_f.brand",
+        *[F.coalesce(f"_f.{k}", F.lit(0.0)).alias(k) for k in fields],
         F.when(F.col("_f").isNull(), F.lit(None).cast("string"))
          .when(F.col("_complete"), F.lit("USDA")).otherwise(F.lit("USDA (partial data)")).alias("source"))
 

@@ -71,6 +71,11 @@ def _sql_with_frames(spark: SparkSession, sql: str, frames: dict[str, DataFrame]
             spark.catalog.dropTempView(view)
 
 
+# Tables whose rows become far larger ones in a derivation: (derived, source) -> column by which the
+# source is dealt over all tasks first, as a scan of one row group is one task.
+DEALT = {("food_docs", "part"): "p_partkey"}
+
+
 class Tables:
     """Lazy accessor for raw and domain tables of one data directory.
 
@@ -100,9 +105,14 @@ class Tables:
             elif name in fixtures.RAW_TABLES:
                 self._cache[name] = load_table(self.spark, self.root, name)
             elif name in fixtures.FIXTURE_SQL:
-                frames = {d: self.get(d) for d in fixtures.deps(name)}
+                frames = {d: self._source(name, d) for d in fixtures.deps(name)}
                 self._cache[name] = _sql_with_frames(
                     self.spark, fixtures.render(name, "spark"), frames)
             else:
                 raise KeyError(f"unknown table {name!r}")
         return self._cache[name]
+
+    def _source(self, name: str, source: str) -> DataFrame:
+        rows = self.get(source)
+        by = DEALT.get((name, source))
+        return rows if by is None or rows.isStreaming else rows.repartition(by)
