@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from gymlake.llm.near_dup import near_duplicates
 from gymlake.llm.packing import pack
 from gymlake.llm.suffix_dedup import suffix_dedup
 from gymlake.llm.token_store import token_store
+from gymlake.llm.words import text_bytes
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -243,6 +246,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert caught > 0.75 and wrong < 0.02
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # each row has a word of its own, which tells whether the row was trained on
+    rows = 14_000
+    texts = [(d, f"{'bad' if d % 2 else 'good'} w{d}x w{d}x") for d in range(rows)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(d, d % 2) for d in range(rows)], "doc_id long, toxic int")
+    net = toxicity.train(docs, known, F.lit(False))
+    moved = (net.emb != toxicity.Network().emb).any(axis=1)
+    words = toxicity.word_places(*text_bytes(pa.array([f"w{d}x" for d in range(rows)])))[0][:, 0]
+    common = toxicity.word_places(*text_bytes(pa.array([f"w{d}" for d in range(rows)])))[0][:, 1:]
+    alone = (np.bincount(words, minlength=toxicity.PLACES)[words] == 1) & ~np.isin(words, common)
+    assert 0.72 < moved[words[alone]].mean() < 0.88  # four fifths of all rows, not of a sample
+    score = net.score(*text_bytes(pa.array(["good a a", "bad a a"])))
+    assert score[0] < 0.7 <= score[1]
+
+
+def test_toxicity_does_not_depend_on_how_rows_are_dealt_to_tasks(spark):
+    texts = [(d, f"{'bad' if d % 3 else 'good'} word{d % 50}") for d in range(400)]
+    known = spark.createDataFrame([(d, int(d % 3 > 0)) for d in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one, two = (toxicity.train(docs.repartition(n), known, F.lit(False), shard_rows=60) for n in (1, 5))
+    assert np.allclose(one.emb, two.emb, atol=1e-6) and np.allclose(one.thresholds, two.thresholds, atol=1e-6)
+
+
+def test_toxicity_thresholds_have_the_best_f1():
+    rng = np.random.default_rng(3)
+    y = (rng.random(300) < 0.4).astype(np.int64)
+    raw = np.clip(rng.normal(0.35 + 0.3 * y, 0.15), 0.03, 0.97)
+    bins = pd.DataFrame({"lang": 0, "bin": np.argsort(np.argsort(raw)), "n": 1, "up": y, "low": raw, "high": raw})
+
+    def f1(t):
+        return 2 * (y[raw >= t]).sum() / ((raw >= t).sum() + y.sum())
+    got = toxicity.thresholds(bins, y.mean())
+    assert (got == got[0]).all() and f1(got[0]) == max(f1(t) for t in raw)
+
+
 def test_language_guess():
     from gymlake.llm.words import text_bytes
     import pyarrow as pa
