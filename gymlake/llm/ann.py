@@ -65,16 +65,38 @@ def bounds(bits, length, agreement, queries: np.ndarray, centre: np.ndarray) ->
     return estimate - error, estimate + error
 
 
+def screen(found: np.ndarray, single: np.ndarray, size: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """Which of the vectors marked in ``found`` (queries x vectors) may be among the k best of
+    their query: inner products in single precision, less their rounding, decide."""
+    length = np.sqrt((queries ** 2).sum(axis=1)).astype(np.float32)
+    score = queries.astype(np.float32) @ single.T
+    error = length[:, None] * (np.float32(max(1e-5, queries.shape[1] * 2.0 ** -23)) * (size + 1)) + np.float32(1e-6)
+    low = np.where(found, score - error, -np.inf)
+    low[np.isnan(low)] = -np.inf
+    cut = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
+    # a product that is not a number stays
+    return found & ~(score + error < cut[:, None])
+
+
 def search_cell(ids: np.ndarray, vectors: np.ndarray, coded, centre, query_ids, queries, k: int):
     """(query_id, vec_id, score) arrays: the k best of each query in this cell."""
     out = []
+    single, size = vectors.astype(np.float32), np.sqrt((vectors ** 2).sum(axis=1)).astype(np.float32)
+    order = np.argsort(ids)
+    place = order[np.minimum(np.searchsorted(ids, query_ids, sorter=order), len(ids) - 1)]
     for s in range(0, len(queries), 256):
         low, high = bounds(*coded, queries[s:s + 256], centre)
-        own = query_ids[s:s + 256, None] == ids[None, :]
-        low[own] = high[own] = -np.inf
+        own = np.flatnonzero(ids[place[s:s + 256]] == query_ids[s:s + 256])
+        at = own, place[s:s + 256][own]
+        low[at] = high[at] = -np.inf
         cut = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
+        near = high >= cut[:, None]
+        near[at] = False
+        # candidates of the whole block, scored in one product before single rows are
+        some = np.flatnonzero(near.any(axis=0))
+        best_of = screen(near[:, some], single[some], size[some], queries[s:s + 256], k)
         for r in range(len(low)):
-            near = np.flatnonzero((high[r] >= cut[r]) & ~own[r])
+            near = some[best_of[r]]
             # row by row sums, so that equal vectors have equal scores
             score = (vectors[near] * queries[s + r]).sum(axis=1)
             best = np.lexsort((ids[near], -score))[:k]

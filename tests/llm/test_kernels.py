@@ -233,6 +233,36 @@ def test_bounds_hold_and_estimates_are_close():
     assert np.abs((low + high) / 2 - true).mean() < np.abs(true).mean()
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e-4])
+def test_few_candidates_are_left_for_double_precision(scale):
+    rng = np.random.default_rng(4)
+    vectors, queries = scale * rng.normal(size=(2000, 64)), rng.normal(size=(40, 64))
+    found = rng.random((40, 2000)) < 0.9
+    size = np.sqrt((vectors ** 2).sum(axis=1)).astype(np.float32)
+    left = ann.screen(found, vectors.astype(np.float32), size, queries, 20)
+    true = np.where(found, queries @ vectors.T, -np.inf)
+    best = np.argsort(-true, axis=1)[:, :20]
+    assert np.take_along_axis(left, best, axis=1).all() and not (left & ~found).any()
+    assert left.sum() < 40 * 60  # of 1,800 each
+    # fewer candidates than asked for all stay
+    assert (ann.screen(found[:, :15], vectors[:15].astype(np.float32), size[:15], queries, 20) == found[:, :15]).all()
+
+
+def test_a_cell_gives_the_best_of_each_query():
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([rng.normal(size=(900, 16)), np.repeat(rng.normal(size=(2, 16)), 50, axis=0), rng.normal(size=(100, 16)) * 1e4])
+    ids = rng.permutation(5000)[:len(vectors)]
+    asked, centre = rng.permutation(len(vectors))[:300], vectors.mean(axis=0)
+    ids_asked = np.where(np.arange(300) % 3 == 0, ids[asked] + 10_000, ids[asked])  # a third have no row here
+    got = ann.search_cell(ids, vectors, ann.encode(vectors, centre), centre, ids_asked, vectors[asked], 7)
+    want = []
+    for q, v in zip(ids_asked, vectors[asked]):
+        score = (vectors * v).sum(axis=1)
+        best = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:7]
+        want += [(q, ids[i], score[i]) for i in best]
+    assert [*zip(*got)] == want
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = near_dup.least_matches(0.8, 1e-6)
     assert list(least) == [32, 64, 96, 128] and sorted(least.values()) == list(least.values())
