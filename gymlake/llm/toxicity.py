@@ -285,7 +285,7 @@ def _shards(batch: pa.RecordBatch):
         yield np.split(words.reshape(-1, 3), np.cumsum(lengths)[:-1]), label.astype(np.float64), lang
 
 
-_PARTS = 32  # rows of embeddings are summed by so many keys, the other parameters by one more
+_PARTS = 128  # rows of embeddings are summed by so many keys, the other parameters by one more
 
 
 def _flat(net: Network, memory: dict) -> tuple[np.ndarray, np.ndarray]:
